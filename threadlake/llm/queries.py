@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, jaccard
+from threadlake.llm import bpe, jaccard, maxent
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,8 @@ FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
 @query("op2_ngram_jaccard_join", JACCARD_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
+@query("op10_maxent_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.lm_scores(documents(spark, sf_dir))
