@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, jaccard, maxent
+from threadlake.llm import bpe, jaccard, maxent, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +62,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_maxent_lm")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_scores(documents(spark, sf_dir))
+
+
+@query("op6_token_file")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
