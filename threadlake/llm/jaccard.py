@@ -10,8 +10,8 @@ almost never, so shared passages and empty chunks do not make groups. Bands of s
 
 Within a chunk's group no pairs are listed: every member meets the group's smallest and largest member,
 verified links are merged into components, and only groups that still hold several components are
-compared further, in blocks of bounded size, on folded 1024-bit sketches. What passes is verified on the
-shingle sets themselves.
+compared further, in blocks of bounded size, on folded 1024-bit sketches: first each member with its nearest of
+another component, at last with all that are near enough. What passes is verified on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from threadlake.llm.components import components
 from threadlake.session import ship, stored
 
 FOLD = 1024
-BLOCK = 512
+BLOCK = 384
+#: Rounds of nearest members at most, before the round that tests all.
+ROUNDS = 3
 
 
 def bands(num: int, den: int, largest: int) -> np.ndarray:
@@ -191,38 +193,72 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: i
     return x.where(F.expr(f"{den} * both >= {num} * (na + nb - both)")).select("a", "b")
 
 
-def _blocks(mixed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components inside each key's group: block against block, at most BLOCK members each."""
+def _block_pairs(mixed: DataFrame, nodes: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Candidate pairs of different components inside each key's group: block against block, at most BLOCK members each or so.
 
+    nearest: of each member only the closest candidate in each block, else all of them.
+    """
     w = Window.partitionBy("key")
     rows = mixed.withColumn("parts", (F.count("*").over(w) / F.lit(BLOCK)).cast("int") + 1)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     rows = rows.join(nodes.select("node", "n", "sketch"), "node")
     # block i meets each block j >= i: its rows go to every pair of blocks that has it
-    both = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "n", "sketch")
-
-    def run(pdf):
-        import pandas as pd
-
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.drop_duplicates("node")
-        left, right = pdf[pdf["part"] == i], pdf[pdf["part"] == j]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1) for x in (left, right))
-            na, nb, ca, cb = left["n"].to_numpy(), right["n"].to_numpy(), left["comp"].to_numpy(), right["comp"].to_numpy()
-            ia, ib = left["node"].to_numpy(), right["node"].to_numpy()
-            for r in range(len(a)):
-                near = np.bitwise_count(a[r] ^ b).sum(axis=1) <= most_apart(na[r] + nb, num, den)
-                near &= ca[r] != cb
-                if i == j:
-                    near &= ia[r] < ib
-                hits = np.flatnonzero(near)
-                out_a += [ia[r]] * len(hits)
-                out_b += ib[hits].tolist()
-        return pd.DataFrame({"a": np.minimum(out_a, out_b).astype("int64"), "b": np.maximum(out_a, out_b).astype("int64")})
-
-    return both.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    both = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    both = both.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("pair"), (F.col("part") > F.col("other")).alias("second"), "node", "comp", "n", "sketch")
+    # a block that meets itself has its rows once, as the first side
+    both = both.repartition("pair").sortWithinPartitions("pair", "second", "node")
+
+    def meet(pair: list[np.ndarray], seen: set) -> tuple[list, list]:
+        second, node, comp, n, sketch = pair
+        cut = int(np.searchsorted(second, True))
+        left = slice(0, cut)
+        right = slice(cut, len(node)) if cut < len(node) else left
+        if not cut or comp.min() == comp.max():
+            return [], []
+        apart = np.bitwise_count(sketch[left][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
+        near = apart <= most_apart(n[left][:, None] + n[right][None, :], num, den)
+        near &= comp[left][:, None] != comp[right][None, :]
+        if nearest:
+            apart = np.where(near, apart, 1 << 30)
+            pick = np.zeros_like(near)
+            pick[np.arange(len(apart)), apart.argmin(axis=1)] = True
+            pick[apart.argmin(axis=0), np.arange(apart.shape[1])] = True
+            near &= pick
+        i, j = np.nonzero(near)
+        x, y = node[left][i], node[right][j]
+        found = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - seen
+        seen |= found
+        return [p[0] for p in found], [p[1] for p in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        held: list[np.ndarray] | None = None
+
+        def out(parts: list[np.ndarray], upto: int) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.concatenate([[True], parts[0][1:upto] != parts[0][: upto - 1]])).tolist()
+            a, b = [], []
+            for lo, hi in zip(cuts, [*cuts[1:], upto], strict=True):
+                if hi - lo > 1:
+                    x, y = meet([p[lo:hi] for p in parts[1:]], seen)
+                    a += x
+                    b += y
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            cols.append(kernel.utf8(batch.column(5))[0].view(np.uint64).reshape(batch.num_rows, -1))
+            held = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            # the last pair of blocks may go on in the next batch
+            upto = int(np.searchsorted(held[0], held[0][-1]))
+            if upto:
+                yield out(held, upto)
+                held = [x[upto:] for x in held]
+        if held is not None and len(held[0]):
+            yield out(held, len(held[0]))
+
+    return both.select("pair", "second", "node", "comp", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -248,11 +284,26 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     near = stored(x.withColumn("d", F.expr(f"({den - num} * (na + nb)) div {den + num}")).where(F.abs(F.col("na") - F.col("nb")) <= F.col("d")).where(_near("sa", "sb", "d")).select("a", "b"), "near")
     links = stored(verified(near, docs, nodes, k, num, den), "links")
     comp = components(links)
-    mixed = grouped.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = mixed.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).where("c0 < c1").select("key", "node", "comp")
-    rest = stored(_blocks(mixed, nodes, num, den).join(near, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        comp = components(links.union(verified(rest, docs, nodes, k, num, den)))
+    tested = near
+    # members take their nearest of another component until that links nothing more; then all that is left is tested
+    nearest, rounds = True, 0
+    while True:
+        mixed = grouped.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")).distinct()
+        mixed = mixed.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).where("c0 < c1").select("key", "node", "comp")
+        rest = stored(_block_pairs(mixed, nodes, num, den, nearest).join(tested, ["a", "b"], "left_anti"), "rest")
+        more = None
+        if not rest.isEmpty():
+            more = stored(verified(rest, docs, nodes, k, num, den), "more")
+            tested = tested.union(rest)
+            if not more.isEmpty():
+                links = links.union(more)
+                comp = components(links)
+            else:
+                more = None
+        if not nearest:
+            break
+        rounds += 1
+        nearest = more is not None and rounds < ROUNDS
     own = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = own.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = own.join(smallest, "comp").select("node", "component_id")
