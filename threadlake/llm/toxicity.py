@@ -21,87 +21,132 @@ from pyspark.sql import functions as F
 from threadlake.llm import kernel
 from threadlake.session import ship
 
-BITS = 18
 PREFIXES = (5, 6, 7, 9)
 #: Bounds of the training sample: confirmed toxic documents, unlabelled documents, and shards of the latter.
 POSITIVES, UNLABELLED, SHARDS = 3000, 8000, 4
-#: A feature counts if so many confirmed documents have it, its share there exceeds that in unlabelled text by so many
-#: standard errors, and that in clean text so many times.
-LEAST_DOCS, LEAST_Z, LEAST_LIFT = 3, 4.0, 10.0
-EPOCHS, RATE, DECAY = 200, 0.05, 1e-4
+#: A feature counts if so many confirmed documents, and such a share of them, have it, its share there exceeds that in
+#: unlabelled text by so many standard errors, and that in clean text so many times.
+LEAST_DOCS, LEAST_SHARE, LEAST_Z, LEAST_LIFT = 3, 0.02, 4.0, 4.0
+EPOCHS, RATE, DECAY = 300, 0.05, 1e-4
+#: Occurrences in a hundred words count up to this.
+MOST_RATE = 8.0
+#: Margins beyond this lose no more: one example's risk is bounded, as the estimator needs.
+BOUND = 3.0
+TABLE_BITS = 20
+
+
+class Model:
+    """Feature hashes (sorted), their weights for presence and for rate, the weight of the log length, and the bias."""
+
+    def __init__(self, names: np.ndarray, present: np.ndarray, rate: np.ndarray, size: float, bias: float):
+        self.names, self.present, self.rate, self.size, self.bias = names, present, rate, size, bias
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.table[names >> np.uint64(64 - TABLE_BITS)] = True
+
+    def margins(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        n = np.diff(bounds)
+        out = np.full(len(n), self.bias) + self.size * centred(n)
+        word, kind = np.nonzero(self.table[hashes >> np.uint64(64 - TABLE_BITS)])
+        h = hashes[word, kind]
+        at = np.searchsorted(self.names, h)
+        ok = at < len(self.names)
+        ok[ok] = self.names[at[ok]] == h[ok]
+        if ok.any():
+            row = np.searchsorted(bounds, word[ok], side="right") - 1
+            pair, count = np.unique(row * len(self.names) + at[ok], return_counts=True)
+            row, at = pair // len(self.names), pair % len(self.names)
+            out += np.bincount(row, weights=self.present[at] + self.rate[at] * rates(count, n[row]), minlength=len(n))
+        return out
+
+
+def centred(n: np.ndarray) -> np.ndarray:
+    return np.log2(1 + n) - 8.0
+
+
+def rates(count: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.minimum(100.0 * count / (n + 30.0), MOST_RATE)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features (words, 1 + len(PREFIXES)), word bounds of each row."""
     starts, ends, bounds = kernel.split_words(data, offsets)
     values = kernel.BYTE_VALUE[kernel.LOWER[data]]
-    out = np.empty((len(starts), 1 + len(PREFIXES)), np.int32)
-    shift = np.uint64(64 - BITS)
+    out = np.empty((len(starts), 1 + len(PREFIXES)), np.uint64)
     for c, n in enumerate((0, *PREFIXES)):
         stop = np.minimum(ends, starts + n) if n else ends
-        out[:, c] = ((kernel.hash_ranges(values, starts, stop) * np.uint64(2 * c + 1) + np.uint64(c)) >> shift).astype(np.int32)
-    return out, bounds, np.diff(bounds)
+        out[:, c] = kernel.hash_ranges(values, starts, stop) * np.uint64(2 * c + 1) + np.uint64(c)
+    return out, bounds
 
 
-def _train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> np.ndarray:
-    """Weights and, last, the bias. pos, unl: distinct features of each document."""
-    docs = [*pos, *unl]
-    if not pos or not unl:
-        out = np.zeros((1 << BITS) + 1, np.float32)
-        out[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)) if not pos else 0
-        return out
-    flat = np.concatenate(docs)
-    in_pos = np.bincount(np.concatenate(pos), minlength=1 << BITS)
-    in_unl = np.bincount(np.concatenate(unl), minlength=1 << BITS)
-    share_p, share_u = in_pos / len(pos), in_unl / len(unl)
+def _train(docs: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, n_p: int, prior: float) -> Model:
+    """docs: distinct features and their counts of each document, the n_p confirmed ones first; size: words of each."""
+    none = np.zeros(0)
+    n_u = len(docs) - n_p
+    if not n_p or not n_u:
+        return Model(np.zeros(0, np.uint64), none, none, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
+    sizes = np.array([len(d[0]) for d in docs])
+    rows = np.repeat(np.arange(len(docs)), sizes)
+    names, cols = np.unique(np.concatenate([d[0] for d in docs]), return_inverse=True)
+    counts = np.concatenate([d[1] for d in docs])
+    in_pos = np.bincount(cols[rows < n_p], minlength=len(names))
+    in_unl = np.bincount(cols[rows >= n_p], minlength=len(names))
+    share_p, share_u = in_pos / n_p, in_unl / n_u
     both = (in_pos + in_unl + 1) / (len(docs) + 2)
-    z = (share_p - share_u) / np.sqrt(both * (1 - both) * (1 / len(pos) + 1 / len(unl)))
+    z = (share_p - share_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
     share_c = np.maximum(0, share_u - prior * share_p) / (1 - prior)  # the share in clean text, toxic text taken out
-    keep = (in_pos >= LEAST_DOCS) & (z >= LEAST_Z) & (share_p >= LEAST_LIFT * share_c)
-    sizes = np.array([int(keep[d].sum()) for d in docs])
-    flat = flat[keep[flat]]
-    names, cols = np.unique(flat, return_inverse=True)
-    rows = np.repeat(np.arange(len(docs)), sizes)
-    n_p, n_u = len(pos), len(unl)
-    w, b = np.zeros(len(names)), -2.0
+    keep = (in_pos >= max(LEAST_DOCS, LEAST_SHARE * n_p)) & (z >= LEAST_Z) & (share_p >= LEAST_LIFT * share_c)
+    names, place = names[keep], np.cumsum(keep) - 1
+    sel = keep[cols]
+    rows, cols, counts, m_f = rows[sel], place[cols[sel]], counts[sel], len(names)
+    # presence and rate of each feature, then the log length
+    vals = np.concatenate([np.ones(len(rows)), rates(counts, size[rows]), centred(size)])
+    cols = np.concatenate([cols, m_f + cols, np.full(len(docs), 2 * m_f)])
+    rows = np.concatenate([rows, rows, np.arange(len(docs))])
+    w, b = np.zeros(2 * m_f + 1), -2.0
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, EPOCHS + 1):
-        f = np.bincount(rows, weights=w[cols], minlength=len(docs)) + b
-        q = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        loss_clean = np.logaddexp(0, f)
+        f = np.bincount(rows, weights=w[cols] * vals, minlength=len(docs)) + b
+        inside = np.abs(f) < BOUND
+        q = 1 / (1 + np.exp(-np.clip(f, -BOUND, BOUND)))
+        loss_clean = np.logaddexp(0, np.clip(f, -BOUND, BOUND))
         rest = loss_clean[n_p:].mean() - prior * loss_clean[:n_p].mean()
         g = np.zeros(len(docs))
-        clean = np.concatenate([-prior * q[:n_p] / n_p, q[n_p:] / n_u])
+        clean = np.concatenate([-prior * q[:n_p] / n_p, q[n_p:] / n_u]) * inside
         if rest >= 0:
             g += clean
-            g[:n_p] += prior * (q[:n_p] - 1) / n_p
+            g[:n_p] += prior * (q[:n_p] - 1) * (f[:n_p] < BOUND) / n_p
         else:
             g -= clean
-        gw = np.bincount(cols, weights=g[rows], minlength=len(names)) + DECAY * w
+        gw = np.bincount(cols, weights=g[rows] * vals, minlength=len(w)) + DECAY * w
         gb = g.sum()
         m, s = 0.9 * m + 0.1 * gw, 0.999 * s + 0.001 * gw * gw
         mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
         step = RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w -= step * m / (np.sqrt(s) + 1e-8)
         b -= step * mb / (np.sqrt(sb) + 1e-8)
-    out = np.zeros((1 << BITS) + 1, np.float32)
-    out[names] = w
-    out[-1] = b
-    return out
+    return Model(names, w[:m_f], w[m_f:-1], float(w[-1]), float(b))
+
+
+def mean_model(models: list[Model]) -> Model:
+    """The model whose margin is the mean of the models' margins."""
+    k = len(models)
+    names, at = np.unique(np.concatenate([m.names for m in models]), return_inverse=True)
+    add = lambda x: np.bincount(at, weights=np.concatenate(x), minlength=len(names)) / k if len(names) else np.zeros(0)
+    return Model(names, add([m.present for m in models]), add([m.rate for m in models]), sum(m.size for m in models) / k, sum(m.bias for m in models) / k)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = kernel.utf8(batch.column(3))
         for lo, hi in kernel.slices(offs):
-            f, bounds, _ = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            out = [np.unique(f[bounds[i] : bounds[i + 1]]).astype("<i4").tobytes() for i in range(hi - lo)]
+            f, bounds = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            own = [np.unique(f[bounds[i] : bounds[i + 1]], return_counts=True) for i in range(hi - lo)]
             part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(out, pa.binary())], ["doc_id", "pos", "shard", "features"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(bounds)), pa.array([u.tobytes() for u, _ in own], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in own], pa.binary())], ["doc_id", "pos", "shard", "n", "features", "counts"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
-    """The bounded sample (doc_id, pos, shard, features) and the class prior among labelled training rows.
+    """The bounded sample (doc_id, pos, shard, n, features) and the class prior among labelled training rows.
 
     Training rows are those whose crc32(doc_id as text) mod 4 is not 2. Samples are the first rows by a hash of doc_id.
     """
@@ -117,50 +162,48 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int, unlabelled
     # at most positives * SHARDS + unlabelled ids: small enough to send to every task
     chosen = pos.union(unl)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return texts.select("doc_id", "pos", "shard", "text").mapInArrow(_sparse, "doc_id long, pos boolean, shard int, features binary"), float(prior or 0.0)
+    return texts.select("doc_id", "pos", "shard", "text").mapInArrow(_sparse, "doc_id long, pos boolean, shard int, n long, features binary, counts binary"), float(prior or 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> np.ndarray:
-    """Mean weights of the shards' classifiers; the last is the bias."""
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """The mean of the shards' classifiers."""
+    ship(docs.sparkSession)
     rows, prior = training_rows(docs, labels, positives, unlabelled)
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("pos", "ascending")])
-        known = table.column("pos").to_pylist()
-        got = [np.frombuffer(x, "<i4") for x in table.column("features").to_pylist()]
-        w = _train([x for x, p in zip(got, known, strict=True) if p], [x for x, p in zip(got, known, strict=True) if not p], prior)
-        return pa.table({"weights": pa.array([w.astype("<f4").tobytes()], pa.binary())})
+        table = table.sort_by([("pos", "descending"), ("doc_id", "ascending")])
+        own = [(np.frombuffer(f, np.uint64), np.frombuffer(c, "<i4")) for f, c in zip(table.column("features").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+        m = _train(own, table.column("n").to_numpy(), sum(table.column("pos").to_pylist()), prior)
+        return pa.table({"names": pa.array([m.names.tobytes()], pa.binary()), "weights": pa.array([np.concatenate([m.present, m.rate, [m.size, m.bias]]).tolist()], pa.list_(pa.float64()))})
 
-    found = rows.groupBy("shard").applyInArrow(one, "weights binary").collect()
+    found = rows.groupBy("shard").applyInArrow(one, "names binary, weights array<double>").collect()
     if not found:
-        return np.zeros((1 << BITS) + 1, np.float32)
-    return np.mean([np.frombuffer(bytes(r["weights"]), "<f4") for r in found], axis=0).astype(np.float32)
+        return _train([], np.zeros(0), 0, prior)
+    models = []
+    for r in found:
+        names, w = np.frombuffer(bytes(r["names"]), np.uint64), np.array(r["weights"])
+        models.append(Model(names, w[: len(names)], w[len(names) : -2], w[-2], w[-1]))
+    return mean_model(models)
 
 
-def toxicity(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text, ...), from the text alone.
 
-    A null or empty text scores by the bias. Null doc_ids are scored, held_out false. Repeated rows are kept; other
-    columns are ignored; an empty table gives an empty result.
+    A null or empty text scores by the bias and its length. Null doc_ids are scored, held_out false. Repeated rows
+    are kept; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(weights)
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
         for batch in batches:
             data, offs = kernel.utf8(batch.column(2))
-            margin = np.zeros(batch.num_rows)
+            margin = [np.zeros(0)]
             for lo, hi in kernel.slices(offs):
-                f, bounds, n = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                for i in np.flatnonzero(n):
-                    # most words weigh nothing: only those that do are made distinct
-                    own = f[bounds[i] : bounds[i + 1]].ravel()
-                    own = own[w[own] != 0]
-                    margin[lo + i] = w[np.unique(own)].sum()
-            score = 1 / (1 + np.exp(-np.clip(margin + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score.astype(float)), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                margin.append(sent.value.margins(*features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])))
+            score = 1 / (1 + np.exp(-np.clip(np.concatenate(margin), -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
