@@ -9,7 +9,8 @@ are few and dense, and no group is larger than one block or one bucket's share o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ WORDS, SEQUENCE, ANSWERS = 0, 1, 2
 def pack(values: np.ndarray) -> bytes:
     """Unsigned 32-bit integers as compressed byte planes."""
     v = np.ascontiguousarray(values, "<u4")
-    return zstandard.ZstdCompressor(level=1).compress(v.view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(v.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -38,7 +39,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 def pack_strings(items: list[bytes]) -> bytes:
     lengths = pack(np.fromiter(map(len, items), np.uint32, len(items)))
-    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=1).compress(b"".join(items))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(items))
 
 
 def unpack_strings(data: bytes) -> list[bytes]:
@@ -52,30 +53,28 @@ def record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
 
 
-def bucket_of(word: bytes, buckets: int) -> int:
-    import zlib
-
-    return zlib.crc32(word) % buckets
-
-
-def block_rows(docs: DataFrame, tokens: Callable[[str], Iterable[str]], buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def block_rows(docs: DataFrame, tokens: Callable[[str], list[str]], buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Sequence rows and word rows of every block of docs(doc_id, text); tokens gives a text's tokens in order."""
 
-    def emit(number: int, index: dict[str, int], ids: list, seqs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def emit(number: int, index: dict[str, int], ids: list, counts: list[np.ndarray], seqs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not ids:
             return
         block = (TaskContext.get().partitionId() << 32) + number
+        seq = np.concatenate(seqs) if seqs else np.zeros(0, np.uint32)
+        # small indices for frequent words make a dense sequence
+        order = np.argsort(-np.bincount(seq, minlength=len(index)), kind="stable") if index else np.zeros(0, np.int64)
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
         parts: list[list[bytes]] = [[] for _ in range(buckets)]
         places: list[list[int]] = [[] for _ in range(buckets)]
-        for word, i in index.items():
-            w = word.encode("utf-8", "surrogatepass")
-            b = bucket_of(w, buckets)
+        words = list(index)
+        for i, at in enumerate(order.tolist()):
+            w = words[at].encode("utf-8", "surrogatepass")
+            b = zlib.crc32(w) % buckets
             parts[b].append(w)
             places[b].append(i)
-        counts = np.fromiter(map(len, seqs), np.uint32, len(seqs))
-        home = block % buckets
-        yield record([(block, home, SEQUENCE, ids, pack(counts), pack(np.concatenate(seqs)))])
-        rows = [(block, b, WORDS, [], pack(np.array(places[b], np.uint32)), pack_strings(parts[b])) for b in range(buckets) if parts[b]]
+        yield record([(block, block % buckets, SEQUENCE, ids, pack(np.concatenate(counts)), pack(place[seq]))])
+        rows = [(block, b, WORDS, [], pack(np.diff(places[b], prepend=0)), pack_strings(parts[b])) for b in range(buckets) if parts[b]]
         if rows:
             yield record(rows)
 
@@ -83,19 +82,25 @@ def block_rows(docs: DataFrame, tokens: Callable[[str], Iterable[str]], buckets:
         number, size = 0, 0
         index: dict[str, int] = {}
         ids: list = []
+        counts: list[np.ndarray] = []
         seqs: list[np.ndarray] = []
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = list(tokens(text or ""))
-                    seqs.append(np.fromiter([index.setdefault(w, len(index)) for w in words], np.uint32, len(words)))
-                    ids.append(doc_id)
-                    size += len(text or "") + 8
-                    if size >= block_bytes:
-                        yield from emit(number, index, ids, seqs)
-                        number, size, index, ids, seqs = number + 1, 0, {}, [], []
-        yield from emit(number, index, ids, seqs)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                found = [tokens(t) for t in texts]
+                # Arrow tells the slice's tokens apart; only its distinct ones meet the block's index
+                local = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
+                seen = np.array([index.setdefault(w, len(index)) for w in local.dictionary.to_pylist()], np.uint32)
+                if len(seen):
+                    seqs.append(seen[local.indices.to_numpy()])
+                counts.append(np.fromiter(map(len, found), np.uint32, len(found)))
+                ids += part.column(0).to_pylist()
+                size += sum(map(len, texts)) + 8 * len(texts)
+                if size >= block_bytes:
+                    yield from emit(number, index, ids, counts, seqs)
+                    number, size, index, ids, counts, seqs = number + 1, 0, {}, [], [], []
+        yield from emit(number, index, ids, counts, seqs)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -124,7 +129,7 @@ def gathered(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, list[bytes]
         if row["kind"] == SEQUENCE:
             ids, counts, seq = row["doc_id"], unpack(row["counts"]), unpack(row["payload"])
         else:
-            places.append(unpack(row["counts"]))
+            places.append(np.cumsum(unpack(row["counts"]), dtype=np.int64))
             answers += unpack_strings(row["payload"])
     out: list[bytes] = [b""] * len(answers)
     for p, a in zip(np.concatenate(places).tolist() if places else [], answers, strict=True):

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from threadlake.llm import blocks
+from threadlake.llm import blocks, kernel
 from threadlake.session import ship
 
 #: Blocks deal their words into so many buckets for each input partition, MIN_BUCKETS at least.
@@ -98,35 +98,61 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     return rows.groupBy("block").applyInArrow(whole, "doc_id long, ids array<int>")
 
 
+def _pieces(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows lo to hi of a list column, their values, and the bounds of each row among them."""
+    column = pc.fill_null(column, []) if column.null_count else column
+    offs = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False)
+    for lo, hi in kernel.slices(offs, limit):
+        yield lo, hi, values[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+
+
+class Strings:
+    """Byte strings by number, for joining many at once."""
+
+    def __init__(self, items: list[bytes]):
+        self.data = np.frombuffer(b"".join(items), np.uint8)
+        self.lengths = np.fromiter(map(len, items), np.int64, len(items))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def join(self, numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of all numbers, one after another, and the byte bounds of each row."""
+        ends = np.concatenate([[0], np.cumsum(self.lengths[numbers])])
+        return blocks.ragged(numbers, self.data, self.starts, self.lengths), ends[bounds]
+
+
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, ids, decoded binary: every id of tokens(doc_id, ids) joined with its bytes. Null ids decode to nothing; an id without bytes raises KeyError."""
+    """doc_id, ids, decoded binary: every id of tokens(doc_id, ids) joined with its bytes. Null ids decode to nothing; an id without bytes raises IndexError or KeyError."""
     spark = tokens.sparkSession
     ship(spark)
-    table = spark.sparkContext.broadcast({i: b for b, i in ranks.items()})
+    of = {i: b for b, i in ranks.items()}
+    table = spark.sparkContext.broadcast([of[i] for i in range(len(of))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = table.value.__getitem__
+        names = Strings(table.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                out = [b"".join(map(find, x or [])) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            for lo, hi, values, bounds in _pieces(batch.column(1)):
+                data, ends = names.join(values, bounds)
+                out = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out], ["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of decode()'s rows."""
+def digests(decoded: DataFrame, vocabulary: int) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of decode()'s rows; ids are below vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text: dict[int, str] = {}
+        decimal = Strings([b" %d" % i for i in range(vocabulary)])
         for batch in batches:
-            ids_sha, out_sha = [], []
-            for lo in range(0, batch.num_rows, 256):
-                for ids, out in zip(batch.column(1).slice(lo, 256).to_pylist(), batch.column(2).slice(lo, 256).to_pylist(), strict=True):
-                    text.update((i, str(i)) for i in ids if i not in text)
-                    ids_sha.append(hashlib.sha256(" ".join(map(text.__getitem__, ids)).encode()).hexdigest())
-                    out_sha.append(hashlib.sha256(out).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(batch.column(1)).cast(pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids_sha = []
+            for lo, hi, values, bounds in _pieces(batch.column(1)):
+                data, ends = decimal.join(values, bounds)
+                ids_sha += [hashlib.sha256(data[min(a + 1, b) : b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            out, cut = kernel.utf8(batch.column(2))
+            out_sha = [hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            n = pc.fill_null(pc.list_value_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
