@@ -10,11 +10,17 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_threadlake_shipped"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per Spark context, so that tasks can import it wherever they run."""
+    """Send this package to the executors once per Spark context, so that tasks can import it wherever they run.
+
+    Texts may be long, so rows go to Python in smaller batches than Spark's default, unless the session says otherwise.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     if getattr(sc, _SHIPPED, False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
