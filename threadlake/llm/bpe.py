@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,15 +121,9 @@ class Strings:
         return blocks.ragged(numbers, self.data, self.starts, self.lengths), ends[bounds]
 
 
-def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, ids, decoded binary: every id of tokens(doc_id, ids) joined with its bytes. Null ids decode to nothing; an id without bytes raises IndexError or KeyError."""
-    spark = tokens.sparkSession
-    ship(spark)
-    of = {i: b for b, i in ranks.items()}
-    table = spark.sparkContext.broadcast([of[i] for i in range(len(of))])
-
+def _decoder(table: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Strings(table.value)
+        names = Strings(table)
         for batch in batches:
             for lo, hi, values, bounds in _pieces(batch.column(1)):
                 data, ends = names.join(values, bounds)
@@ -137,17 +131,31 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out], ["doc_id", "ids", "decoded"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return run
+
+
+def _table(ranks: dict[bytes, int]) -> list[bytes]:
+    of = {i: b for b, i in ranks.items()}
+    return [of[i] for i in range(len(of))]
+
+
+def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id, ids, decoded binary: every id of tokens(doc_id, ids) joined with its bytes. Null ids decode to nothing; an id without bytes raises IndexError."""
+    ship(tokens.sparkSession)
+    table = tokens.sparkSession.sparkContext.broadcast(_table(ranks))
+    return tokens.select("doc_id", "ids").mapInArrow(lambda batches: _decoder(table.value)(batches), "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame, vocabulary: int) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of decode()'s rows; ids are below vocabulary."""
+def decoded_digests(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: decode() and its digests in the same worker."""
+    ship(tokens.sparkSession)
+    table = tokens.sparkSession.sparkContext.broadcast(_table(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = Strings([b" %d" % i for i in range(vocabulary)])
-        for batch in batches:
+        decimal = Strings([b" %d" % i for i in range(len(table.value))])
+        for batch in _decoder(table.value)(batches):
             ids_sha = []
-            for lo, hi, values, bounds in _pieces(batch.column(1)):
+            for _, _, values, bounds in _pieces(batch.column(1)):
                 data, ends = decimal.join(values, bounds)
                 ids_sha += [hashlib.sha256(data[min(a + 1, b) : b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             out, cut = kernel.utf8(batch.column(2))
@@ -155,4 +163,4 @@ def digests(decoded: DataFrame, vocabulary: int) -> DataFrame:
             n = pc.fill_null(pc.list_value_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
