@@ -24,7 +24,7 @@ from threadlake.session import shared_dir, ship, stored
 
 CHUNK_IDS = 1 << 19
 #: A worker keeps ids of this many distinct pre-tokens, then starts anew: memory, not results, depends on it.
-KNOWN = 1_000_000
+KNOWN = 400_000
 LENGTHS = np.stack([(np.arange(256) >> s) & 3 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8) + 1
 FILE = "part int, chunk int, before long, n_ids long, doc_ids binary, has_id binary, counts binary, control binary, data binary"
 _worker: dict = {}
@@ -70,7 +70,7 @@ def _tokenizer(path: str, pattern: str):
 def _learn(w: dict, new: list[str]) -> None:
     n = len(w["index"]) - len(new)
     for e in range(0, len(new), 8192):
-        got = [x.ids for x in w["tokenizer"].encode_batch(new[e : e + 8192], add_special_tokens=False)]
+        got = [x.ids for x in w["tokenizer"].encode_batch_fast(new[e : e + 8192], add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
         while w["used"] + len(flat) > len(w["values"]):
@@ -95,18 +95,19 @@ def tokenise(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame
                 w = _tokenizer(path, pattern)
                 index, out, n = w["index"], [], []
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                seqs, new = [], []
-                for text in texts:
-                    if w["special"] is not None and w["special"].search(text):
-                        seqs.append(None)
-                        continue
-                    words = w["split"](text)
-                    had = len(index)
-                    seqs.append(np.fromiter([index.setdefault(x, len(index)) for x in words], np.int64, len(words)))
-                    if len(index) > had:
-                        new += list(index)[had:] if len(index) - had > 1000 else [x for x in dict.fromkeys(words) if index[x] >= had]
+                whole = [w["special"] is not None and w["special"].search(t) is not None for t in texts]
+                found = [[] if x else w["split"](t) for t, x in zip(texts, whole, strict=True)]
+                # Arrow tells the slice's tokens apart; only its distinct ones meet the worker's index
+                local = pa.array([x for words in found for x in words], pa.string()).dictionary_encode()
+                distinct = local.dictionary.to_pylist()
+                new = [x for x in distinct if x not in index]
+                index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
                 if new:
                     _learn(w, new)
+                place = np.fromiter(map(index.__getitem__, distinct), np.int64, len(distinct))
+                flat = place[local.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+                ends = np.cumsum([len(x) for x in found])
+                seqs = [None if x else flat[e - len(words) : e] for x, words, e in zip(whole, found, ends.tolist(), strict=True)]
                 for text, seq in zip(texts, seqs, strict=True):
                     ids = np.array(w["tokenizer"].encode(text, add_special_tokens=False).ids, np.uint32) if seq is None else blocks.ragged(seq, w["values"], w["starts"], w["lengths"]) if len(seq) else np.zeros(0, np.uint32)
                     ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
