@@ -82,7 +82,10 @@ class Model:
         """Score of each word for each language, and the bytes of the word if it has letters (else 0)."""
         hashes = kernel.hash_ranges(_BYTE[data], starts, ends)
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        s, e = starts[first], ends[first]
+        # in the order of the text, so that what lies between two words is read once
+        order = np.argsort(first)
+        inverse = np.argsort(order)[inverse]
+        s, e = starts[first[order]], ends[first[order]]
         feats, owner = grams(data, s, e)
         own = np.empty((len(s), len(self.langs)), np.float32)
         for k in range(len(self.langs)):
