@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, jaccard, langid, maxent, tokenfile, toxicity
+from threadlake.llm import bpe, jaccard, langid, maxent, tiff, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.languages(docs, langid.fit(docs))
+
+
+@query("op8_tiff")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_image_digests(documents(spark, sf_dir))
