@@ -173,8 +173,8 @@ def write(tokens: DataFrame, path: str, parts: int) -> None:
     spark.createDataFrame([(order.astype("<u4").tobytes(),)], "ids binary").write.parquet(f"{path}/ranks")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids binary (little-endian unsigned 32-bit) of every stored document."""
+def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), ids binary (little-endian unsigned 32-bit) of every stored document; with digests n_tokens and ids_crc32 for ids."""
     ranks = spark.read.schema("ids binary").parquet(f"{path}/ranks").first()["ids"]
     sent = spark.sparkContext.broadcast(bytes(ranks))
     chunks = spark.read.schema(FILE).parquet(f"{path}/chunks")
@@ -195,16 +195,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start), raw], ["doc_id", "start", "ids"])
 
-    return chunks.join(offsets, "part").mapInArrow(run, "doc_id long, start long, ids binary")
-
-
-def digests(stored_ids: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
             raw = batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return stored_ids.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = chunks.join(offsets, "part")
+    if digests:
+        return rows.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2) -> DataFrame:
@@ -220,4 +219,4 @@ def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2) -
     tokens = stored(tokenise(docs, tokenizer, pattern, end_id), "tokens")
     path = f"{shared_dir(spark)}/threadlake/ids-{uuid.uuid4().hex}"
     write(tokens, path, max(8, docs.select("doc_id").rdd.getNumPartitions()))
-    return digests(read(spark, path))
+    return read(spark, path, digests=True)
