@@ -30,6 +30,8 @@ from threadlake.session import ship, stored
 
 FOLD = 1024
 BLOCK = 384
+#: So many rows of two numbers are broadcast at most.
+MOST_SENT = 1_000_000
 #: Rounds of nearest members at most, before the round that tests all.
 ROUNDS = 3
 
@@ -179,7 +181,10 @@ def _shared(va, vb):
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose shingle sets reach the similarity, compared on the sets."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    which = nodes.join(need, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
+    which = stored(nodes.join(need, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node"), "which")
+    # up to MOST_SENT ids (16 bytes each) go to every task, so that texts stay where they are; beyond, both sides are shuffled
+    if which.count() <= MOST_SENT:
+        which = F.broadcast(which)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
