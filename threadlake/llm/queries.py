@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, jaccard, langid, maxent, tiff, tokenfile, toxicity
+from threadlake.llm import bpe, decontam, jaccard, langid, maxent, tiff, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,14 +41,14 @@ WITH RECURSIVE words AS (
   FROM documents),
 shingled AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
   FROM words),
 flat AS (SELECT doc_id, md5(unnest(s)) AS h FROM shingled),
 sizes AS (SELECT doc_id, len(s) AS n FROM shingled),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM flat a JOIN flat b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, l.b FROM reach r JOIN both l ON l.a = r.other)
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, l.b FROM reach r JOIN ways l ON l.a = r.other)
 SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id
 FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
 """
@@ -86,3 +86,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_tiff")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_image_digests(documents(spark, sf_dir))
+
+
+@query("op9_benchmark_decontamination", decontam.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
