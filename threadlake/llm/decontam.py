@@ -9,7 +9,7 @@ copies are told from exact ones, and matches that contradict themselves are left
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.session import ship, stored
@@ -36,7 +36,7 @@ STEPS = (
 )
 
 
-def marked(text: F.Column) -> F.Column:
+def marked(text: Column) -> Column:
     """The text's words, lower case, one blank between; placeholders are ¤n, ¤u and ¤p with their value."""
     for pattern, to in STEPS:
         text = F.regexp_replace(text, pattern, to)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, decontam, jaccard, langid, maxent, tiff, tokenfile, toxicity
+from threadlake.llm import bpe, decontam, jaccard, langid, maxent, tiff, tokenfile, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,43 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_benchmark_decontamination", decontam.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries made from the hosts of pages, as there is no list among the tables: about a fifth of hosts, and domains of some."""
+    host = F.regexp_extract(F.lower("url"), urlfilter.HOST, 1)
+    hosts = pages.select(host.alias("host")).where("host <> ''").distinct()
+    hosts = hosts.select("host", F.conv(F.substring(F.md5("host"), 1, 7), 16, 10).cast("long").alias("m"))
+    own = hosts.where("m % 5 = 0").selectExpr("host AS pattern", "m")
+    above = hosts.where("m % 97 = 0").selectExpr("regexp_extract(host, '[^.]+[.][^.]+$', 0) AS pattern", "m")
+    rows = own.union(above).selectExpr("concat('list', m % 3) AS list", "pattern", "m", "explode(sequence(0, 2)) AS k")
+    return rows.selectExpr("list", "pattern", "CASE WHEN k = 1 THEN 'remove' ELSE 'add' END AS action", "timestamp_seconds(1704067200 + (m % 1000) * 3600 + k * (m % 700) * 5400) AS ts")
+
+
+URL_SQL = r"""
+WITH cap AS (
+  SELECT page_id, url, to_timestamp(1704067200 + page_id * 420)::TIMESTAMP AS fetch_ts,
+    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', ''), '') AS host,
+    nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS segment
+  FROM pages),
+hosts AS (SELECT host, ('0x' || substr(md5(host), 1, 7))::BIGINT AS m FROM (SELECT DISTINCT regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host FROM pages) WHERE host <> ''),
+own AS (SELECT host AS pattern, m FROM hosts WHERE m % 5 = 0 UNION ALL SELECT regexp_extract(host, '[^.]+[.][^.]+$') AS pattern, m FROM hosts WHERE m % 97 = 0),
+entries AS (SELECT DISTINCT concat('list', m % 3) AS list, pattern, CASE WHEN k = 1 THEN 'remove' ELSE 'add' END AS action,
+  to_timestamp(1704067200 + (m % 1000) * 3600 + k * (m % 700) * 5400)::TIMESTAMP AS ts FROM own, range(0, 3) r(k)),
+spans AS (SELECT list, pattern, action, ts AS valid_from, lead(ts) OVER (PARTITION BY list, pattern ORDER BY ts, action) AS valid_to FROM entries),
+keyed AS (
+  SELECT DISTINCT page_id, url, fetch_ts, unnest(list_concat(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    CASE WHEN segment IS NULL THEN [] ELSE [host || '/' || segment] END)) AS pattern FROM cap WHERE host IS NOT NULL),
+hits AS (SELECT k.*, s.list FROM keyed k JOIN spans s ON s.pattern = k.pattern AND s.action = 'add' AND k.fetch_ts >= s.valid_from AND (s.valid_to IS NULL OR k.fetch_ts < s.valid_to)),
+found AS (SELECT page_id, url, fetch_ts, count(DISTINCT list || ' ' || pattern) AS n_active, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists, first(pattern ORDER BY length(pattern) DESC, pattern) AS pattern FROM hits GROUP BY 1, 2, 3)
+SELECT c.page_id, c.url, c.fetch_ts, c.host, f.n_active IS NOT NULL AS blocked, coalesce(f.n_active, 0) AS n_active, coalesce(f.lists, '') AS lists, f.pattern
+FROM cap c LEFT JOIN found f USING (page_id, url, fetch_ts)
+"""
+
+
+@query("op7_url_filter", URL_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    # pages have no fetch times: one every seven minutes, in order of page_id
+    captures = pages.withColumn("fetch_ts", F.expr("timestamp_seconds(1704067200 + page_id * 420)"))
+    return urlfilter.filtered(captures, list_entries(pages))
