@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, decontam, jaccard, langid, maxent, tiff, tokenfile, toxicity, urlfilter
+from threadlake.llm import bpe, decontam, jaccard, langid, maxent, pii, tiff, tokenfile, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,3 +131,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     # pages have no fetch times: one every seven minutes, in order of page_id
     captures = pages.withColumn("fetch_ts", F.expr("timestamp_seconds(1704067200 + page_id * 420)"))
     return urlfilter.filtered(captures, list_entries(pages))
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.personal_data(docs, pii.fit(docs))
