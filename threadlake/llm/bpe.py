@@ -146,8 +146,8 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(lambda batches: _decoder(table.value)(batches), "doc_id long, ids array<int>, decoded binary")
 
 
-def decoded_digests(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: decode() and its digests in the same worker."""
+def decoded_digests(tokens: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (with keep_ids also ids): decode() and its digests in the same worker."""
     ship(tokens.sparkSession)
     table = tokens.sparkSession.sparkContext.broadcast(_table(ranks))
 
@@ -161,6 +161,8 @@ def decoded_digests(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             out, cut = kernel.utf8(batch.column(2))
             out_sha = [hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             n = pc.fill_null(pc.list_value_length(batch.column(1)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), n, pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)] if keep_ids else columns, names)
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
+    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join by parity sketches.
 
-Every distinct 4-word shingle of a text flips one bit of a wide sketch (an XOR of one-bit hashes), so the
+Every distinct k-word shingle of a text flips one bit of a wide sketch (an XOR of one-bit hashes), so the
 Hamming distance of two sketches never exceeds the size of the symmetric difference of the shingle sets.
 Sets that reach the similarity differ in at most d shingles, d known from the sizes. The sketch is cut
 into K > d chunks: two linked sets agree on K - d chunks at least. Each set leaves out its K - d - 1
@@ -266,7 +266,7 @@ def _block_pairs(mixed: DataFrame, nodes: DataFrame, num: int, den: int, nearest
     return both.select("pair", "second", "node", "comp", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text, ...).
 
     Sets are the distinct k-word shingles of the A-Z-lowered text; fewer than k words make one shingle; null, empty

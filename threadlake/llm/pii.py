@@ -344,8 +344,8 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def personal_data(docs: DataFrame, net: Network, redact: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs(doc_id, text, ...); with redact also text, its spans replaced by <kind>.
+def personal_data(docs: DataFrame, net: Network) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs(doc_id, text, ...).
 
     Counts and digest are of the base spans; spans has all, by kind, start. Positions are code points, ends exclusive. A
     null text counts as empty. Null doc_ids and repeated rows are kept; other columns are ignored; an empty table gives
@@ -362,12 +362,10 @@ def personal_data(docs: DataFrame, net: Network, redact: bool = False) -> DataFr
             columns = [batch.column(0)]
             columns += [pa.array([sum(k == kind for k, _, _ in base) for base, _ in found], pa.int64()) for kind in KINDS]
             columns += [pa.array([hashlib.sha256(_join(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([_join(spans) for _, spans in found], pa.string())]
-            if redact:
-                columns.append(pa.array([None if t is None else redacted(t, spans) for t, (_, spans) in zip(batch.column(1).to_pylist(), found, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, [*names, "text"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", text string" * redact
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -379,3 +377,21 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
         out += [text[at : max(a, at)], f"<{kind}>"]
         at = b
     return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, net: Network) -> DataFrame:
+    """docs(text, ...) with every span replaced by <kind> and all other columns kept; n_chars, where there is one, is counted anew."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(net.p)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network(sent.value)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            found = all_spans([t or "" for t in texts], own)
+            out = pa.array([None if t is None else redacted(t, spans) if spans else t for t, (_, spans) in zip(texts, found, strict=True)], pa.string())
+            yield batch.set_column(at, batch.schema.names[at], out)
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -56,7 +56,7 @@ FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
 
 @query("op2_ngram_jaccard_join", JACCARD_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(documents(spark, sf_dir))
+    return jaccard.jaccard_components(documents(spark, sf_dir), k=4, num=85, den=100)
 
 
 @query("op10_maxent_lm")

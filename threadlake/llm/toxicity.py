@@ -207,3 +207,22 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs(text, ...) that score below threshold, with all their columns; nothing is shuffled."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = kernel.utf8(batch.column(at).cast(pa.string()))
+            margin = [np.zeros(0)]
+            for lo, hi in kernel.slices(offs):
+                margin.append(sent.value.margins(*features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])))
+            score = 1 / (1 + np.exp(-np.clip(np.concatenate(margin), -30, 30)))
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
