@@ -26,26 +26,47 @@ TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(),
 WORDS, SEQUENCE, ANSWERS = 0, 1, 2
 
 
+def deflated(data: bytes) -> bytes:
+    global _compressor
+    if _compressor is None:
+        _compressor = zstandard.ZstdCompressor(level=1)
+    return _compressor.compress(data)
+
+
+def inflated(data: bytes) -> bytes:
+    global _decompressor
+    if _decompressor is None:
+        _decompressor = zstandard.ZstdDecompressor()
+    return _decompressor.decompress(data)
+
+
+_compressor: zstandard.ZstdCompressor | None = None
+_decompressor: zstandard.ZstdDecompressor | None = None
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers as compressed byte planes."""
+    """Unsigned 32-bit integers as compressed byte planes, as many as the largest needs; their number comes first."""
     v = np.ascontiguousarray(values, "<u4")
-    return zstandard.ZstdCompressor(level=3).compress(v.view(np.uint8).reshape(-1, 4).T.tobytes())
+    planes = max(1, -(-int(v.max()).bit_length() // 8)) if len(v) else 1
+    return bytes((planes,)) + deflated(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+    raw = np.frombuffer(inflated(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((raw.shape[1], 4), np.uint8)
+    out[:, : data[0]] = raw.T
+    return out.view("<u4").ravel()
 
 
 def pack_strings(items: list[bytes]) -> bytes:
     lengths = pack(np.fromiter(map(len, items), np.uint32, len(items)))
-    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(items))
+    return len(lengths).to_bytes(4, "little") + lengths + deflated(b"".join(items))
 
 
 def unpack_strings(data: bytes) -> list[bytes]:
     n = int.from_bytes(data[:4], "little")
     ends = np.cumsum(unpack(data[4 : 4 + n]), dtype=np.int64).tolist()
-    text = zstandard.ZstdDecompressor().decompress(data[4 + n :])
+    text = inflated(data[4 + n :])
     return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
