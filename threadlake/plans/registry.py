@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return put
+
+
+def load() -> None:
+    """Import every module of queries."""
+    from threadlake.plans import aggregates  # noqa: F401
