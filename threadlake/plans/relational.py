@@ -208,7 +208,7 @@ def five_keys(spark, sf_dir):
     return wanted.groupBy(*keys).agg(F.max("l_linenumber").alias("last_line"))
 
 
-@query("jon09_enriched_hits", "WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) SELECT o_orderkey, rank, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber) AS parts FROM h LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query("jon09_enriched_hits", "WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) SELECT o_orderkey, rank, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM h LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def enriched(spark, sf_dir):
     top = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
     h = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")))  # 20 rows
@@ -339,9 +339,9 @@ def normalised_dedup(spark, sf_dir):
     return p.groupBy("brand", "type").agg(F.min("p_partkey").alias("p_partkey"))
 
 
-@query("set04_keep_last", "SELECT l_orderkey, l_suppkey, arg_max(l_quantity, l_linenumber) AS l_quantity FROM lineitem GROUP BY 1, 2")
+@query("set04_keep_last", "SELECT l_orderkey, l_suppkey, arg_max(l_quantity, (l_linenumber, l_quantity)) AS l_quantity FROM lineitem GROUP BY 1, 2")
 def keep_last(spark, sf_dir):
-    return ops.last_row(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_suppkey"], [F.col("l_linenumber")]).select("l_orderkey", "l_suppkey", "l_quantity")
+    return ops.last_row(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_suppkey"], [F.col("l_linenumber"), F.col("l_quantity")]).select("l_orderkey", "l_suppkey", "l_quantity")
 
 
 @query("set05_first_wins", "SELECT p_brand, lower(p_type) AS subject, arg_min(p_name, p_partkey) AS name FROM part GROUP BY 1, 2")
