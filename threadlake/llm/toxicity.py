@@ -23,7 +23,7 @@ from threadlake.session import ship
 
 PREFIXES = (5, 6, 7, 9)
 #: Bounds of the training sample: confirmed toxic documents, unlabelled documents, and shards of the latter.
-POSITIVES, UNLABELLED, SHARDS = 3000, 8000, 4
+POSITIVES, UNLABELLED, SHARDS = 2000, 6000, 4
 #: A feature counts if so many confirmed documents, and such a share of them, have it, its share there exceeds that in
 #: unlabelled text by so many standard errors, and that in clean text so many times.
 LEAST_DOCS, LEAST_SHARE, LEAST_Z, LEAST_LIFT = 3, 0.02, 4.0, 4.0
@@ -32,7 +32,7 @@ EPOCHS, RATE, DECAY = 300, 0.05, 1e-4
 MOST_RATE = 8.0
 #: Margins beyond this lose no more: one example's risk is bounded, as the estimator needs.
 BOUND = 3.0
-TABLE_BITS = 20
+TABLE_BITS, SCREEN_BITS = 20, 22
 
 
 class Model:
@@ -84,6 +84,14 @@ def _train(docs: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, n_p: int
     n_u = len(docs) - n_p
     if not n_p or not n_u:
         return Model(np.zeros(0, np.uint64), none, none, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
+    # a table of counts by hash, never below the true count, leaves out what too few confirmed documents have
+    least = max(LEAST_DOCS, LEAST_SHARE * n_p)
+    slot = np.uint64(64 - SCREEN_BITS)
+    common = np.zeros(1 << SCREEN_BITS, np.int32)
+    for f, _ in docs[:n_p]:
+        common[np.unique(f >> slot)] += 1
+    may = common >= least
+    docs = [(f[ok], c[ok]) for f, c in docs for ok in (may[f >> slot],)]
     sizes = np.array([len(d[0]) for d in docs])
     rows = np.repeat(np.arange(len(docs)), sizes)
     names, cols = np.unique(np.concatenate([d[0] for d in docs]), return_inverse=True)
@@ -94,7 +102,7 @@ def _train(docs: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, n_p: int
     both = (in_pos + in_unl + 1) / (len(docs) + 2)
     z = (share_p - share_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
     share_c = np.maximum(0, share_u - prior * share_p) / (1 - prior)  # the share in clean text, toxic text taken out
-    keep = (in_pos >= max(LEAST_DOCS, LEAST_SHARE * n_p)) & (z >= LEAST_Z) & (share_p >= LEAST_LIFT * share_c)
+    keep = (in_pos >= least) & (z >= LEAST_Z) & (share_p >= LEAST_LIFT * share_c)
     names, place = names[keep], np.cumsum(keep) - 1
     sel = keep[cols]
     rows, cols, counts, m_f = rows[sel], place[cols[sel]], counts[sel], len(names)
@@ -170,11 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     ship(docs.sparkSession)
     rows, prior = training_rows(docs, labels, positives, unlabelled)
 
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("pos", "descending"), ("doc_id", "ascending")])
-        own = [(np.frombuffer(f, np.uint64), np.frombuffer(c, "<i4")) for f, c in zip(table.column("features").to_pylist(), table.column("counts").to_pylist(), strict=True)]
-        m = _train(own, table.column("n").to_numpy(), sum(table.column("pos").to_pylist()), prior)
-        return pa.table({"names": pa.array([m.names.tobytes()], pa.binary()), "weights": pa.array([np.concatenate([m.present, m.rate, [m.size, m.bias]]).tolist()], pa.list_(pa.float64()))})
+    def one(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for batch in batches:
+            parts += zip(*(c.to_pylist() for c in batch.select(["pos", "doc_id", "n", "features", "counts"]).columns), strict=True)
+        parts.sort(key=lambda r: (not r[0], r[1]))
+        own = [(np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], "<i4")) for r in parts]
+        m = _train(own, np.array([r[2] for r in parts]), sum(r[0] for r in parts), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([m.names.tobytes()], pa.binary()), pa.array([np.concatenate([m.present, m.rate, [m.size, m.bias]]).tolist()], pa.list_(pa.float64()))], ["names", "weights"])
 
     found = rows.groupBy("shard").applyInArrow(one, "names binary, weights array<double>").collect()
     if not found:
