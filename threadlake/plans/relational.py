@@ -208,13 +208,13 @@ def five_keys(spark, sf_dir):
     return wanted.groupBy(*keys).agg(F.max("l_linenumber").alias("last_line"))
 
 
-@query("jon09_enriched_hits", "WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) SELECT o_orderkey, rank, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM h LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query("jon09_enriched_hits", "WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) SELECT o_orderkey, rank, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey), '') AS parts FROM h LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def enriched(spark, sf_dir):
     top = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
     h = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")))  # 20 rows
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
-    g = li.join(F.broadcast(h), "o_orderkey").groupBy("o_orderkey", "rank").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"))
-    return g.select("o_orderkey", "rank", F.array_join(F.transform("s", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+    own = li.join(F.broadcast(h.select("o_orderkey")), "o_orderkey").groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"))
+    return h.join(own, "o_orderkey", "left").select("o_orderkey", "rank", F.coalesce(F.array_join(F.transform("s", lambda x: x["l_partkey"].cast("string")), ","), F.lit("")).alias("parts"))
 
 
 @query("jon10_left_counts", "SELECT c_custkey, count(o_orderkey) AS segments FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 ORDER BY segments DESC, c_custkey LIMIT 10")

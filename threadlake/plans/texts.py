@@ -253,10 +253,10 @@ def hybrid(spark, sf_dir):
     return ov.reciprocal_rank_fusion([b, k], "id")
 
 
-@query("vec14_fact_decay", "SELECT o_orderkey, round(c * CASE WHEN d OR age <= 365 THEN 1e0 WHEN age >= 730 THEN 5e-1 ELSE 1e0 - 5e-1 * (age - 365) / 365 END, 6) AS confidence FROM (SELECT o_orderkey, o_totalprice / 5e5 AS c, o_orderpriority = '1-URGENT' AS d, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS age FROM orders)")
+@query("vec14_fact_decay", "SELECT o_orderkey, c * (CASE WHEN d OR age <= 365 THEN 1e0 WHEN age >= 730 THEN 5e-1 ELSE 1e0 - 5e-1 * (age - 365) / 365 END) AS confidence FROM (SELECT o_orderkey, o_totalprice / 5e5 AS c, o_orderpriority = '1-URGENT' AS d, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS age FROM orders)")
 def decay(spark, sf_dir):
     age = F.datediff(F.lit("1998-08-02").cast("date"), F.to_date("o_orderdate"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(ov.age_decay(F.col("o_totalprice") / 500000, age, F.col("o_orderpriority") == "1-URGENT"), 6).alias("confidence"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", ov.age_decay(F.col("o_totalprice") / 500000, age, F.col("o_orderpriority") == "1-URGENT").alias("confidence"))
 
 
 @query("vec16_template_match", """
