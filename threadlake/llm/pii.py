@@ -34,7 +34,7 @@ TRIGGER = re.compile(r"[0-9@]+|[\[(] ?(?:at|dot) ?[\])]")
 WIDTH, STRIDE, MARGIN = 64, 32, 24
 #: Bounds of the training sample: documents drawn, windows kept.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 6000, 1600
-HIDDEN, EPOCHS, BATCH, RATE = 16, 12, 64, 0.02
+HIDDEN, EPOCHS, BATCH, RATE = 16, 22, 64, 0.02
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 SIGNS = ".@+-()_%,:;/#$&*'\"=<>|!?[]{}\\~^`"
 
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 spans = base_spans(text)
                 for a in windows(text):
-                    own = [(k, b - a, min(e, a + WIDTH) - a) for k, b, e in spans if b < a + WIDTH and e > a and b >= a]
+                    own = [(k, b - a, min(e, a + WIDTH) - a) for k, b, e in spans if b < a + WIDTH and e > a]
                     ids.append(text[a : a + WIDTH])
                     spans_out.append(",".join(f"{k}:{b}:{e}" for k, b, e in own))
                     # windows with spans come first, in an order of their content
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
     pairs = []
     for r in own:
         spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
-        pairs.append(disguised(r["text"], spans, pick) if pick.random() < 0.25 else (r["text"], spans))
+        pairs.append(disguised(r["text"], spans, pick) if all(a >= 0 for _, a, _ in spans) and pick.random() < 0.25 else (r["text"], spans))
     return train(pairs)
 
 
@@ -322,8 +322,18 @@ def tagged(texts: list[str], net: Network) -> list[list[tuple[str, int, int]]]:
     return out
 
 
+def plausible(kind: str, span: str) -> bool:
+    """Whether a found span has what its kind cannot be without."""
+    digits = len(DIGIT.findall(span))
+    if kind == "email":
+        return len(span) >= 6 and ("@" in span or re.search(r"[\[(] ?at ?[\])]", span) is not None)
+    if kind == "ip":
+        return digits >= 4 and len(re.findall("[0-9]+", span)) == 4
+    return 13 <= digits <= 19 if kind == "card" else 8 <= digits <= 15
+
+
 def all_spans(texts: list[str], net: Network) -> list[tuple[list, list]]:
-    """Of each text its base spans, and all spans: the network's are added where they hold a trigger and meet no base span."""
+    """Of each text its base spans, and all spans: the network's are added where they are plausible and meet no base span."""
     out = []
     for text, found in zip(texts, tagged(texts, net), strict=True):
         base = base_spans(text)
@@ -334,7 +344,7 @@ def all_spans(texts: list[str], net: Network) -> list[tuple[list, list]]:
                 a += 1
             while b > a and text[b - 1].isspace():
                 b -= 1
-            if b - a >= 6 and TRIGGER.search(text, a, b) and not any(x < b and a < y for x, y in taken):
+            if plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken):
                 added.append((kind, a, b))
         out.append((base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
