@@ -143,15 +143,16 @@ def answered(rows: DataFrame, answer: Callable[[list[bytes]], list[bytes]], buck
     return rows.repartition(buckets, "bucket").mapInArrow(run, SCHEMA)
 
 
-def gathered(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, list[bytes]]:
+def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list, np.ndarray, np.ndarray, list[bytes]]:
     """Of one block: doc_ids, tokens of each, the sequence of word indices, and every word's answer."""
     ids, counts, seq, places, answers = [], np.zeros(0, np.uint32), np.zeros(0, np.uint32), [], []
-    for row in table.to_pylist():
-        if row["kind"] == SEQUENCE:
-            ids, counts, seq = row["doc_id"], unpack(row["counts"]), unpack(row["payload"])
-        else:
-            places.append(np.cumsum(unpack(row["counts"]), dtype=np.int64))
-            answers += unpack_strings(row["payload"])
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kind"] == SEQUENCE:
+                ids, counts, seq = row["doc_id"], unpack(row["counts"]), unpack(row["payload"])
+            else:
+                places.append(np.cumsum(unpack(row["counts"]), dtype=np.int64))
+                answers += unpack_strings(row["payload"])
     out: list[bytes] = [b""] * len(answers)
     for p, a in zip(np.concatenate(places).tolist() if places else [], answers, strict=True):
         out[p] = a

@@ -23,6 +23,8 @@ from threadlake.session import ship
 
 #: Blocks deal their words into so many buckets for each input partition, MIN_BUCKETS at least.
 MIN_BUCKETS = 96
+#: Tokens of a block that are put together at once, about.
+PIECE = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,11 +68,12 @@ def _buckets(docs: DataFrame) -> int:
     return max(MIN_BUCKETS, 2 * docs.select("doc_id").rdd.getNumPartitions())
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = blocks.BLOCK_BYTES, then: Callable | None = None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """doc_id, ids array<int> for every row of docs(doc_id, text, ...): each match of pattern merged on its own.
 
     Null text counts as empty; empty text has no ids. Repeated rows and null doc_ids are kept. Other columns are
-    ignored, whatever their names. An empty table gives an empty result.
+    ignored, whatever their names. An empty table gives an empty result. then may turn the batches into others of
+    the given schema in the same worker.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -84,18 +87,25 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
         own = table.value
         return [np.array(merge(w, own), "<u4").tobytes() for w in words]
 
-    def whole(t: pa.Table) -> pa.Table:
-        ids, counts, seq, found = blocks.gathered(t)
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts, seq, found = blocks.gathered(batches)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         values = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
+        del found
         starts = np.cumsum(lengths) - lengths
-        flat = blocks.ragged(seq, values, starts, lengths) if len(seq) else np.zeros(0, np.int32)
-        per_token = np.concatenate([[0], np.cumsum(lengths[seq])]) if len(seq) else np.zeros(1, np.int64)
-        offsets = per_token[np.concatenate([[0], np.cumsum(counts)])]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))})
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        for lo, hi in kernel.slices(ends, PIECE):  # the block comes out a piece at a time
+            part = seq[ends[lo] : ends[hi]]
+            per_token = np.concatenate([[0], np.cumsum(lengths[part])])
+            flat = blocks.ragged(part, values, starts, lengths) if len(part) else np.zeros(0, np.int32)
+            offsets = per_token[ends[lo : hi + 1] - ends[lo]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+
+    def whole(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(texts(batches)) if then else texts(batches)
 
     rows = blocks.answered(blocks.block_rows(docs, tokens, buckets, block_bytes), answer, buckets)
-    return rows.groupBy("block").applyInArrow(whole, "doc_id long, ids array<int>")
+    return rows.groupBy("block").applyInArrow(whole, schema)
 
 
 def _pieces(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -146,14 +156,15 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(lambda batches: _decoder(table.value)(batches), "doc_id long, ids array<int>, decoded binary")
 
 
-def decoded_digests(tokens: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (with keep_ids also ids): decode() and its digests in the same worker."""
-    ship(tokens.sparkSession)
-    table = tokens.sparkSession.sparkContext.broadcast(_table(ranks))
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digester(table: list[bytes], keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = Strings([b" %d" % i for i in range(len(table.value))])
-        for batch in _decoder(table.value)(batches):
+        decimal = Strings([b" %d" % i for i in range(len(table))])
+        for batch in _decoder(table)(batches):
             ids_sha = []
             for _, _, values, bounds in _pieces(batch.column(1)):
                 data, ends = decimal.join(values, bounds)
@@ -164,5 +175,11 @@ def decoded_digests(tokens: DataFrame, ranks: dict[bytes, int], keep_ids: bool =
             columns = [batch.column(0), n, pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)] if keep_ids else columns, names)
 
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return run
+
+
+def encoded_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: bool = False, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (with keep_ids also ids): encode(), decode() and digests of both, the last two in encode()'s worker."""
+    ship(docs.sparkSession)
+    table = docs.sparkSession.sparkContext.broadcast(_table(ranks))
+    return encode(docs, ranks, pattern, block_bytes, lambda batches: _digester(table.value, keep_ids)(batches), DIGESTS + ", ids array<int>" * keep_ids)

@@ -32,7 +32,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.decoded_digests(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.encoded_digests(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
 JACCARD_SQL = r"""
