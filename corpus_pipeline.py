@@ -50,7 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.decoded_digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, keep_ids=True)
+    return bpe.encoded_digests(docs, ranks, public_tokenizers.PATTERN, keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
