@@ -2,46 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = r"[a-z0-9]{2,}"
 
 
-def tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, word of every run of two or more of a-z and 0-9 in the lowered text, other letters breaking no word in two.
+def word_array(text: str | Column) -> Column:
+    """Runs of two or more of a-z and 0-9 in the lowered text; runs that touch other letters are left out, as word borders have it."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike(f"^{WORDS}$"))
 
-    Runs that touch other letters are left out, as word borders have it.
-    """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike(f"^{WORDS}$"))
-    return docs.select(key, F.explode(words).alias("word"))
+
+def tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, word of every word of the text."""
+    return docs.select(key, F.explode(word_array(text)).alias("word"))
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return tokens(docs, key, text).groupBy(key, "word").agg(F.count("*").alias("tf"))
 
 
+def occurrences(words: str, word: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == word))
+
+
 def bm25(docs: DataFrame, query: str, key: str, limit: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, text: str = "text") -> DataFrame:
     """key, score of the best documents for the query's words (Okapi, k1, b; words in more than half of all documents get epsilon times the mean idf).
 
-    Counts of words and documents are aggregates over all documents; only the query's words are joined back.
+    Document frequencies are counted over all documents; the query's words come back as one row that goes to every task.
     """
     import re
 
-    words = re.findall(WORDS, query.lower())
-    tf = term_counts(docs, key, text)
-    lengths = tf.groupBy(key).agg(F.sum("tf").alias("len"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    words = list(dict.fromkeys(asked := re.findall(WORDS, query.lower())))
+    d = docs.select(key, word_array(text).alias("w")).where(F.size("w") > 0)
     one = F.lit(1).alias("one")
-    n = corpus.select("*", one)
-    idf = df.withColumn("one", F.lit(1)).join(F.broadcast(n), "one").select("word", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean")).select("*", one)
-    asked = docs.sparkSession.createDataFrame([(w, words.count(w)) for w in dict.fromkeys(words)] or [("", 0)], "word string, times int")
-    own = idf.join(F.broadcast(asked), "word").withColumn("one", F.lit(1)).join(F.broadcast(mean), "one").select("word", "times", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    hits = tf.join(F.broadcast(own), "word").join(lengths, key)
-    score = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return hits.groupBy(key).agg(F.round(F.sum(score), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
+    corpus = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"), one)
+    # each document counts once for a word: partial counts are made before the shuffle
+    df = d.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.max(F.lit(1)).alias("one"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    every = df.join(F.broadcast(corpus), "one").select("word", "n", "avgdl", idf.alias("idf"))
+    own = every.agg(F.avg("idf").alias("mean"), F.max("avgdl").alias("avgdl"), *[F.max(F.when(F.col("word") == w, F.col("idf"))).alias(f"i{k}") for k, w in enumerate(words)], one)
+    score = F.lit(0.0)
+    for k, w in enumerate(words):
+        tf = occurrences("w", w)
+        i = F.when(F.col(f"i{k}") < 0, epsilon * F.col("mean")).otherwise(F.col(f"i{k}"))
+        score = score + F.coalesce(asked.count(w) * i * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("w") / F.col("avgdl"))), F.lit(0.0))
+    hits = d.withColumn("one", F.lit(1)).join(F.broadcast(own), "one")
+    return hits.select(key, F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 
 def tfidf_keywords(docs: DataFrame, cluster: str, key: str, top: int) -> DataFrame:
