@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +75,6 @@ def semantic_dedup(facts: DataFrame, keys: list[str], order: str, threshold: flo
     Keys are (subject, predicate) in use: small groups. The scan is order-dependent, hence one function a group.
     """
     import numpy as np
-    import pandas as pd
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -124,8 +124,6 @@ def passive_feedback(sent: DataFrame, suggestions: DataFrame, minutes: int = 10,
 
 def match_boundaries(detected: DataFrame, gold: DataFrame, tolerance: int = 1) -> DataFrame:
     """conv_id, tp, n_detected, n_gold: boundaries matched one to one in order, at most tolerance apart."""
-    import pandas as pd
-
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         d, g = (sorted(pdf.loc[pdf["side"] == k, "pos"]) for k in ("d", "g"))
         i = j = tp = 0
@@ -158,7 +156,6 @@ def topic_segments(messages: DataFrame, threshold: float = 0.35, gap_factor: flo
     import re
 
     import numpy as np
-    import pandas as pd
 
     name = re.compile(r"\b[A-Z][a-z]{2,}\b")
 
@@ -196,7 +193,6 @@ def hash_embedding(text: str, dim: int = 64) -> Column:
 
 def decode_attributed_body(column: str) -> Column:
     """Text of a typed stream: the string behind the NSString marker and a plus sign, one byte of length; null where there is none."""
-    import pandas as pd
     from pyspark.sql import types as T
 
     def one(data: bytes | None) -> str | None:
