@@ -369,3 +369,37 @@ def test_empty_tables(spark, docs, ranks):
     assert langid.languages(none, langid.fit(none)).count() == 0
     assert pii.personal_data(none, pii.fit(none)).count() == 0
     assert tiff.text_image_digests(none).count() == 0
+
+
+def test_token_starts_equal_pattern():
+    import random
+
+    import regex
+
+    from threadlake.llm import pretokens
+
+    assert pretokens.PATTERN == pt.PATTERN
+    pick = random.Random(0)
+    letters = "ab'stmdrvel  \n\t.,!12é日 　🙂’_\x1c\x85"
+    for _ in range(500):
+        texts = ["".join(pick.choice(letters) for _ in range(pick.randrange(0, 14))) for _ in range(6)]
+        joined, _, s, e, b = pretokens.token_bounds(texts)
+        assert [[joined[x:y] for x, y in zip(s[b[i] : b[i + 1]], e[b[i] : b[i + 1]])] for i in range(6)] == [regex.findall(pt.PATTERN, t) for t in texts]
+
+
+def test_other_patterns_are_applied():
+    from threadlake.llm import pretokens
+
+    joined, _, s, e, b = pretokens.token_bounds(["ab cd", "", "x"], r"\w+|\s+")
+    assert [joined[x:y] for x, y in zip(s, e)] == ["ab", " ", "cd", "x"] and b.tolist() == [0, 3, 3, 4]
+    with pytest.raises(ValueError):
+        pretokens.token_bounds(["a b"], r"\w+")
+
+
+def test_places_under_load():
+    from threadlake.llm.pretokens import Places
+
+    p, h = Places(8), np.unique(np.random.default_rng(0).integers(1, 2**63, 200, dtype=np.uint64))
+    p.add(h[:90], np.arange(90, dtype=np.int32))
+    p.add(h[90:], np.arange(90, len(h), dtype=np.int32))
+    assert p.find(h).tolist() == list(range(len(h))) and (p.find(h + np.uint64(1)) == -1).all()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm import blocks
+from threadlake.llm import blocks, kernel
+from threadlake.llm.pretokens import Places, token_bounds, token_hashes
 from threadlake.session import shared_dir, ship, stored
 
 CHUNK_IDS = 1 << 19
 #: A worker keeps ids of this many distinct pre-tokens, then starts anew: memory, not results, depends on it.
 KNOWN = 900_000
+PLACE_BITS = 22
+#: Characters that are split at once, about.
+SLICE = 3 << 20
 LENGTHS = np.stack([(np.arange(256) >> s) & 3 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8) + 1
 FILE = "part int, chunk int, before long, n_ids long, doc_ids binary, has_id binary, counts binary, control binary, data binary"
 _worker: dict = {}
@@ -53,26 +58,29 @@ def read_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokenizer(path: str, pattern: str):
-    """This worker's tokenizer and the ids of the pre-tokens that it has met."""
-    if _worker.get("path") != path or len(_worker["index"]) > KNOWN:
+def _tokenizer(path: str) -> dict:
+    """This worker's tokenizer, and the ids of the pre-tokens that it has met, by their hashes."""
+    if _worker.get("path") != path:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _worker.update(path=path, tokenizer=Tokenizer.from_file(path), split=regex.compile(pattern).findall, special=None, index={}, values=np.zeros(1 << 20, np.uint32), used=0, lengths=np.zeros(1 << 18, np.int64), starts=np.zeros(1 << 18, np.int64))
-        added = [t.content for t in _worker["tokenizer"].get_added_tokens_decoder().values()]
-        _worker["special"] = regex.compile("|".join(map(regex.escape, added))) if added else None
+        own = Tokenizer.from_file(path)
+        added = [t.content for t in own.get_added_tokens_decoder().values()]
+        _worker.update(path=path, tokenizer=own, special=regex.compile("|".join(map(regex.escape, added))) if added else None, places=None)
+    if _worker["places"] is None or _worker["n"] > KNOWN:
+        _worker.update(places=Places(PLACE_BITS), n=0, used=0, values=np.zeros(1 << 20, np.uint32), lengths=np.zeros(1 << 18, np.int64), starts=np.zeros(1 << 18, np.int64))
     return _worker
 
 
 def _learn(w: dict, new: list[str]) -> None:
-    n = len(w["index"]) - len(new)
+    """Encode words and keep their ids under the next numbers."""
     for e in range(0, len(new), 8192):
         got = [x.ids for x in w["tokenizer"].encode_batch_fast(new[e : e + 8192], add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
+        n = w["n"]
         while w["used"] + len(flat) > len(w["values"]):
             w["values"] = np.concatenate([w["values"], np.zeros_like(w["values"])])
         while n + len(got) > len(w["lengths"]):
@@ -82,38 +90,41 @@ def _learn(w: dict, new: list[str]) -> None:
         w["lengths"][n : n + len(got)] = lengths
         w["starts"][n : n + len(got)] = w["used"] + np.cumsum(lengths) - lengths
         w["used"] += len(flat)
-        n += len(got)
+        w["n"] += len(got)
 
 
 def tokenise(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
-    """doc_id, n (ids with the end id), packed ids. pattern is the tokenizer's own pre-tokenisation; a text with one of its added tokens goes to it whole."""
+    """doc_id, n (ids with the end id), packed ids. pattern is the tokenizer's own pre-tokenisation; a text with one of its added tokens goes to it whole.
+
+    A worker asks the tokenizer once for each pre-token that it meets; pre-tokens are told apart by 64-bit hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                w = _tokenizer(path, pattern)
-                index, out, n = w["index"], [], []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                whole = [w["special"] is not None and w["special"].search(t) is not None for t in texts]
-                found = [[] if x else w["split"](t) for t, x in zip(texts, whole, strict=True)]
-                # Arrow tells the slice's tokens apart; only its distinct ones meet the worker's index
-                local = pa.array([x for words in found for x in words], pa.string()).dictionary_encode()
-                distinct = local.dictionary.to_pylist()
-                new = [x for x in distinct if x not in index]
-                index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-                if new:
-                    _learn(w, new)
-                place = np.fromiter(map(index.__getitem__, distinct), np.int64, len(distinct))
-                flat = place[local.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
-                ends = np.cumsum([len(x) for x in found])
-                seqs = [None if x else flat[e - len(words) : e] for x, words, e in zip(whole, found, ends.tolist(), strict=True)]
-                for text, seq in zip(texts, seqs, strict=True):
-                    ids = np.array(w["tokenizer"].encode(text, add_special_tokens=False).ids, np.uint32) if seq is None else blocks.ragged(seq, w["values"], w["starts"], w["lengths"]) if len(seq) else np.zeros(0, np.uint32)
-                    ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
-                    n.append(len(ids))
-                    out.append(blocks.pack(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "packed"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+            for lo, hi in kernel.slices(sizes, SLICE):
+                w = _tokenizer(path)
+                own = texts[lo:hi]
+                whole = {i for i, t in enumerate(own) if w["special"] is not None and w["special"].search(t)}
+                joined, points, starts, ends, bounds = token_bounds(["" if i in whole else t for i, t in enumerate(own)], pattern)
+                distinct, first, inverse = np.unique(token_hashes(points, starts, ends), return_index=True, return_inverse=True)
+                place = w["places"].find(distinct)
+                new = np.flatnonzero(place < 0)
+                if len(new):
+                    place[new] = np.arange(w["n"], w["n"] + len(new))
+                    a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+                    _learn(w, [joined[x:y] for x, y in zip(a, b, strict=True)])
+                    w["places"].add(distinct[new], place[new])
+                seq = place[inverse]
+                flat = blocks.ragged(seq, w["values"], w["starts"], w["lengths"]) if len(seq) else np.zeros(0, np.uint32)
+                cuts = np.concatenate([[0], np.cumsum(w["lengths"][seq])])[bounds].tolist()
+                out, n = [], []
+                for i in range(hi - lo):
+                    ids = np.array(w["tokenizer"].encode(own[i], add_special_tokens=False).ids, np.uint32) if i in whole else flat[cuts[i] : cuts[i + 1]]
+                    n.append(len(ids) + 1)
+                    out.append(blocks.pack(np.append(ids, np.uint32(end_id))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "packed"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, packed binary")
 
