@@ -58,7 +58,7 @@ def tfidf_keywords(docs: DataFrame, cluster: str, key: str, top: int) -> DataFra
     size = docs.groupBy(cluster).agg(F.count("*").alias("size"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    w = in_cluster.join(df, "word").join(F.broadcast(size), cluster).withColumn("one", F.lit(1)).join(F.broadcast(n), "one")
+    w = in_cluster.join(df, "word").join(size, cluster).withColumn("one", F.lit(1)).join(F.broadcast(n), "one")
     w = w.withColumn("weight", F.round(F.col("tf") / F.col("size") * F.log(F.col("n") / F.col("df")), 6))
     r = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("weight"), "word"))
     return w.withColumn("rn", r).where(F.col("rn") <= top).select(cluster, "word", "weight", "rn")

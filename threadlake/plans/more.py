@@ -9,7 +9,7 @@ from threadlake.operators import messages as ops
 from threadlake.operators import vectors as ov
 from threadlake.plans.registry import query
 from threadlake.plans.texts import I8, _knn, first_vector
-from threadlake.session import ship
+from threadlake.session import ship, small
 from threadlake.sources.tables import CV, EV, chat_messages, table
 from threadlake.streaming import messages as st
 
@@ -95,7 +95,7 @@ def nearest_of_many(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(1).alias("one"))
-    s = e.withColumn("one", F.lit(1)).join(F.broadcast(q) if q.count() <= 100_000 else q, "one").where("vec_id <> query_id").select("query_id", "vec_id", ov.dot("embedding", "q").alias("sim"))
+    s = e.withColumn("one", F.lit(1)).join(small(q), "one").where("vec_id <> query_id").select("query_id", "vec_id", ov.dot("embedding", "q").alias("sim"))
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "vec_id", "rank")
 

@@ -10,6 +10,7 @@ from threadlake.operators import sequences as seq
 from threadlake.operators import text as ot
 from threadlake.operators import vectors as ov
 from threadlake.plans.registry import query
+from threadlake.session import small
 from threadlake.sources.tables import CV, chat_messages, table
 
 
@@ -265,9 +266,9 @@ s AS (SELECT vec_id, t.label, list_sum(list_transform(list_zip(e.embedding, t.c)
 SELECT vec_id, arg_max(label, (sim, -label)) AS template, round(max(sim), 5) AS similarity FROM s GROUP BY 1""")
 def template_match(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    # one template a label: a bounded table that is sent to every task
+    # one template a label, sent to every task while they are few
     t = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).withColumn("one", F.lit(1))
-    s = e.where("vec_id % 10 = 3").withColumn("one", F.lit(1)).select("vec_id", "embedding", "one").join(F.broadcast(t), "one").withColumn("sim", ov.dot("embedding", "c"))
+    s = e.where("vec_id % 10 = 3").withColumn("one", F.lit(1)).select("vec_id", "embedding", "one").join(small(t), "one").withColumn("sim", ov.dot("embedding", "c"))
     return s.groupBy("vec_id").agg(F.max_by("label", F.struct("sim", -F.col("label"))).alias("template"), F.round(F.max("sim"), 5).alias("similarity"))
 
 

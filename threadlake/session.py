@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED = "_threadlake_shipped"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -54,3 +55,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/threadlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has most rows or fewer; beyond that the join is left to Spark. Counting df is an action."""
+    return F.broadcast(df) if df.count() <= most else df
