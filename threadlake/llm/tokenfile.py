@@ -26,10 +26,10 @@ from threadlake.session import shared_dir, ship, stored
 
 CHUNK_IDS = 1 << 19
 #: A worker keeps ids of this many distinct pre-tokens, then starts anew: memory, not results, depends on it.
-KNOWN = 900_000
-PLACE_BITS = 22
+KNOWN = 600_000
+PLACE_BITS = 21
 #: Characters that are split at once, about.
-SLICE = 3 << 20
+SLICE = 1 << 20
 LENGTHS = np.stack([(np.arange(256) >> s) & 3 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8) + 1
 FILE = "part int, chunk int, before long, n_ids long, doc_ids binary, has_id binary, counts binary, control binary, data binary"
 _worker: dict = {}
