@@ -108,3 +108,11 @@ def test_rules_fold(spark):
     d = spark.createDataFrame([(1, "ab"), (2, "b")], "x int, t string")
     assert d.where(ops.rules([("x", "greater_than", 1), ("t", "contains", "A")], "any")).count() == 2
     assert d.where(ops.rules([])).count() == 2
+
+
+def test_normalised(spark):
+    rows = [("  a\u200b  b\n\nSent from my phone",), ("Loved \u201chi\u201d",), ("\U0001f600\U0001f600\U0001f600\U0001f600 ok",), (None,), ("Removed a heart from \u201cx",)]
+    d = spark.createDataFrame(rows, "text string").select(tx.normalised("text").alias("text"))
+    once = [r[0] for r in d.collect()]
+    assert once == ["a b", "", "\U0001f600\U0001f600 ok", "", ""]
+    assert [r[0] for r in d.select(tx.normalised("text")).collect()] == once

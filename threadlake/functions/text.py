@@ -143,3 +143,17 @@ def gate_features(text: str) -> dict[str, Column]:
     words = F.filter(F.split(F.lower(t), r"\s+"), lambda x: x != "")
     share = lambda p: F.when(n > 0, (n - F.length(F.regexp_replace(t, p, ""))) / n).otherwise(0.0)
     return {"n_chars": n, "n_words": F.size(words), "upper": share(r"\p{Lu}"), "digits": share(r"\p{Nd}"), "asks": F.contains(t, F.lit("?")), "shouts": F.contains(t, F.lit("!")), "first_person": F.arrays_overlap(F.slice(words, 1, 5), F.array(*[F.lit(w) for w in ("i", "i'm", "my", "me", "we")])), "brief": F.size(words) <= 3}
+
+
+INVISIBLE = r"[\x{200B}-\x{200F}\x{2028}-\x{202F}\x{2060}-\x{206F}\x{FEFF}\x{FFFC}]"
+SIGNATURE = r"(?i)\s*\n\s*sent from my [^\n]*$"
+REACTION = r'(?i)^\s*(Liked|Loved|Disliked|Laughed at|Emphasized|Questioned|Removed an? [a-z ]+ from)\s+["“]'
+
+
+def normalised(text: str) -> Column:
+    """Text for comparison: reactions become empty, invisible characters and a phone's signature go, white space is single, an emoji three times or more is twice. Null is empty; applying it twice changes nothing."""
+    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), INVISIBLE, "")
+    t = F.regexp_replace(t, SIGNATURE, "")
+    t = F.regexp_replace(t, r"([\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}])\1{2,}", "$1$1")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.when(t.rlike(REACTION), "").otherwise(t)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlake.functions import text as tx
 from threadlake.operators import facts as of
 from threadlake.operators import messages as ops
 from threadlake.operators import vectors as ov
@@ -136,3 +137,9 @@ def fleiss(spark, sf_dir):
     po, p = F.col("agree") / F.col("n"), F.col("yes") / (3.0 * F.col("n"))
     pe = p * p + (1 - p) * (1 - p)
     return k.select("n", F.round(po, 6).alias("agreement"), F.round((po - pe) / (1 - pe), 6).alias("kappa"))
+
+
+@query("scl09_normalised", f"SELECT id, CASE WHEN regexp_matches(t, '{tx.REACTION}') THEN '' ELSE t END AS text FROM (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{tx.INVISIBLE}', '', 'g'), '{tx.SIGNATURE}', ''), '\\s+', ' ', 'g')) AS t FROM {CV})")
+def normalised(spark, sf_dir):
+    """The data hold no emoji, which SQL here could not collapse."""
+    return chat_messages(spark, sf_dir).select("id", tx.normalised("text").alias("text"))
