@@ -77,15 +77,12 @@ def response_pressure(text: str) -> Column:
         "info_question": has(INFO),
         "wh_word": wh,
     }
-    pick = lambda at: _chain([(features[r[0]], r[at]) for r in RULES], ("low", "optional", 0.5)[at - 1], t, ("none", "closing", 0.0)[at - 1])
-    return F.struct(pick(1).alias("pressure"), pick(2).alias("kind"), pick(3).alias("confidence"))
-
-
-def _chain(rules: list[tuple[Column, object]], default: object, t: Column, blank: object) -> Column:
-    out = F.when(t == "", blank)
-    for cond, value in rules:
-        out = out.when(cond, value)
-    return out.otherwise(default)
+    step = F.when(t == "", 0)
+    for i, rule in enumerate(RULES, 1):
+        step = step.when(features[rule[0]], i)
+    table = [("none", "closing", 0.0), *[r[1:] for r in RULES], ("low", "optional", 0.5)]
+    rows = F.array(*[F.struct(F.lit(p).alias("pressure"), F.lit(k).alias("kind"), F.lit(c).alias("confidence")) for p, k, c in table])
+    return F.get(rows, step.otherwise(len(RULES) + 1))
 
 
 def sql(source: str) -> str:

@@ -17,10 +17,6 @@ URGENT = ("urgent", "asap", "emergency", "important", "critical", "immediately",
 TAPBACKS = {2000: "love", 2001: "like", 2002: "dislike", 2003: "laugh", 2004: "emphasize", 2005: "question", 3000: "removed_love", 3001: "removed_like", 3002: "removed_dislike", 3003: "removed_laugh", 3004: "removed_emphasize", 3005: "removed_question"}
 APPLE_EPOCH_MICROS = 978307200000000
 
-#: Runs of letters, digits, _ and '; those of ASCII letters and ' alone are words of the lexicon.
-TOKEN = r"[\p{L}\p{N}_']+"
-
-
 def apple_timestamp(nanos: str) -> Column:
     """Nanoseconds since 2001-01-01 UTC to a timestamp; null counts as 0, fractions under a microsecond go."""
     return F.timestamp_micros(F.floor(F.coalesce(F.col(nanos), F.lit(0)) / 1000).cast("long") + F.lit(APPLE_EPOCH_MICROS))
@@ -36,13 +32,12 @@ def tapback(code: str) -> Column:
 
 
 def lexicon_tokens(text: str | Column) -> Column:
-    toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    trimmed = F.transform(toks, lambda x: F.regexp_replace(x, "^'+|'+$", ""))
-    return F.transform(F.filter(trimmed, lambda x: x.rlike("^[a-z']+$")), lambda x: F.replace(x, F.lit("'"), F.lit("")))
+    """Lowered words without apostrophes; what holds other signs or letters is in no lexicon and needs no filter."""
+    return F.split(F.replace(F.lower(text), F.lit("'"), F.lit("")), r"[^\p{L}\p{N}_]+")
 
 
 def _emoji(text: str | Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]", ""))
+    return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
 def sentiment_parts(text: str) -> Column:

@@ -10,7 +10,7 @@ WORDS = r"[a-z0-9]{2,}"
 
 def word_array(text: str | Column) -> Column:
     """Runs of two or more of a-z and 0-9 in the lowered text; runs that touch other letters are left out, as word borders have it."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike(f"^{WORDS}$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){WORDS}(?![\p{{L}}\p{{N}}_])"), F.lit(0))
 
 
 def tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
