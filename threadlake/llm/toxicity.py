@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm import kernel
-from threadlake.session import ship
+from threadlake.session import ship, stored
 
 PREFIXES = (5, 6, 7, 9)
 #: Bounds of the training sample: confirmed toxic documents, unlabelled documents, and shards of the latter.
@@ -32,7 +32,7 @@ EPOCHS, RATE, DECAY = 300, 0.05, 1e-4
 MOST_RATE = 8.0
 #: Margins beyond this lose no more: one example's risk is bounded, as the estimator needs.
 BOUND = 3.0
-TABLE_BITS, SCREEN_BITS = 20, 22
+TABLE_BITS = 20
 
 
 class Model:
@@ -84,14 +84,7 @@ def _train(docs: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, n_p: int
     n_u = len(docs) - n_p
     if not n_p or not n_u:
         return Model(np.zeros(0, np.uint64), none, none, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    # a table of counts by hash, never below the true count, leaves out what too few confirmed documents have
     least = max(LEAST_DOCS, LEAST_SHARE * n_p)
-    slot = np.uint64(64 - SCREEN_BITS)
-    common = np.zeros(1 << SCREEN_BITS, np.int32)
-    for f, _ in docs[:n_p]:
-        common[np.unique(f >> slot)] += 1
-    may = common >= least
-    docs = [(f[ok], c[ok]) for f, c in docs for ok in (may[f >> slot],)]
     sizes = np.array([len(d[0]) for d in docs])
     rows = np.repeat(np.arange(len(docs)), sizes)
     names, cols = np.unique(np.concatenate([d[0] for d in docs]), return_inverse=True)
@@ -143,58 +136,76 @@ def mean_model(models: list[Model]) -> Model:
     return Model(names, add([m.present for m in models]), add([m.rate for m in models]), sum(m.size for m in models) / k, sum(m.bias for m in models) / k)
 
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with the features and word bounds of the texts in column at."""
     for batch in batches:
-        data, offs = kernel.utf8(batch.column(3))
+        data, offs = kernel.utf8(batch.column(at))
         for lo, hi in kernel.slices(offs):
-            f, bounds = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            own = [np.unique(f[bounds[i] : bounds[i + 1]], return_counts=True) for i in range(hi - lo)]
-            part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(bounds)), pa.array([u.tobytes() for u, _ in own], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in own], pa.binary())], ["doc_id", "pos", "shard", "n", "features", "counts"])
+            yield batch.slice(lo, hi - lo), *features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
-    """The bounded sample (doc_id, pos, shard, n, features) and the class prior among labelled training rows.
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each feature is."""
+    for _, f, bounds in _rows(batches, 0):
+        own = [np.unique(f[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        names, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["name", "n"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
+    """The bounded sample (doc_id, pos, unl, shard, text) and the class prior among labelled training rows.
 
     Training rows are those whose crc32(doc_id as text) mod 4 is not 2. Samples are the first rows by a hash of doc_id.
     """
-    spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     prior = own.agg(F.avg("toxic")).first()[0]
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    pos = own.where("toxic = 1").select("doc_id").orderBy(*order).limit(positives)
-    pos = pos.select("doc_id", F.lit(True).alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("shard"))
+    pos = own.where("toxic = 1").select("doc_id").orderBy(*order).limit(positives).withColumn("pos", F.lit(True))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").where(fold)
-    unl = ids.distinct().orderBy(*order).limit(unlabelled).select("doc_id", F.lit(False).alias("pos"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SHARDS)).cast("int").alias("shard"))
-    # at most positives * SHARDS + unlabelled ids: small enough to send to every task
-    chosen = pos.union(unl)
+    unl = ids.distinct().orderBy(*order).limit(unlabelled).withColumn("unl", F.lit(True))
+    # at most positives + unlabelled ids: small enough to send to every task
+    chosen = pos.join(unl, "doc_id", "full").select("doc_id", F.coalesce("pos", F.lit(False)).alias("pos"), F.coalesce("unl", F.lit(False)).alias("unl"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return texts.select("doc_id", "pos", "shard", "text").mapInArrow(_sparse, "doc_id long, pos boolean, shard int, n long, features binary, counts binary"), float(prior or 0.0)
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SHARDS)).cast("int")
+    return stored(texts.select("doc_id", "pos", "unl", shard.alias("shard"), "text"), "toxic-sample"), float(prior or 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """The mean of the shards' classifiers."""
-    ship(docs.sparkSession)
-    rows, prior = training_rows(docs, labels, positives, unlabelled)
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
+    """The mean of the shards' classifiers; all have the confirmed examples, each its share of the unlabelled ones. prior: the toxic share, where labels are no fair sample."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows, found = sample(docs, labels, positives, unlabelled)
+    prior = found if prior is None else prior
+    known = rows.where("pos")
+    least = max(LEAST_DOCS, int(np.ceil(LEAST_SHARE * known.count())))
+    # features that enough confirmed texts have: their number is bounded by the features of a text over LEAST_SHARE
+    common = known.select("text").mapInArrow(_counts, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("name").collect()
+    names = spark.sparkContext.broadcast(np.sort(np.array([r["name"] for r in common], np.int64).view(np.uint64)))
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, f, bounds in _rows(batches, 4):
+            own = [np.unique(f[a:b][np.isin(f[a:b], names.value)], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            columns = [pa.array(np.diff(bounds)), pa.array([u.tobytes() for u, _ in own], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], ["doc_id", "pos", "unl", "shard", "n", "features", "counts"])
 
     def one(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for batch in batches:
-            parts += zip(*(c.to_pylist() for c in batch.select(["pos", "doc_id", "n", "features", "counts"]).columns), strict=True)
+            parts += zip(*(c.to_pylist() for c in batch.select(["confirmed", "doc_id", "n", "features", "counts"]).columns), strict=True)
         parts.sort(key=lambda r: (not r[0], r[1]))
         own = [(np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], "<i4")) for r in parts]
         m = _train(own, np.array([r[2] for r in parts]), sum(r[0] for r in parts), prior)
         yield pa.RecordBatch.from_arrays([pa.array([m.names.tobytes()], pa.binary()), pa.array([np.concatenate([m.present, m.rate, [m.size, m.bias]]).tolist()], pa.list_(pa.float64()))], ["names", "weights"])
 
-    found = rows.groupBy("shard").applyInArrow(one, "names binary, weights array<double>").collect()
-    if not found:
-        return _train([], np.zeros(0), 0, prior)
+    sparse_rows = rows.mapInArrow(sparse, "doc_id long, pos boolean, unl boolean, shard int, n long, features binary, counts binary")
+    roles = F.concat(F.when(F.col("pos"), F.transform(F.sequence(F.lit(0), F.lit(SHARDS - 1)), lambda s: F.struct(s.alias("shard"), F.lit(True).alias("confirmed")))).otherwise(F.array().cast("array<struct<shard:int,confirmed:boolean>>")), F.when(F.col("unl"), F.array(F.struct(F.col("shard"), F.lit(False).alias("confirmed")))).otherwise(F.array().cast("array<struct<shard:int,confirmed:boolean>>")))
+    dealt = sparse_rows.withColumn("role", F.explode(roles)).select("role.shard", "role.confirmed", "doc_id", "n", "features", "counts")
     models = []
-    for r in found:
-        names, w = np.frombuffer(bytes(r["names"]), np.uint64), np.array(r["weights"])
-        models.append(Model(names, w[: len(names)], w[len(names) : -2], w[-2], w[-1]))
-    return mean_model(models)
+    for r in dealt.groupBy("shard").applyInArrow(one, "names binary, weights array<double>").collect():
+        own, w = np.frombuffer(bytes(r["names"]), np.uint64), np.array(r["weights"])
+        models.append(Model(own, w[: len(own)], w[len(own) : -2], w[-2], w[-1]))
+    return mean_model(models) if models else _train([], np.zeros(0), 0, prior)
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
