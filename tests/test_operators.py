@@ -116,3 +116,16 @@ def test_normalised(spark):
     once = [r[0] for r in d.collect()]
     assert once == ["a b", "", "\U0001f600\U0001f600 ok", "", ""]
     assert [r[0] for r in d.select(tx.normalised("text")).collect()] == once
+
+
+def test_resegment_sees_the_rows_before(spark, tmp_path):
+    from threadlake.streaming import messages as st
+
+    src, base = str(tmp_path / "in"), str(tmp_path / "out")
+    for k, rows in enumerate([[(1, 1, at(0)), (2, 1, at(20))], [(3, 1, at(40)), (4, 1, at(120))]]):
+        spark.createDataFrame(rows, "id long, chat_id long, date timestamp").coalesce(1).write.mode("append").parquet(f"{src}/{k}")
+    both = spark.readStream.schema("id long, chat_id long, date timestamp").option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    st.resegment(both, base)
+    got = {r["id"]: (r["batch"], r["thread_id"]) for r in spark.read.parquet(f"{base}/threads").collect()}
+    assert set(got) == {1, 2, 3, 4} and got[3][0] != got[1][0]
+    assert got[1][1] == got[2][1] == got[3][1] != got[4][1]

@@ -131,3 +131,16 @@ def fan_out(spark, sf_dir):
     base = f"{shared_dir(spark)}/threadlake/fan-{uuid.uuid4().hex}"
     st.fan_out(stream(spark, sf_dir), [lambda df, b: df.write.mode("append").parquet(f"{base}/index"), lambda df, b: df.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{base}/counts")])
     return spark.read.parquet(f"{base}/counts").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("str04_resegment", f"""
+WITH g AS (SELECT chat_id, id, sum(CASE WHEN prev IS NULL OR date_diff('microsecond', prev, date) > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY chat_id ORDER BY date, id) AS k, date FROM (SELECT *, lag(date) OVER (PARTITION BY chat_id ORDER BY date, id) AS prev FROM {EV}))
+SELECT chat_id, count(DISTINCT k) AS threads, count(*) AS n FROM g GROUP BY 1""")
+def resegment_threads(spark, sf_dir):
+    import uuid
+
+    from threadlake.session import shared_dir
+
+    base = f"{shared_dir(spark)}/threadlake/segments-{uuid.uuid4().hex}"
+    st.resegment(stream(spark, sf_dir), base)
+    return spark.read.parquet(f"{base}/threads").groupBy("chat_id").agg(F.countDistinct("thread_id").alias("threads"), F.count("*").alias("n"))

@@ -86,3 +86,27 @@ def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]]) ->
             df.unpersist()
 
     drain(stream, "append", each)
+
+
+def resegment(stream: DataFrame, base: str, minutes: int = 30, context: int = 5) -> None:
+    """Cut every batch's messages into threads, each chat's last context messages before them in view; rows go to base/threads.
+
+    A row's thread_id is that of the first message in view of its thread. Messages themselves are kept in base/messages;
+    chats are keys of the shuffle, so no two tasks cut the same chat.
+    """
+    from pyspark.sql import Window
+
+    from threadlake.operators.sequences import gap_threads
+
+    def each(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        new = df.select("id", "chat_id", "date").withColumn("fresh", F.lit(True))
+        view = new
+        if batch:
+            w = Window.partitionBy("chat_id").orderBy(F.desc("date"), F.desc("id"))
+            old = spark.read.parquet(f"{base}/messages").join(new.select("chat_id").distinct(), "chat_id", "left_semi")
+            view = new.unionByName(old.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= context).drop("rn").withColumn("fresh", F.lit(False)))
+        gap_threads(view, minutes).where("fresh").select("id", "chat_id", "thread_id", F.lit(batch).alias("batch")).write.mode("append").parquet(f"{base}/threads")
+        new.drop("fresh").write.mode("append").parquet(f"{base}/messages")
+
+    drain(stream, "append", each)
