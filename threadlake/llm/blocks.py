@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.llm import kernel
+
 BLOCK_BYTES = 32 << 20
 SCHEMA = "block long, bucket int, kind int, doc_id array<bigint>, counts binary, payload binary"
 NAMES = ["block", "bucket", "kind", "doc_id", "counts", "payload"]
@@ -123,7 +125,7 @@ def block_rows(docs: DataFrame, tokens: Callable[[str], list[str]], buckets: int
                     number, size, index, ids, counts, seqs = number + 1, 0, {}, [], [], []
         yield from emit(number, index, ids, counts, seqs)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kernel.lean(run), SCHEMA)
 
 
 def answered(rows: DataFrame, answer: Callable[[list[bytes]], list[bytes]], buckets: int) -> DataFrame:
@@ -140,7 +142,7 @@ def answered(rows: DataFrame, answer: Callable[[list[bytes]], list[bytes]], buck
                     row |= {"kind": ANSWERS, "payload": pack_strings([known[w] for w in words])}
                 yield record([tuple(row[n] for n in NAMES)])
 
-    return rows.repartition(buckets, "bucket").mapInArrow(run, SCHEMA)
+    return rows.repartition(buckets, "bucket").mapInArrow(kernel.lean(run), SCHEMA)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list, np.ndarray, np.ndarray, list[bytes]]:

@@ -105,7 +105,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
         return then(texts(batches)) if then else texts(batches)
 
     rows = blocks.answered(blocks.block_rows(docs, tokens, buckets, block_bytes), answer, buckets)
-    return rows.groupBy("block").applyInArrow(whole, schema)
+    return rows.groupBy("block").applyInArrow(kernel.lean(whole), schema)
 
 
 def _pieces(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -156,7 +156,7 @@ def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     ["doc_id", "n_shingles", "node", "sketch", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kernel.lean(run), "doc_id long, n_shingles long, node long, sketch binary, keys array<bigint>")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)], pa.binary()), pa.array(np.diff(bounds))], ["node", "members", "n"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(which, "doc_id")
-    sets = stored(texts.select("node", "text").mapInArrow(run, "node long, members binary, n long").dropDuplicates(["node"]), "sets")
+    sets = stored(texts.select("node", "text").mapInArrow(kernel.lean(run), "node long, members binary, n long").dropDuplicates(["node"]), "sets")
     x = pairs.join(sets.withColumnsRenamed({"node": "a", "members": "va", "n": "na"}), "a").join(sets.withColumnsRenamed({"node": "b", "members": "vb", "n": "nb"}), "b")
     x = x.withColumn("both", _shared("va", "vb"))
     return x.where(F.expr(f"{den} * both >= {num} * (na + nb - both)")).select("a", "b")
@@ -263,7 +263,7 @@ def _block_pairs(mixed: DataFrame, nodes: DataFrame, num: int, den: int, nearest
         if held is not None and len(held[0]):
             yield out(held, len(held[0]))
 
-    return both.select("pair", "second", "node", "comp", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return both.select("pair", "second", "node", "comp", "n", "sketch").mapInArrow(kernel.lean(run), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

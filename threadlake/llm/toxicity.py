@@ -247,4 +247,4 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             score = 1 / (1 + np.exp(-np.clip(np.concatenate(margin), -30, 30)))
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel.lean(run), docs.schema)
