@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from threadlake.llm import bpe, decontam, jaccard, pii, toxicity
 from threadlake.session import stored
 
+#: Text of a block in the last stage: smaller than alone, as executors still hold what earlier stages needed.
+BLOCK_BYTES = 12 << 20
 #: Up to so many ids are sent to every task to leave rows out; beyond, both sides are shuffled.
 MOST_SENT = 1_000_000
 
@@ -50,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.encoded_digests(docs, ranks, public_tokenizers.PATTERN, keep_ids=True)
+    return bpe.encoded_digests(docs, ranks, public_tokenizers.PATTERN, keep_ids=True, block_bytes=BLOCK_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
