@@ -43,12 +43,39 @@ def marked(text: Column) -> Column:
     return F.trim(F.lower(text))
 
 
+def _hashed(rows: DataFrame, key: str) -> DataFrame:
+    """key, typed, bare: word hashes of rows(key, marked), placeholders without their values and as nothing but their values."""
+    words = rows.select(key, F.split("marked", " ").alias("words"))
+    typed = F.transform("words", lambda x: F.xxhash64(F.when(x.startswith("¤"), F.substring(x, 1, 2)).otherwise(x)))
+    bare = F.transform("words", lambda x: F.xxhash64(F.when(x.startswith("¤"), F.substring(x, F.lit(3), F.length(x))).otherwise(x)))
+    return words.select(key, typed.alias("typed"), bare.alias("bare"))
+
+
 def windows(rows: DataFrame, key: str) -> DataFrame:
-    """key, pos, window (hash) of every window of rows(key, marked), and of each row its number of words."""
-    words = rows.select(key, F.split(F.regexp_replace("marked", "(¤[nup])[^ ]*", "$1"), " ").alias("words"))
-    # words are hashed once, windows are hashes of slices of hashes
-    hashed = words.select(key, F.transform("words", lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= WINDOW)
-    return hashed.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("h") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("h"), i, F.lit(WINDOW))))).alias("pos", "window"))
+    """key, pos, window (hash), bare of every window of rows(key, marked); a window with placeholders comes twice, once by its bare words."""
+    # words are hashed once, windows are hashes of slices of hashes; a filter on sizes would be pushed down and repeat the expressions
+    n = F.size("typed") - (WINDOW - 1)
+    at = F.when(n > 0, F.sequence(F.lit(1), n))
+    cut = lambda h, i: F.slice(F.col(h), i, F.lit(WINDOW))
+    typed = F.transform(at, lambda i: F.xxhash64(cut("typed", i)))
+    bare = F.transform(at, lambda i: F.when(cut("typed", i) != cut("bare", i), F.xxhash64(cut("bare", i))))
+    both = F.when(F.col("typed") == F.col("bare"), typed).otherwise(F.concat(typed, bare))
+    found = _hashed(rows, key).select(key, n.alias("n"), F.posexplode(both).alias("p", "window")).where("window IS NOT NULL")
+    return found.select(key, F.expr("CASE WHEN p < n THEN p ELSE p - n END").alias("pos"), "window", F.expr("p >= n").alias("bare"))
+
+
+def _whole(items: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """doc_id, item_id of the rows(doc_id, marked) that hold all words of an item with fewer than WINDOW, in a row; None without such items."""
+    short = _hashed(items.where("marked <> ''"), "item_id").where(F.size("bare") < WINDOW).select("item_id", F.size("bare").alias("n"), F.xxhash64("bare").alias("window"))
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())
+    if not lengths:
+        return None
+    size = F.size("bare")
+
+    def runs(n: int) -> Column:
+        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(F.slice(F.col("bare"), i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+    return stored(_hashed(rows, "doc_id").select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("window")).join(_sent(short.drop("n")), "window").select("doc_id", "item_id").distinct(), "whole")
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -61,20 +88,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_windows counts the item's windows that the document has, coverage is their share of all of the item's. Windows count
     that have PLAIN plain words. kind is 'exact' where all lined-up values are the item's, 'reparameterised' where each value
     of the item stands for one of the document's. Where one stands for several the pair is left out, unless LEAST
-    windows match that have no placeholder: 'partial'. Null texts and those with fewer than WINDOW words match nothing;
-    rows with a null doc_id or item_id are left out; rows of one doc_id (or item_id) are taken together. Other columns
-    are ignored. Empty tables give an empty result.
+    windows match that have no placeholder: 'partial'. Pairs not found so far are found by bare words ('exact'): LEAST windows,
+    with however few plain words, that match with their values, apart from case, and hold WINDOW + LEAST - 1 words of the item (all, of a
+    shorter one). Here n_windows and coverage are of all windows; an item with fewer than WINDOW words is one window.
+    Null texts and items without a word match nothing; rows with a null doc_id or item_id are left out; rows of one doc_id
+    (or item_id) are taken together. Other columns are ignored. Empty tables give an empty result.
     """
     ship(docs.sparkSession)
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), marked(F.col("text").cast("string")).alias("marked")).where("item_id IS NOT NULL AND marked IS NOT NULL"), "items")
     words = items.select("item_id", F.posexplode(F.split("marked", " ")).alias("ipos", "word"))
-    own = windows(items, "item_id").select("item_id", F.col("pos").alias("ipos"), "window").distinct()
+    cut = stored(windows(items, "item_id").select("item_id", F.col("pos").alias("ipos"), "window", "bare").distinct(), "cut")
+    own = cut.where("NOT bare").drop("bare")
     plain = own.join(words.select("item_id", F.col("ipos").alias("at"), (~F.col("word").startswith("¤")).cast("int").alias("plain")), "item_id").where(f"at BETWEEN ipos AND ipos + {WINDOW - 1}")
-    own = stored(plain.groupBy("item_id", "ipos", "window").agg(F.sum("plain").alias("plain"), F.count("*").alias("n")).where(f"plain >= {PLAIN}").select("item_id", "ipos", "window", (F.col("plain") < F.col("n")).alias("slotted")), "windows")
+    own = stored(plain.groupBy("item_id", "ipos", "window").agg(F.sum("plain").alias("plain"), F.count("*").alias("n")).select("item_id", "ipos", "window", F.expr(f"plain >= {PLAIN}").alias("typed"), F.expr("plain = n").alias("bare"), F.expr("plain < n").alias("slotted")), "windows")
+    own = own.where("typed").unionByName(cut.where("bare").withColumns({"typed": F.lit(False), "slotted": F.lit(False)}))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    seen = windows(texts.select("doc_id", marked(F.col("text")).alias("marked")), "doc_id")
-    hits = stored(seen.join(_sent(own), "window").select("doc_id", "item_id", "pos", "ipos", "slotted"), "hits")
-    total = own.groupBy("item_id").agg(F.countDistinct("ipos").alias("total"))
+    rows = texts.select("doc_id", marked(F.col("text")).alias("marked"))
+    seen = windows(rows, "doc_id").withColumnRenamed("bare", "by_words")
+    found = stored(seen.join(_sent(own), "window").select("doc_id", "item_id", "pos", "ipos", "slotted", F.expr("typed AND NOT by_words").alias("typed"), "bare"), "hits")
+    hits = found.where("typed")
+    total = own.where("typed").groupBy("item_id").agg(F.countDistinct("ipos").alias("total"))
     pairs = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), F.countDistinct(F.when(~F.col("slotted"), F.col("ipos"))).alias("n_plain")).join(total, "item_id").where(F.col("n_windows") >= F.least(F.lit(LEAST), F.col("total")))
     pairs = stored(pairs, "pairs")
     # values line up in windows that have placeholders
@@ -87,7 +120,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = values.groupBy("doc_id", "item_id", "ivalue").agg(F.min("value").alias("low"), F.max("value").alias("top"))
     checks = kinds.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(F.expr("low <> ivalue OR top <> ivalue")).alias("n_changed"), F.count_if(F.expr("low <> top")).alias("n_against"))
     out = pairs.join(checks, ["doc_id", "item_id"], "left").where(f"coalesce(n_against, 0) = 0 OR n_plain >= {LEAST}")
-    return out.select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("total")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"), F.expr("CASE WHEN coalesce(n_against, 0) > 0 THEN 'partial' WHEN coalesce(n_changed, 0) = 0 THEN 'exact' ELSE 'reparameterised' END").alias("kind"))
+    out = stored(out.select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("total")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"), F.expr("CASE WHEN coalesce(n_against, 0) > 0 THEN 'partial' WHEN coalesce(n_changed, 0) = 0 THEN 'exact' ELSE 'reparameterised' END").alias("kind")), "typed")
+    return out.unionByName(_by_words(items, words, own, found, out, rows))
+
+
+def _by_words(items: DataFrame, words: DataFrame, own: DataFrame, found: DataFrame, out: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the pairs, but for those in out, whose windows match by bare words."""
+    alike = found.where("bare").select("doc_id", "item_id", "ipos")
+    every = own.where("bare").select("item_id", "ipos")
+    whole = _whole(items, rows)
+    if whole is not None:
+        alike = alike.unionByName(whole.withColumn("ipos", F.lit(0)))
+        every = every.unionByName(whole.select("item_id", F.lit(0).alias("ipos")))
+    total = every.groupBy("item_id").agg(F.countDistinct("ipos").alias("total"))
+    held = words.where("word <> '¤u'").groupBy("item_id").agg(F.countDistinct("ipos").alias("held"))
+    alike = alike.distinct().join(out.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    pairs = alike.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows")).join(total, "item_id").where(F.col("n_windows") >= F.least(F.lit(LEAST), F.col("total")))
+    pairs = stored(pairs, "alike")
+    spans = alike.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"]).select("doc_id", "item_id", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + (WINDOW - 1))).alias("ipos")).distinct()
+    sums = spans.join(words, ["item_id", "ipos"]).groupBy("doc_id", "item_id").agg(F.countDistinct(F.expr("CASE WHEN word <> '¤u' THEN ipos END")).alias("n_words"), F.countDistinct(F.expr("CASE WHEN startswith(word, '¤') THEN word END")).alias("n_slots"))
+    kept = pairs.join(sums, ["doc_id", "item_id"]).join(held, "item_id").where(F.col("n_words") >= F.least(F.lit(WINDOW + LEAST - 1), F.col("held")))
+    return kept.select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("total")).alias("coverage"), "n_slots", F.lit(0).cast("long").alias("n_changed"), F.lit("exact").alias("kind"))
 
 
 def _sql() -> str:
