@@ -27,3 +27,15 @@ def test_few_words_by_chance(spark):
 def test_other_case(spark):
     item = "Yesterday, Anna met Boris, Carla, Dmitri, Elena, Fatima, Goran, Hana, Igor and Jana"
     assert set(found(spark, [item.lower(), item.upper(), item], [item])) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_copies_apart(spark):
+    """Values are compared within a copy, not over all copies of a document or over equal windows of an item."""
+    train = "A train travels {} km in {} hours and then on to the next big town in {} hours. How far is it from there?"
+    box = "A box holds {} eggs and a second box holds {} eggs in it. A box holds {} eggs and a second box holds {} eggs in it. Sum?"
+    twice = "A train leaves at {} mph and goes on to a town at {} mph again today"
+    items = [train.format(60, 2, 3), box.format(12, 30, 15, 40), twice.format(60, 60)]
+    docs = [train.format(70, 4, 6) + " " + train.format(80, 5, 7), items[0] + " " + train.format(60, 2, 5), items[1], twice.format(75, 80), twice.format(75, 75)]
+    got = found(spark, docs, items)
+    assert {k: r["kind"] for k, r in got.items()} == {(0, 0): "reparameterised", (1, 0): "exact", (2, 1): "exact", (4, 2): "reparameterised"}
+    assert got[0, 0]["n_changed"] == 2 and got[1, 0]["n_changed"] == 0 and got[2, 1]["n_changed"] == 0  # 60 stands in no window of five plain words

@@ -88,7 +88,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_windows counts the item's windows that the document has, coverage is their share of all of the item's. Windows count
     that have PLAIN plain words. kind is 'exact' where all lined-up values are the item's, 'reparameterised' where each value
     of the item stands for one of the document's. Where one stands for several the pair is left out, unless LEAST
-    windows match that have no placeholder: 'partial'. Pairs not found so far are found by bare words ('exact'): LEAST windows,
+    windows match that have no placeholder ('partial'), or one copy (windows at one distance from the item's) alone has LEAST windows
+    and does not contradict itself; n_slots, n_changed and kind are then that copy's. Pairs not found so far are found by bare words ('exact'): LEAST windows,
     with however few plain words, that match with their values, apart from case, and hold WINDOW + LEAST - 1 words of the item (all, of a
     shorter one). Here n_windows and coverage are of all windows; an item with fewer than WINDOW words is one window.
     Null texts and items without a word match nothing; rows with a null doc_id or item_id are left out; rows of one doc_id
@@ -119,11 +120,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values = lined.join(islots, ["item_id", "ipos"]).join(slots, ["doc_id", "pos"])
     kinds = values.groupBy("doc_id", "item_id", "ivalue").agg(F.min("value").alias("low"), F.max("value").alias("top"))
     checks = kinds.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(F.expr("low <> ivalue OR top <> ivalue")).alias("n_changed"), F.count_if(F.expr("low <> top")).alias("n_against"))
-    out = pairs.join(checks, ["doc_id", "item_id"], "left").where(f"coalesce(n_against, 0) = 0 OR n_plain >= {LEAST}")
+    checked = stored(pairs.join(checks, ["doc_id", "item_id"], "left"), "checked")
+    out = checked.where(f"coalesce(n_against, 0) = 0 OR n_plain >= {LEAST}")
     out = stored(out.select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("total")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"), F.expr("CASE WHEN coalesce(n_against, 0) > 0 THEN 'partial' WHEN coalesce(n_changed, 0) = 0 THEN 'exact' ELSE 'reparameterised' END").alias("kind")), "typed")
+    out = stored(out.unionByName(_by_copy(checked.where(f"n_against > 0 AND n_plain < {LEAST}").select("doc_id", "item_id", "n_windows", "total"), hits, values)), "copies")
     return out.unionByName(_by_words(items, words, own, found, out, rows))
 
 
+def _by_copy(crossed: DataFrame, hits: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows of the crossed pairs that have a copy, at one distance between places, which alone matches and does not contradict itself; of several an exact one, then the longest."""
+    copy = ["doc_id", "item_id", "off"]
+    off = (F.col("pos") - F.col("ipos")).alias("off")
+    long = hits.join(crossed, ["doc_id", "item_id"]).select(*copy[:2], off, "ipos", "n_windows", "total").groupBy(*copy, "n_windows", "total").agg(F.countDistinct("ipos").alias("n")).where(F.col("n") >= F.least(F.lit(LEAST), F.col("total")))
+    kinds = values.join(crossed.select("doc_id", "item_id"), ["doc_id", "item_id"]).select(*copy[:2], off, "ivalue", "value").groupBy(*copy, "ivalue").agg(F.min("value").alias("low"), F.max("value").alias("top"))
+    checks = kinds.groupBy(*copy).agg(F.count("*").alias("n_slots"), F.count_if(F.expr("low <> ivalue OR top <> ivalue")).alias("n_changed"), F.count_if(F.expr("low <> top")).alias("n_against"))
+    good = long.join(checks, copy, "left").fillna(0, ["n_slots", "n_changed", "n_against"]).where("n_against = 0")
+    best = good.groupBy("doc_id", "item_id", "n_windows", "total").agg(F.expr("max(struct(n_changed = 0 AS same, n, -off AS off, n_slots, n_changed))").alias("best"))
+    return best.select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("total")).alias("coverage"), "best.n_slots", "best.n_changed", F.expr("CASE WHEN best.same THEN 'exact' ELSE 'reparameterised' END").alias("kind"))
+
+
 def _by_words(items: DataFrame, words: DataFrame, own: DataFrame, found: DataFrame, out: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of the pairs, but for those in out, whose windows match by bare words."""
     alike = found.where("bare").select("doc_id", "item_id", "ipos")
