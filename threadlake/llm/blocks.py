@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm import kernel
+from threadlake.llm.pretokens import Vocabulary, token_bounds
 
 BLOCK_BYTES = 32 << 20
 SCHEMA = "block long, bucket int, kind int, doc_id array<bigint>, counts binary, payload binary"
@@ -76,54 +77,48 @@ def record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
 
 
-def block_rows(docs: DataFrame, tokens: Callable[[str], list[str]], buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Sequence rows and word rows of every block of docs(doc_id, text); tokens gives a text's tokens in order."""
+def block_rows(docs: DataFrame, pattern: str, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Sequence rows and word rows of every block of docs(doc_id, text); words are the matches of pattern."""
 
-    def emit(number: int, index: dict[str, int], ids: list, counts: list[np.ndarray], seqs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def emit(number: int, words: list[bytes], ids: list, counts: list[np.ndarray], seqs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not ids:
             return
         block = (TaskContext.get().partitionId() << 32) + number
         seq = np.concatenate(seqs) if seqs else np.zeros(0, np.uint32)
         # small indices for frequent words make a dense sequence
-        order = np.argsort(-np.bincount(seq, minlength=len(index)), kind="stable") if index else np.zeros(0, np.int64)
+        order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        parts: list[list[bytes]] = [[] for _ in range(buckets)]
-        places: list[list[int]] = [[] for _ in range(buckets)]
-        words = list(index)
-        for i, at in enumerate(order.tolist()):
-            w = words[at].encode("utf-8", "surrogatepass")
-            b = zlib.crc32(w) % buckets
-            parts[b].append(w)
-            places[b].append(i)
         yield record([(block, block % buckets, SEQUENCE, ids, pack(np.concatenate(counts)), pack(place[seq]))])
-        rows = [(block, b, WORDS, [], pack(np.diff(places[b], prepend=0)), pack_strings(parts[b])) for b in range(buckets) if parts[b]]
-        if rows:
-            yield record(rows)
+        home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        dealt = order[np.argsort(home[order], kind="stable")]
+        cuts = np.searchsorted(home[dealt], np.arange(buckets + 1))
+        for b in range(buckets):
+            own = dealt[cuts[b] : cuts[b + 1]]
+            if len(own):
+                yield record([(block, b, WORDS, [], pack(np.diff(place[own].astype(np.int64), prepend=0)), pack_strings([words[i] for i in own.tolist()]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = 0, 0
-        index: dict[str, int] = {}
+        known, words = Vocabulary(), []
         ids: list = []
         counts: list[np.ndarray] = []
         seqs: list[np.ndarray] = []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                found = [tokens(t) for t in texts]
-                # Arrow tells the slice's tokens apart; only its distinct ones meet the block's index
-                local = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
-                seen = np.array([index.setdefault(w, len(index)) for w in local.dictionary.to_pylist()], np.uint32)
-                if len(seen):
-                    seqs.append(seen[local.indices.to_numpy()])
-                counts.append(np.fromiter(map(len, found), np.uint32, len(found)))
-                ids += part.column(0).to_pylist()
-                size += sum(map(len, texts)) + 8 * len(texts)
+            data, offs = kernel.utf8(batch.column(1))
+            for lo, hi in kernel.slices(offs):
+                part, cut = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                starts, ends, bounds = token_bounds(part, cut, pattern)
+                numbers, new = known.numbers(part, starts, ends)
+                words += new
+                seqs.append(numbers.astype(np.uint32))
+                counts.append(np.diff(bounds).astype(np.uint32))
+                ids += batch.column(0).slice(lo, hi - lo).to_pylist()
+                size += len(part) + 8 * (hi - lo)
                 if size >= block_bytes:
-                    yield from emit(number, index, ids, counts, seqs)
-                    number, size, index, ids, counts, seqs = number + 1, 0, {}, [], [], []
-        yield from emit(number, index, ids, counts, seqs)
+                    yield from emit(number, words, ids, counts, seqs)
+                    number, size, known, words, ids, counts, seqs = number + 1, 0, Vocabulary(), [], [], [], []
+        yield from emit(number, words, ids, counts, seqs)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kernel.lean(run), SCHEMA)
 

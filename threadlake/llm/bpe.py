@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 
 from threadlake.llm import blocks, kernel
@@ -80,9 +79,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     table = spark.sparkContext.broadcast(ranks)
     buckets = _buckets(docs)
 
-    def tokens(text: str) -> list[str]:
-        return regex.findall(pattern, text)
-
     def answer(words: list[bytes]) -> list[bytes]:
         own = table.value
         return [np.array(merge(w, own), "<u4").tobytes() for w in words]
@@ -104,7 +100,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     def whole(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return then(texts(batches)) if then else texts(batches)
 
-    rows = blocks.answered(blocks.block_rows(docs, tokens, buckets, block_bytes), answer, buckets)
+    rows = blocks.answered(blocks.block_rows(docs, pattern, buckets, block_bytes), answer, buckets)
     return rows.groupBy("block").applyInArrow(kernel.lean(whole), schema)
 
 

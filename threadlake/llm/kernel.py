@@ -12,15 +12,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-_tables: dict[str, np.ndarray] = {}
+FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Ranges up to this length are hashed by arrays, eight bytes at a time; longer ones, few in any text, one by one.
+ARRAY_BYTES = 64
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,20 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n, modulo 2**64."""
-    if "p" not in _tables or len(_tables["p"]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        for key, base in (("p", BASE), ("q", INVERSE)):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            _tables[key] = np.cumprod(t, dtype=np.uint64)
-    return _tables["p"][:n], _tables["q"][:n]
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string or binary column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -61,6 +49,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
+def code_points(padded: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The code points of the characters of two to four bytes whose first bytes are at lead; padded ends in three more bytes."""
+    a, b, c, d = (padded[lead + k].astype(np.int32) for k in range(4))
+    two = (a & 0x1F) << 6 | b & 0x3F
+    three = (a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F
+    four = (a & 0x07) << 18 | (b & 0x3F) << 12 | (c & 0x3F) << 6 | d & 0x3F
+    return np.minimum(np.where(a < 0xE0, two, np.where(a < 0xF0, three, four)), 0x10FFFF)
+
+
 def slices(offsets: np.ndarray, limit: int = 1 << 20):
     """Ranges of rows of about limit bytes each, one row at least; every row is in exactly one."""
     lo, n = 0, len(offsets) - 1
@@ -93,17 +90,44 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of a sequence of 64-bit values, by prefix sums of a polynomial."""
-    p, q = powers(len(values) + 1)
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(values * p[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+def step(state: np.ndarray, value: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """Take 64 more bits into running hashes: one to one in each of both, and in the order of the values."""
+    x = (state ^ value) * factor
+    return x ^ (x >> np.uint64(32))
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of ranges of bytes; with two, second ones too, so that both together have 128 bits.
+
+    Multiplications and shifts alternate, so texts of a regular build do not collide as they do for polynomials.
+    Ranges of one length of up to eight bytes never collide.
+    """
+    n = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    factors = (FIRST, SECOND)[: 1 + two]
+    size = np.minimum(n, ARRAY_BYTES + 1).astype(np.uint64)
+    out = [mix(size * f + f) for f in factors]
+    live: np.ndarray | slice = slice(None)
+    for k in range(0, ARRAY_BYTES, 8):
+        if k:
+            live = np.flatnonzero((n > k) & (n <= ARRAY_BYTES)) if k == 8 else live[n[live] > k]
+            if not len(live):
+                break
+        left = n[live] - k
+        chunk = eight[np.minimum(starts[live] + k, len(data))] & _KEEP[np.clip(left, 0, 8)]
+        for h, f in zip(out, factors, strict=True):
+            h[live] = step(h[live], chunk, f)
+    long = np.flatnonzero(n > ARRAY_BYTES)
+    for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        raw = data[a:b].tobytes()
+        for j, h in enumerate(out):
+            h[i] = xxhash.xxh3_64_intdigest(raw, seed=j)
+    return tuple(mix(h) for h in out)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    return hash_ranges(BYTE_VALUE[LOWER[data] if lower else data], starts, ends)
+    return byte_hashes(LOWER[data] if lower else data, starts, ends)[0]
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +136,16 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     counts = np.diff(bounds)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(counts)), np.maximum(counts - k + 1, np.minimum(counts, 1)))
     per_row = np.maximum(counts - k + 1, np.minimum(counts, 1))
+    rows = np.repeat(np.arange(len(counts)), per_row)
     first = np.cumsum(per_row) - per_row
     starts = np.arange(len(rows)) - first[rows] + bounds[:-1][rows]
-    ends = starts + np.minimum(counts, k)[rows]
-    return hash_ranges(words, starts, ends), rows
+    size = np.minimum(counts, k)[rows]
+    out = mix(size.astype(np.uint64) + FIRST)
+    for j in range(k):
+        more = step(out, words[np.minimum(starts + j, n - 1)], FIRST)
+        out = np.where(size > j, more, out) if (size <= j).any() else more
+    return mix(out), rows
 
 
 def unique_in_rows(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:

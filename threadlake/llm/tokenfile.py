@@ -9,27 +9,24 @@ control and data bytes, beside the table of ranks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlake.llm import blocks, kernel
-from threadlake.llm.pretokens import Places, token_bounds, token_hashes
+from threadlake.llm.pretokens import Vocabulary, token_bounds
 from threadlake.session import shared_dir, ship, stored
 
 CHUNK_IDS = 1 << 19
 #: A worker keeps ids of this many distinct pre-tokens, then starts anew: memory, not results, depends on it.
 KNOWN = 600_000
-PLACE_BITS = 21
-#: Characters that are split at once, about.
-SLICE = 1 << 20
 LENGTHS = np.stack([(np.arange(256) >> s) & 3 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8) + 1
 FILE = "part int, chunk int, before long, n_ids long, doc_ids binary, has_id binary, counts binary, control binary, data binary"
 _worker: dict = {}
@@ -59,7 +56,7 @@ def read_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokenizer(path: str) -> dict:
-    """This worker's tokenizer, and the ids of the pre-tokens that it has met, by their hashes."""
+    """This worker's tokenizer, and the ids of the pre-tokens that it has met."""
     if _worker.get("path") != path:
         import os
 
@@ -68,12 +65,21 @@ def _tokenizer(path: str) -> dict:
 
         own = Tokenizer.from_file(path)
         added = [t.content for t in own.get_added_tokens_decoder().values()]
-        _worker.update(path=path, tokenizer=own, special=regex.compile("|".join(map(regex.escape, added))) if added else None, places=None)
-    if _worker["places"] is None or _worker["n"] > KNOWN:
-        _worker.update(places=Places(PLACE_BITS), n=0, used=0, values=np.zeros(1 << 20, np.uint32), lengths=np.zeros(1 << 18, np.int64), starts=np.zeros(1 << 18, np.int64))
+        _worker.update(path=path, tokenizer=own, special=re.compile(b"|".join(re.escape(x.encode()) for x in added)) if added else None, known=None)
+    if _worker["known"] is None or _worker["n"] > KNOWN:
+        _worker.update(known=Vocabulary(), n=0, used=0, values=np.zeros(1 << 20, np.uint32), lengths=np.zeros(1 << 18, np.int64), starts=np.zeros(1 << 18, np.int64))
     return _worker
 
 
+def _with_special(w: dict, data: np.ndarray, bounds: np.ndarray) -> set[int]:
+    """The texts in which an added token of the tokenizer occurs."""
+    if w["special"] is None:
+        return set()
+    # a match that runs over the end of a text may hide one in the next, which is then taken along
+    found = np.array([x for m in w["special"].finditer(data.tobytes()) for x in (m.start(), m.end() - 1)], np.int64)
+    return set((np.searchsorted(bounds, found, side="right") - 1).tolist())
+
+
 def _learn(w: dict, new: list[str]) -> None:
     """Encode words and keep their ids under the next numbers."""
     for e in range(0, len(new), 8192):
@@ -96,32 +102,25 @@ def _learn(w: dict, new: list[str]) -> None:
 def tokenise(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
     """doc_id, n (ids with the end id), packed ids. pattern is the tokenizer's own pre-tokenisation; a text with one of its added tokens goes to it whole.
 
-    A worker asks the tokenizer once for each pre-token that it meets; pre-tokens are told apart by 64-bit hashes.
+    A worker asks the tokenizer once for each pre-token that it meets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-            for lo, hi in kernel.slices(sizes, SLICE):
+            data, offs = kernel.utf8(batch.column(1))
+            for lo, hi in kernel.slices(offs):
                 w = _tokenizer(path)
-                own = texts[lo:hi]
-                whole = {i for i, t in enumerate(own) if w["special"] is not None and w["special"].search(t)}
-                joined, points, starts, ends, bounds = token_bounds(["" if i in whole else t for i, t in enumerate(own)], pattern)
-                distinct, first, inverse = np.unique(token_hashes(points, starts, ends), return_index=True, return_inverse=True)
-                place = w["places"].find(distinct)
-                new = np.flatnonzero(place < 0)
-                if len(new):
-                    place[new] = np.arange(w["n"], w["n"] + len(new))
-                    a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
-                    _learn(w, [joined[x:y] for x, y in zip(a, b, strict=True)])
-                    w["places"].add(distinct[new], place[new])
-                seq = place[inverse]
+                part, cut = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                whole = _with_special(w, part, cut)
+                starts, ends, bounds = token_bounds(part, cut, pattern)
+                seq, new = w["known"].numbers(part, starts, ends)
+                if new:
+                    _learn(w, [x.decode() for x in new])
                 flat = blocks.ragged(seq, w["values"], w["starts"], w["lengths"]) if len(seq) else np.zeros(0, np.uint32)
                 cuts = np.concatenate([[0], np.cumsum(w["lengths"][seq])])[bounds].tolist()
                 out, n = [], []
                 for i in range(hi - lo):
-                    ids = np.array(w["tokenizer"].encode(own[i], add_special_tokens=False).ids, np.uint32) if i in whole else flat[cuts[i] : cuts[i + 1]]
+                    ids = np.array(w["tokenizer"].encode(part[cut[i] : cut[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) if i in whole else flat[cuts[i] : cuts[i + 1]]
                     n.append(len(ids) + 1)
                     out.append(blocks.pack(np.append(ids, np.uint32(end_id))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "packed"])

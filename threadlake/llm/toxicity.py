@@ -70,11 +70,11 @@ def rates(count: np.ndarray, n: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features (words, 1 + len(PREFIXES)), word bounds of each row."""
     starts, ends, bounds = kernel.split_words(data, offsets)
-    values = kernel.BYTE_VALUE[kernel.LOWER[data]]
+    values = kernel.LOWER[data]
     out = np.empty((len(starts), 1 + len(PREFIXES)), np.uint64)
     for c, n in enumerate((0, *PREFIXES)):
         stop = np.minimum(ends, starts + n) if n else ends
-        out[:, c] = kernel.hash_ranges(values, starts, stop) * np.uint64(2 * c + 1) + np.uint64(c)
+        out[:, c] = kernel.byte_hashes(values, starts, stop)[0] * np.uint64(2 * c + 1) + np.uint64(c)
     return out, bounds
 
 
