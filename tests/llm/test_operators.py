@@ -288,7 +288,7 @@ def test_pii_finds_disguises_and_keeps_base(spark, docs, odd):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     net = pii.fit(df)
     own = [t for _, t in rows[:60]]
-    found = pii.tagged(own, net)
+    found = pii.tagged([pii.plain(t) for t in own], net)
     base = [set(pii.base_spans(t)) for t in own]
     assert sum(len(b & set(f)) for b, f in zip(base, found)) >= 0.8 * sum(map(len, base))
     for (b, spans), t in zip(pii.all_spans(own, net), own):
@@ -299,6 +299,73 @@ def test_pii_finds_disguises_and_keeps_base(spark, docs, odd):
     assert "@" not in masked and "<email>" in masked
 
 
+#: The base patterns as they are stated.
+STATED = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def stated_spans(text):
+    def ok(kind, m):
+        digits = [int(c) for c in m if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            return 16 <= len(digits) <= 19 and sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    return [(kind, *m.span()) for kind, p in STATED.items() for m in re.finditer(p, text) if ok(kind, m[0])]
+
+
+def test_pii_base_spans_equal_stated_patterns():
+    import random
+
+    pick, n = random.Random(1), 0
+    for letters in ("ab@@..11223 +-_() ", "4111 -", "1+ .9@"):
+        for _ in range(8000):
+            t = "".join(pick.choice(letters) for _ in range(pick.randrange(60)))
+            want = stated_spans(t)
+            assert pii.base_spans(t) == want
+            n += len(want)
+    assert n > 1000
+
+
+def test_pii_of_documents(spark, docs, texts):
+    """Counts and digests over the table; the network adds spans and takes none away."""
+    got = pii.personal_data(docs, pii.train([])).collect()
+    for r in got:
+        want = stated_spans(texts[r["doc_id"]])
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == kind for k, _, _ in want) for kind in pii.KINDS]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and r["spans"] == joined and r["n_spans"] == len(want)
+
+
+def test_pii_of_very_long_texts():
+    import time
+
+    net, began = pii.train([]), time.time()
+    for t in ("a" * 5_000_000 + " @", "+" * 5_000_000 + "1", "a@" * 1_000_000):
+        assert pii.base_spans(t) == []
+    for t in ("1" * 1_000_000, "1 " * 500_000, "1." * 100_000):
+        pii.all_spans([t], net)
+    assert time.time() - began < 120
+
+
+def test_pii_of_disguises_that_training_does_not_make(spark):
+    rng = np.random.default_rng(0)
+    words = lambda n: " ".join(f"{''.join(rng.choice(list('aeioulmnrst'), 5))}" for _ in range(n))
+    rows = [(i, f"{words(8)} {words(1)}{i}@{words(1)}.example.com {words(3)} +49 30 {rng.integers(10**6, 10**7)} {words(3)}") for i in range(500)]
+    net = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    hits = []
+    for shape in ("{a}{{at}}{b}{{dot}}com", "{a} (AT) {b} (DOT) net", "{a}＠{b}.example.com", "{a}<at>{b}<dot>org", "{a} [ at ] {b} [ dot ] de"):
+        for _ in range(20):
+            own = shape.format(a=words(1), b=words(1))
+            text = f"{words(9)} {own} {words(6)}"
+            at = text.index(own)
+            hits.append(any(a < at + len(own) and b > at for _, a, b in pii.all_spans([text], net)[0][1]))
+    assert np.mean(hits) >= 0.6
+    clean = [words(60) for _ in range(40)]
+    assert sum(len(s) for _, s in pii.all_spans(clean, net)) == 0
+
+
 def test_redaction_of_overlaps():
     assert pii.redacted("abcdefgh", [("card", 1, 4), ("ip", 2, 6)]) == "a<card><ip>gh"
 

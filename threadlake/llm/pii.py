@@ -1,10 +1,11 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with CRF transitions that adds to them.
 
 The base patterns are exact. The network is trained in numpy on windows of a bounded sample whose labels are the base
-spans, some of them rewritten as people disguise them ("(at)", "[dot]", 00 for +). It reads overlapping windows around
-digits, @ signs and such disguises: every span it may give holds one of these, so other text need not be read.
-Each window is decoded by Viterbi; every character takes its label from the window in which it lies most
-centrally, and spans are read off the whole text's labels. What meets a base span gives way to it.
+spans, some of them rewritten as people disguise them ("(at)", "[dot]", "at ... dot", 00 for +). It reads characters without
+case, brackets as one kind, digits and signs of every script as ASCII. Its overlapping windows cover all digits, @ signs, bracketed
+"at" and "dot" and bare "at ... dot", from the start of the word before: a span of its kinds holds one of these, as
+plausible() asks. Each window is decoded by Viterbi; every character takes its label from the window in which it
+lies most centrally, and spans are read off the whole text's labels. What meets a base span gives way to it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +25,30 @@ from pyspark.sql import functions as F
 from threadlake.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns.
+#: The base patterns. They are written so that a failed run of characters is not tried again from each of its characters:
+#: a match begins where such a run does, or where the match before ended (see _matches).
+LOCAL, DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+EMAIL = rf"{LOCAL}++@{DOMAIN}+(?:\.{DOMAIN}+)++"
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "email": re.compile(rf"(?<!{LOCAL}){EMAIL}"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+EMAIL_HERE = re.compile(EMAIL)
 DIGIT = re.compile("[0-9]")
-TRIGGER = re.compile(r"[0-9@]+|[\[(] ?(?:at|dot) ?[\])]")
+#: What a window must be near to, in plain() text.
+TRIGGER = re.compile(r"[0-9@]+|\( ?(?:at|dot) ?\)|\bat\b(?=.{1,80}?\bdot\b)|\bdot\b", re.S)
 WIDTH, STRIDE, MARGIN = 64, 32, 24
+#: A window begins so far before a trigger at most, to take in the start of its word.
+REACH = 64
 #: Bounds of the training sample: documents drawn, windows kept.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 6000, 1600
-HIDDEN, EPOCHS, BATCH, RATE = 16, 22, 64, 0.02
+SAMPLE_DOCS, SAMPLE_WINDOWS = 6000, 2000
+#: Each window whose spans begin in it is learned from in so many disguises too.
+VARIANTS = 4
+HIDDEN, EPOCHS, BATCH, RATE = 16, 14, 64, 0.02
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-SIGNS = ".@+-()_%,:;/#$&*'\"=<>|!?[]{}\\~^`"
+SIGNS = ".@+-()_%,:;/#$&*'\"=|!?\\~^`"
 
 
 def luhn(digits: str) -> bool:
@@ -49,57 +61,100 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    while m := EMAIL_HERE.match(text, at) or PATTERNS["email"].search(text, at):
+        yield m.span()
+        at = m.end()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """Spans of the base patterns by kind, then start; leftmost matches, those that fail their test dropped."""
+    """Spans of the base patterns by kind, then start; leftmost matches, those that fail their test dropped. Takes time in proportion to the text."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in PATTERNS["email"].finditer(text)]
+        out += [("email", *span) for span in _emails(text)]
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in PATTERNS["ip"].finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in PATTERNS["ip"].finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in PATTERNS["card"].finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
-            if 16 <= len(digits) <= 19 and luhn(digits):
-                out.append(("card", *m.span()))
+            if m.end() - m.start() <= 19 * 2:
+                digits = m[0].replace(" ", "").replace("-", "")
+                if 16 <= len(digits) <= 19 and luhn(digits):
+                    out.append(("card", *m.span()))
         if "+" in text:
             out += [("phone", *m.span()) for m in PATTERNS["phone"].finditer(text) if 8 <= len(DIGIT.findall(m[0])) <= 15]
     return out
 
 
-def codes(text: str) -> np.ndarray:
-    """Character classes: 0 outside, digits, lower, upper, other letters, blank, line end, each sign, the rest."""
-    return np.array([_code(c) for c in text], np.int64)
-
-
-def _code(c: str) -> int:
-    if "0" <= c <= "9":
-        return 1
-    if c in " \t":
-        return 5
-    if c in "\n\r":
-        return 6
-    k = SIGNS.find(c)
-    if k >= 0:
-        return 7 + k
-    return (2 if c.islower() else 3 if c.isupper() else 4) if c.isalpha() else 7 + len(SIGNS)
+class _Plain(dict):
+    """What a code point counts as, for str.translate: digits and full-width signs as ASCII, any bracket round, small letters, any dash and blank as one."""
+
+    def __missing__(self, o: int) -> int:
+        c = chr(o)
+        if 0xFF01 <= o <= 0xFF5E:
+            c = chr(o - 0xFEE0)
+        if c.isdecimal():
+            c = str(int(c))
+        elif c in "[{<":
+            c = "("
+        elif c in "]}>":
+            c = ")"
+        elif 0x2010 <= o <= 0x2015 or o == 0x2212:
+            c = "-"
+        elif c.isspace():
+            c = "\n" if c in "\n\r" else " "
+        elif c.isalpha():
+            low = c.lower()
+            c = low if len(low) == 1 else c
+        self[o] = ord(c)
+        return ord(c)
+
+
+class _Codes(dict):
+    def __missing__(self, o: int) -> int:
+        c = chr(o)
+        k = SIGNS.find(c)
+        if "0" <= c <= "9":
+            k = 1
+        elif c == " ":
+            k = 2
+        elif c == "\n":
+            k = 3
+        elif "a" <= c <= "z":
+            k = 6 + o - 97
+        elif k >= 0:
+            k += 32
+        else:
+            k = 4 if c.isalpha() else 5
+        self[o] = k
+        return k
+
+
+_plain, _codes = _Plain(), _Codes()
+CLASSES = 32 + len(SIGNS)
+
+
+def plain(text: str) -> str:
+    """The text as the network reads it, character by character."""
+    return text.translate(_plain)
 
 
-CLASSES = 8 + len(SIGNS)
+def codes(text: str) -> np.ndarray:
+    """Character classes of plain text: 0 outside, digit, blank, line end, other letters, the rest, each of a-z, each sign."""
+    return np.fromiter(map(_codes.__getitem__, map(ord, text)), np.int64, len(text))
 
 
 def windows(text: str) -> list[int]:
-    """Starts of overlapping windows that cover every trigger with a margin on both sides."""
-    starts: list[int] = []
-    lo = hi = -1
-    regions = []
+    """Starts of overlapping windows over plain text that cover every trigger, from the start of its word, with a margin on both sides."""
+    regions: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), m.end() + MARGIN
-        if lo < 0 or a > hi:
-            if lo >= 0:
-                regions.append((lo, hi))
-            lo = a
-        hi = b
-    if lo >= 0:
-        regions.append((lo, hi))
+        a = m.start()
+        first = max(text.rfind(" ", max(0, a - REACH), a), text.rfind("\n", max(0, a - REACH), a)) + 1
+        a, b = max(0, min(a - MARGIN, max(first, a - REACH))), m.end() + MARGIN
+        if regions and a <= regions[-1][1]:
+            regions[-1][1] = b
+        else:
+            regions.append([a, b])
+    starts: list[int] = []
     for a, b in regions:
         starts += range(a, max(a + 1, min(b, len(text)) - WIDTH + STRIDE), STRIDE)
     return starts
@@ -206,7 +261,7 @@ def train(pairs: list[tuple[str, list[tuple[str, int, int]]]]) -> Network:
         return net
     x, y = np.zeros((len(pairs), WIDTH), np.int64), np.zeros((len(pairs), WIDTH), np.int64)
     for r, (text, spans) in enumerate(pairs):
-        x[r, : len(text)] = codes(text[:WIDTH])
+        x[r, : len(text[:WIDTH])] = codes(plain(text[:WIDTH]))
         for kind, a, b in spans:
             k = KINDS.index(kind)
             y[r, max(a, 0) : b] = 2 + 2 * k
@@ -231,20 +286,39 @@ def train(pairs: list[tuple[str, list[tuple[str, int, int]]]]) -> Network:
     return net
 
 
+def _hidden(kind: str, word: str, pick: random.Random) -> str:
+    """The span as people may write it to hide it, or with other digits."""
+    if kind != "email":
+        word = "".join(str(pick.randrange(10)) if c.isdecimal() else c for c in word)
+    style = pick.randrange(4)
+    if kind == "email":
+        # other letters and lengths, so that names and endings of the sample are not learned by heart
+        other = lambda m: "".join(chr(97 + pick.randrange(26)) for _ in range(max(2, len(m[0]) + pick.randrange(-2, 3)))) if pick.random() < 0.7 else m[0]
+        local, _, domain = word.partition("@")
+        local = re.sub("[A-Za-z]+", other, local) + pick.choice(("", "", f"{pick.choice('._-')}{pick.choice(('smith', 'b', 'lee77'))}"))
+        word = f"{local}@{re.sub('[A-Za-z]+', other, domain)}"
+        if style == 0:
+            return word.replace("@", " at ").replace(".", " dot ")
+        gap = pick.choice(("", " "))
+        if style < 3:
+            word = word.replace("@", f"{gap}(at){gap}")
+        return word.replace(".", f"{gap}(dot){gap}") if style in (1, 3) else word
+    if kind == "phone":
+        lead = ("00", "+", "+", "00 ")[style]
+        return lead + (word[1:] if pick.random() < 0.5 else re.sub("[^0-9]+", pick.choice((" ", "-", ".", "")), word[1:]))
+    if kind == "card":
+        return pick.choice((" ", "-", ".", "")).join(re.findall("[0-9]{1,4}", re.sub("[^0-9]", "", word)))
+    return word.replace(".", (".", "(.)", " . ", "(dot)")[style])
+
+
 def disguised(text: str, spans: list[tuple[str, int, int]], pick: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
-    """The window with emails and phone numbers rewritten as people hide them, and the spans moved along."""
+    """The window with its spans rewritten as people hide them, and the spans moved along."""
     out, new, at = "", [], 0
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
         if a < at:
             continue
         out += text[at:a]
-        word = text[a:b]
-        if kind == "email":
-            l, r = pick.choice(("()", "[]"))
-            gap = pick.choice(("", " "))
-            word = word.replace("@", f"{gap}{l}at{r}{gap}").replace(".", f"{gap}{l}dot{r}{gap}" if pick.random() < 0.7 else ".")
-        elif kind == "phone":
-            word = "00" + word[1:]
+        word = _hidden(kind, text[a:b], pick)
         new.append((kind, len(out), len(out) + len(word)))
         out += word
         at = b
@@ -263,7 +337,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
             ids, spans_out, order = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 spans = base_spans(text)
-                for a in windows(text):
+                for a in windows(plain(text)):
                     own = [(k, b - a, min(e, a + WIDTH) - a) for k, b, e in spans if b < a + WIDTH and e > a]
                     ids.append(text[a : a + WIDTH])
                     spans_out.append(",".join(f"{k}:{b}:{e}" for k, b, e in own))
@@ -277,75 +351,95 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
     pairs = []
     for r in own:
         spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
-        pairs.append(disguised(r["text"], spans, pick) if all(a >= 0 for _, a, _ in spans) and pick.random() < 0.25 else (r["text"], spans))
+        pairs.append((r["text"], spans))
+        if spans and all(a >= 0 for _, a, _ in spans):
+            pairs += (disguised(r["text"], spans, pick) for _ in range(VARIANTS))
     return train(pairs)
 
 
+#: How far each character of a window is from its middle.
+_OFF = np.abs(2 * np.arange(WIDTH) - WIDTH + 1).astype(np.int8)
+
+
 def tagged(texts: list[str], net: Network) -> list[list[tuple[str, int, int]]]:
-    """Spans that the network finds in each text, from its windows together."""
+    """Spans that the network finds in each plain text, from its windows together."""
     places = [(i, a) for i, t in enumerate(texts) for a in windows(t)]
-    labels: dict[int, dict[int, tuple[int, int]]] = {}
+    own: dict[int, np.ndarray] = {}
     for lo in range(0, len(places), 2048):
         part = places[lo : lo + 2048]
         x = np.zeros((len(part), WIDTH), np.int64)
         for r, (i, a) in enumerate(part):
             c = codes(texts[i][a : a + WIDTH])
             x[r, : len(c)] = c
-        tags = net.decode(x)
-        for r in np.flatnonzero(tags.any(axis=1)):
-            i, a = part[r]
-            own = labels.setdefault(i, {})
-            for s in np.flatnonzero(tags[r] | True).tolist():
-                # the window in which the character is most central decides
-                off = abs(2 * s - WIDTH + 1)
-                if a + s not in own or off < own[a + s][0]:
-                    own[a + s] = (off, int(tags[r, s]))
-        for r in np.flatnonzero(~tags.any(axis=1)):
-            i, a = part[r]
-            own = labels.setdefault(i, {})
-            for s in range(WIDTH):
-                off = abs(2 * s - WIDTH + 1)
-                if a + s in own and off < own[a + s][0]:
-                    own[a + s] = (off, 0)
+        for (i, a), tags in zip(part, net.decode(x), strict=True):
+            if i not in own:
+                own[i] = np.stack([np.full(len(texts[i]), 127, np.int8), np.zeros(len(texts[i]), np.int8)])
+            # the window in which a character is most central decides
+            off, label = own[i][:, a : a + WIDTH]
+            nearer = _OFF[: len(off)] < off
+            off[nearer] = _OFF[: len(off)][nearer]
+            label[nearer] = tags[: len(off)][nearer]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, own in labels.items():
-        text, open_at, kind, last = texts[i], -1, 0, -2
-        for p in [*sorted(own), len(text) + 1]:
-            tag = own[p][1] if p in own and p < len(text) else 0
-            k = (tag + 1) // 2
-            if open_at >= 0 and (p != last + 1 or k != kind or tag % 2):
-                out[i].append((KINDS[kind - 1], open_at, last + 1))
-                open_at = -1
-            if k and open_at < 0:
-                open_at, kind = p, k
-            last = p
+    for i, (_, label) in own.items():
+        at = np.flatnonzero(label)
+        if len(at):
+            tag = label[at]
+            kind = (tag + 1) // 2
+            first = np.concatenate([[True], (np.diff(at) > 1) | (kind[1:] != kind[:-1]) | (tag[1:] % 2 == 1)])
+            begin = np.flatnonzero(first)
+            out[i] = [(KINDS[k - 1], a, b + 1) for k, a, b in zip(kind[begin].tolist(), at[begin].tolist(), at[np.append(begin[1:], len(at)) - 1].tolist(), strict=True)]
     return out
 
 
+_DIGITS, _WORD = frozenset("0123456789"), frozenset("abcdefghijklmnopqrstuvwxyz0123456789-")
+#: Characters to which a found span is stretched: words are not cut.
+_LEFT = dict.fromkeys(KINDS, _DIGITS) | {"email": _WORD | set("._%+"), "phone": _DIGITS | {"+"}}
+_RIGHT = dict.fromkeys(KINDS, _DIGITS) | {"email": _WORD}
+#: An address that lacks its name before "at", the name, and what may follow an address.
+_BARE_AT, _NAME, _MORE = re.compile(r"\( ?at\b|at\b|@"), re.compile(r"[a-z0-9._%+-]+ ?$"), re.compile(r"(?: ?\( ?dot ?\) ?| dot |\.)[a-z0-9-]+")
+_AT = re.compile(r"@|\( ?at ?\)|\bat\b.*\bdot\b", re.S)
+
+
 def plausible(kind: str, span: str) -> bool:
-    """Whether a found span has what its kind cannot be without."""
+    """Whether a found span of plain text has what its kind cannot be without."""
     digits = len(DIGIT.findall(span))
     if kind == "email":
-        return len(span) >= 6 and ("@" in span or re.search(r"[\[(] ?at ?[\])]", span) is not None)
+        return len(span) >= 6 and _AT.search(span) is not None
     if kind == "ip":
         return digits >= 4 and len(re.findall("[0-9]+", span)) == 4
-    return 13 <= digits <= 19 if kind == "card" else 8 <= digits <= 15
+    if kind == "card":
+        return 13 <= digits <= 19 and luhn("".join(DIGIT.findall(span)))
+    return 8 <= digits <= 15
 
 
 def all_spans(texts: list[str], net: Network) -> list[tuple[list, list]]:
     """Of each text its base spans, and all spans: the network's are added where they are plausible and meet no base span."""
     out = []
-    for text, found in zip(texts, tagged(texts, net), strict=True):
+    read = [plain(t) for t in texts]
+    for text, same, found in zip(texts, read, tagged(read, net), strict=True):
         base = base_spans(text)
         taken = sorted((a, b) for _, a, b in base)
+        begins = [a for a, _ in taken]
+        ends = list(accumulate((b for _, b in taken), max))
         added = []
         for kind, a, b in found:
-            while a < b and text[a].isspace():
+            while a < b and same[a].isspace():
                 a += 1
-            while b > a and text[b - 1].isspace():
+            while b > a and same[b - 1].isspace():
                 b -= 1
-            if plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken):
+            while a > 0 and same[a - 1] in _LEFT[kind]:
+                a -= 1
+            while b < len(same) and same[b] in _RIGHT[kind]:
+                b += 1
+            if kind == "email":
+                if _BARE_AT.match(same, a) and (m := _NAME.search(same[max(0, a - REACH) : a])):
+                    a -= len(m[0])
+                while m := _MORE.match(same, b):
+                    b = m.end()
+            before = bisect_left(begins, b)  # base spans that begin before this one ends
+            if a < b and plausible(kind, same[a:b]) and not (before and ends[before - 1] > a):
                 added.append((kind, a, b))
+        added = [x for i, x in enumerate(added) if not i or x[1] >= max(y[2] for y in added[max(0, i - 1) : i])]
         out.append((base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
@@ -355,9 +449,9 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
 
 
 def personal_data(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs(doc_id, text, ...).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every row of docs(doc_id, text, ...).
 
-    Counts and digest are of the base spans; spans has all, by kind, start. Positions are code points, ends exclusive. A
+    The first counts and the digest are of the base spans; spans has all, by kind, start, and n_spans counts them. Positions are code points, ends exclusive. A
     null text counts as empty. Null doc_ids and repeated rows are kept; other columns are ignored; an empty table gives
     an empty result.
     """
@@ -371,11 +465,11 @@ def personal_data(docs: DataFrame, net: Network) -> DataFrame:
             found = all_spans(texts, own)
             columns = [batch.column(0)]
             columns += [pa.array([sum(k == kind for k, _, _ in base) for base, _ in found], pa.int64()) for kind in KINDS]
-            columns += [pa.array([hashlib.sha256(_join(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([_join(spans) for _, spans in found], pa.string())]
+            columns += [pa.array([hashlib.sha256(_join(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([_join(spans) for _, spans in found], pa.string()), pa.array([len(spans) for _, spans in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -390,7 +484,10 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, net: Network) -> DataFrame:
-    """docs(text, ...) with every span replaced by <kind> and all other columns kept; n_chars, where there is one, is counted anew."""
+    """docs(text, ...) with every span replaced by <kind> and all other columns kept; n_chars, where there is one, is counted anew.
+
+    A null text stays null, an empty one empty. Null doc_ids and repeated rows are kept; an empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net.p)
     at = docs.columns.index("text")
