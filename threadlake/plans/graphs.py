@@ -128,7 +128,7 @@ def fan_out(spark, sf_dir):
 
     from threadlake.session import shared_dir
 
-    base = f"{shared_dir(spark)}/threadlake/fan-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/fan-{uuid.uuid4().hex}"
     st.fan_out(stream(spark, sf_dir), [lambda df, b: df.write.mode("append").parquet(f"{base}/index"), lambda df, b: df.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{base}/counts")])
     return spark.read.parquet(f"{base}/counts").groupBy("event_type").agg(F.sum("n").alias("n"))
 
@@ -141,6 +141,6 @@ def resegment_threads(spark, sf_dir):
 
     from threadlake.session import shared_dir
 
-    base = f"{shared_dir(spark)}/threadlake/segments-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
     st.resegment(stream(spark, sf_dir), base)
     return spark.read.parquet(f"{base}/threads").groupBy("chat_id").agg(F.countDistinct("thread_id").alias("threads"), F.count("*").alias("n"))

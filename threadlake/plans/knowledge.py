@@ -91,7 +91,7 @@ def csv_pack(spark, sf_dir):
 
     from threadlake.session import shared_dir
 
-    path = f"{shared_dir(spark)}/threadlake/csv-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     catalog.write_csv(event_messages(spark, sf_dir).groupBy(F.to_date("date").cast("string").alias("day")).agg(F.count("*").alias("n")), path)
     return spark.read.option("header", True).schema("day string, n long").csv(path)
 
@@ -103,7 +103,7 @@ def json_dump(spark, sf_dir):
 
     from threadlake.session import shared_dir
 
-    path = f"{shared_dir(spark)}/threadlake/json-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
     catalog.write_json(event_messages(spark, sf_dir).groupBy("chat_id").agg(F.count("*").alias("n")), path)
     return spark.read.schema("chat_id long, n long").json(path)
 

@@ -117,7 +117,7 @@ def buffered_metrics(spark, sf_dir):
     from threadlake.session import shared_dir
 
     ship(spark)
-    path = f"{shared_dir(spark)}/threadlake/metrics-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
     st.drain(st.event_stream(spark, f"{sf_dir}/events.parquet").select("event_type", "value"), "append", lambda df, _: df.write.mode("append").parquet(path))
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,26 +38,48 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """This application's folder that driver and executors share, under spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine (as in tests) gets a temporary folder; on a cluster it is an error, as executors
+    would write to disks of their own.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         made = getattr(sc, "_threadlake_dir", None)
         if made is None:
             made = "file://" + tempfile.mkdtemp(prefix="threadlake-")
             sc._threadlake_dir = made
         path = made
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/threadlake/{sc.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and return it read back: lineage is cut and every copy survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadlake/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has stored. Results that are not yet computed or written may still need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Have every executor collect garbage, so that heaps grown in one heavy step are small again before the next.
+
+    Live data are few between steps; what has grown is free space, which otherwise adds to what Python workers take. The
+    calls go through Spark's own function for static methods, a few a core, so that each executor gets some.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has most rows or fewer; beyond that the join is left to Spark. Counting df is an action."""
     return F.broadcast(df) if df.count() <= most else df

@@ -61,7 +61,7 @@ def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None] |
     import uuid
 
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/threadlake/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     out = f"{base}/table"
     if each is not None:
