@@ -390,6 +390,47 @@ def test_tiff_of_known_bytes():
         assert tiff.unpack_lzw(tiff.pack_lzw(raw)) == raw and tiff.unpack_bits(tiff.pack_bits(raw)) == raw
 
 
+def test_lzw_of_known_codes():
+    """The format's own example, and widths that change with the codes; bits laid down one by one here."""
+
+    def laid(codes):
+        bits, free = "", 257
+        for c in codes:
+            bits += format(c, f"0{9 + (free >= 512) + (free >= 1024) + (free >= 2048)}b")
+            free = 258 if c == 256 else free + 1
+        return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+    raw = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.pack_lzw(raw) == laid([256, 7, 258, 8, 8, 258, 6, 6, 257])
+    assert tiff.unpack_lzw(laid([256, 7, 258, 8, 8, 258, 6, 6])) == raw  # no stop code
+    single = [i % 256 for i in range(3000)]
+    assert tiff.unpack_lzw(laid([256, *single, 256, 65, 258, 258, 257])) == bytes(single) + b"AAAAA"
+    for broken in ([65, 66], [256, 258, 257], [256, 65, 300, 257]):
+        with pytest.raises(ValueError):
+            tiff.unpack_lzw(laid(broken))
+    long = b"ab" * 300_000
+    assert tiff.unpack_lzw(tiff.pack_lzw(long)) == long and tiff.unpack_bits(tiff.pack_bits(b"x" * 10**6)) == b"x" * 10**6
+
+
+def test_tiff_of_documents(docs, texts):
+    """Every column over the table, computed plainly from the text and from the stored bytes; all codecs occur, also for long texts."""
+    media = {r["doc_id"]: bytes(r["media"]) for r in tiff.text_images(docs).collect()}
+    codes = {}
+    for r in tiff.text_image_digests(docs).collect():
+        raw = texts[r["doc_id"]].encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        stored = media[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        pages = list(tiff.read_pages(stored))
+        share = [payload.count(c) / len(payload) for c in set(payload)]
+        entropy = -sum(p * math.log2(p) for p in share)
+        edges = sum(a != b for a, b in zip(payload, payload[1:]))
+        assert r["feature"] == f"pages={len(pages)};rows={len(payload) // 192};mean={sum(payload) / len(payload):.4f};levels={len(share)};entropy={entropy:.4f};edges={edges}"
+        codes.setdefault(pages[0]["compression"], []).append(len(raw))
+    assert set(codes) == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE} and all(max(n) > 4096 for n in codes.values())
+
+
 def test_tiff_rows(spark, odd):
     good = tiff.write_pages([np.zeros((2, 3), np.uint8)] * 2, tiff.DEFLATE, 1, 0)
     files = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"junk")), (3, None), (4, bytearray(good[:-30]))], "doc_id long, media binary")

@@ -29,25 +29,25 @@ CLEAR, STOP = 256, 257
 
 COLUMNS = 192
 PAGE_ROWS = 4096
-#: Texts up to these sizes may be stored by the codecs that run byte by byte.
-LZW_MOST, PACKBITS_MOST = 1 << 10, 1 << 12
+#: How a text is stored follows from its checksum alone, whatever its length.
+CODECS = (LZW, PACKBITS, PACKBITS, DEFLATE, DEFLATE, DEFLATE, DEFLATE, DEFLATE)
 
 
 def pack_bits(raw: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(raw)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and raw[j] == raw[i]:
-            j += 1
-        if j - i >= 3:
-            out += bytes((257 - (j - i), raw[i]))
-            i = j
-            continue
-        start = i
-        while i < n and i - start < 128 and not (i + 2 < n and raw[i] == raw[i + 1] == raw[i + 2]):
-            i += 1
-        out += bytes((i - start - 1,)) + raw[start:i]
-    return bytes(out)
+    """Runs of three bytes or more as repeats, what lies between them as it is, in pieces of 128 at most. Runs are found by arrays."""
+    x = np.frombuffer(raw, np.uint8)
+    edge = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+    long = np.flatnonzero(np.diff(edge) >= 3)
+    out, at = [], 0
+    for a, b in [*zip(edge[long].tolist(), edge[long + 1].tolist(), strict=True), (len(raw), len(raw))]:
+        for i in range(at, a, 128):
+            out += bytes((min(a - i, 128) - 1,)), raw[i : min(i + 128, a)]
+        for i in range(a, b, 128):
+            # a last single byte is stored as it is
+            n = min(128, b - i)
+            out.append(bytes((257 - n if n > 1 else 0, raw[i])))
+        at = b
+    return b"".join(out)
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -65,72 +65,98 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _width(following: np.ndarray) -> np.ndarray:
+    """Bits of a code that is written when the next free code is following: it grows one code early, as the format has it."""
+    return 9 + (following >= 512) + (following >= 1024) + (following >= 2048)
+
+
 def pack_lzw(raw: bytes) -> bytes:
-    """Codes of 9 to 12 bits, highest bit first; the width grows one code early, as the format has it."""
-    bits, held, out = 0, 0, bytearray()
-    table: dict[bytes, int] = {bytes((i,)): i for i in range(256)}
-    width, following, w = 9, 258, b""
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        bits, held = bits << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held & 255)
-        bits &= (1 << held) - 1
-
-    put(CLEAR)
+    """Codes of 9 to 12 bits, highest bit first. Codes are looked up by pairs of code and byte, and laid into bits by arrays."""
+    codes, table, following, w = [CLEAR], {}, 258, -1
+    free = [257]  # the next free code when each code is written; the first is written with 9 bits
     for c in raw:
-        x = w + bytes((c,))
-        if x in table:
-            w = x
-            continue
-        put(table[w])
-        table[x] = following
+        k = w << 8 | c
+        if w < 0:
+            w = c
+        elif (found := table.get(k)) is not None:
+            w = found
+        else:
+            codes.append(w)
+            free.append(following)
+            table[k] = following
+            following += 1
+            if following == 4094:
+                codes.append(CLEAR)
+                free.append(following)
+                table, following = {}, 258
+            w = c
+    if w >= 0:
+        codes.append(w)
+        free.append(following)
         following += 1
-        if following + 1 > 1 << width and width < 12:
-            width += 1
-        if following == 4094:
-            put(CLEAR)
-            table, width, following = {bytes((i,)): i for i in range(256)}, 9, 258
-        w = bytes((c,))
-    if w:
-        put(table[w])
-        if following + 2 > 1 << width and width < 12:
-            width += 1
-    put(STOP)
-    if held:
-        out.append(bits << (8 - held) & 255)
-    return bytes(out)
+    codes.append(STOP)
+    free.append(following)
+    width = _width(np.array(free))[:, None]
+    place = np.arange(12)
+    bits = np.array(codes)[:, None] >> np.maximum(width - 1 - place, 0) & 1
+    return np.packbits(bits[place < width].astype(np.uint8)).tobytes()
+
+
+_FREE = 257 + np.arange(1, 4096 - 257)
+_WIDTHS = _width(_FREE)
+_ENDS = np.cumsum(_WIDTHS)
+
+
+def _expand(codes: np.ndarray) -> np.ndarray:
+    """The bytes of the codes between two clear codes. Entry 258 + i is code i's text and the byte behind it, so every code but the first 256 repeats earlier output."""
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.uint8)
+    if codes[0] > 255 or (codes - 258 >= np.arange(n)).any():
+        raise ValueError("an LZW code is used before it is made")
+    back = codes >= 258
+    # lengths, then places: each pointer is replaced by that of what it points to until all point to single bytes
+    parent, size = np.where(back, codes - 258, n), np.ones(n + 1, np.int64)
+    parent = np.append(parent, n)
+    size[n] = 0
+    while (parent < n).any():
+        size = size + size[parent]
+        parent = parent[parent]
+    size = size[:n]
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(n), size)
+    place = np.arange(len(owner))
+    source = np.where(back[owner], start[np.where(back, codes - 258, 0)][owner] + place - start[owner], place)
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    return codes[owner[source]].astype(np.uint8)
 
 
 def unpack_lzw(data: bytes) -> bytes:
-    out = bytearray()
-    table: list[bytes] = []
-    bits = held = at = 0
-    width, before = 9, b""
+    """The codes up to each clear code are read at once, as their widths follow from their number; data may end without a stop code."""
+    d = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.int64)
+    out, at, total = [], 0, 8 * len(data)
+    first = True
     while True:
-        while held < width:
-            if at >= len(data):
-                return bytes(out)
-            bits, held, at = bits << 8 | data[at], held + 8, at + 1
-        held -= width
-        code = bits >> held
-        bits &= (1 << held) - 1
-        if code == STOP:
-            return bytes(out)
-        if code == CLEAR:
-            table, width, before = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        if not table:
+        # the code before the first clear code, and all after it, are written as if 257 + their place were free
+        widths, ends = (_WIDTHS[:1], _ENDS[:1]) if first else (_WIDTHS, _ENDS)
+        ends = at + ends[at + ends <= total]
+        begin = ends - widths[: len(ends)]
+        k = begin >> 3
+        codes = (d[k] << 16 | d[k + 1] << 8 | d[k + 2]) >> (24 - (begin & 7) - widths[: len(ends)]) & (1 << widths[: len(ends)]) - 1
+        stop = np.flatnonzero((codes == CLEAR) | (codes == STOP))
+        if first and (not len(codes) or codes[0] != CLEAR):
+            if len(codes) and codes[0] == STOP or not len(data):
+                return b""
             raise ValueError("LZW data do not begin with a clear code")
-        word = table[code] if code < len(table) else before + before[:1]
-        out += word
-        if before:
-            table.append(before + word[:1])
-        before = word
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
+        n = int(stop[0]) if len(stop) else len(codes)
+        out.append(_expand(codes[:n]).tobytes())
+        if not len(stop) or codes[n] == STOP:
+            return b"".join(out)
+        at, first = int(ends[n]), False
 
 
 def compress(raw: bytes, code: int) -> bytes:
@@ -277,7 +303,7 @@ def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(raw))
                 raw = raw.ljust(max(1, -(-len(raw) // COLUMNS)) * COLUMNS)
                 crc = zlib.crc32(raw)
-                code = LZW if len(raw) <= LZW_MOST and crc % 2 else PACKBITS if len(raw) <= PACKBITS_MOST and crc % 3 == 0 else DEFLATE
+                code = CODECS[crc % 8]
                 x = np.frombuffer(raw, np.uint8).reshape(-1, COLUMNS)
                 tile = 64 if crc >> 8 & 3 == 0 else 0
                 out.append(write_pages([x[i : i + PAGE_ROWS] for i in range(0, len(x), PAGE_ROWS)], code, 1 if code == PACKBITS else 1 + (crc >> 10 & 1), tile, "<" if crc >> 12 & 1 else ">"))
@@ -291,8 +317,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 def text_images(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text of docs as UTF-8, padded with blanks to a positive multiple of COLUMNS, as pages of 8-bit grey samples.
 
-    The form depends on the text alone: by its checksum and size PackBits, LZW or deflate, with predictor or tiles or
-    without, in either byte order. Null text counts as empty.
+    The form depends on the text's checksum alone: PackBits, LZW or deflate, with predictor or tiles or without, in either
+    byte order. Null text counts as empty. Null doc_ids and repeated rows are kept; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     return _texts(docs).mapInArrow(_images, "doc_id long, n_bytes long, media binary")
@@ -337,7 +363,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_image_digests(docs: DataFrame) -> DataFrame:
     """One row a document: its text stored by text_images, read back by tiff_pages, and the sizes, digests and features of the samples.
 
-    The three steps share a worker, and a document's pages stay next to each other, so nothing is shuffled.
+    The three steps share a worker, and a document's pages stay next to each other, so nothing is shuffled. Null text counts as
+    empty; null doc_ids and repeated rows are kept; other columns are ignored; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -227,6 +227,6 @@ def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2) -
     spark = docs.sparkSession
     ship(spark)
     tokens = stored(tokenise(docs, tokenizer, pattern, end_id), "tokens")
-    path = f"{shared_dir(spark)}/threadlake/ids-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     write(tokens, path, max(8, docs.select("doc_id").rdd.getNumPartitions()))
     return read(spark, path, digests=True)
