@@ -188,22 +188,50 @@ def test_base_scores_equal_counts(odd, docs):
         assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_class_shares_sum_to_one():
-    w = np.zeros((maxent.ROWS, maxent.CLASSES), np.float32)
-    f = maxent.features(np.array([5, 9, 0], np.uint64), np.array([0, 1, 2, 0, 2], np.uint32), np.array([3, 2]))
-    assert np.allclose(np.exp(maxent.log_classes(w, f)).sum(axis=1), 1)
-    assert (f[3, 1:] == f[0, 1:]).all()  # a document's first token has the same history everywhere
-
-
-def test_updates_learn():
+def test_gradient_and_curvature_of_scales():
     rng = np.random.default_rng(0)
-    w, s, u = np.zeros((maxent.ROWS, maxent.CLASSES), np.float32), np.zeros((maxent.ROWS, maxent.CLASSES), np.float32), np.zeros(maxent.ROWS)
-    f = np.zeros((2000, 5), np.int32)
-    f[:, 1] = rng.integers(1, 5, 2000)
-    y = f[:, 1].astype(np.int64) + 3
-    for _ in range(60):
-        maxent.update(w, s, u, f, y)
-    assert (maxent.log_classes(w, f).argmax(axis=1) == y).all()
+    k, b, n = maxent.KINDS, maxent.BANDS, 40
+    weights = [rng.normal(size=(n, 5)) for _ in range(k)]
+    band = [rng.integers(0, b, n).astype(np.uint8) for _ in range(k)]
+    plain, target, scales = np.log(np.full((n, 5), 0.2)), rng.integers(0, 5, n), rng.uniform(0, 1, (k, b))
+    at = lambda s: maxent._moments(weights, band, plain, s, target)
+    grad, curve, _ = at(scales)
+    curve = curve.reshape(k * b, k * b)
+    for i in rng.choice(k * b, 8, replace=False):
+        more, less = scales.copy(), scales.copy()
+        more.flat[i] += 1e-4
+        less.flat[i] -= 1e-4
+        assert abs((at(more)[2] - at(less)[2]) / 2e-4 - grad[i]) < 1e-4
+        assert np.allclose((at(less)[0] - at(more)[0]) / 2e-4, curve[i], atol=1e-4)
+
+
+def test_shares_of_words_sum_to_one():
+    """Classes, slots and shares inside a slot leave exactly one share a slot for words that training lacks."""
+    words = np.unique(np.random.default_rng(0).integers(1, 2**63, 3000, dtype=np.uint64))
+    count, topic = np.arange(1, len(words) + 1), np.arange(len(words)) % 3
+    tail_n, tail_v = np.zeros((3, maxent.SLOTS)), np.zeros((3, maxent.SLOTS))
+    np.add.at(tail_n, (topic, maxent.slot(words)), count)
+    np.add.at(tail_v, (topic, maxent.slot(words)), 1)
+    head = [[(int(count[i]), int(words[i])) for i in np.flatnonzero(topic == k)[::-1][: maxent.HEADS * maxent.SLOTS]] for k in range(3)]
+    m = maxent.Model(3, 50, head, tail_n, tail_v)
+    cell, share, _ = m.word_tables(words, count, topic)
+    total = np.bincount(cell, weights=10**share, minlength=m.classes * maxent.SLOTS).reshape(-1, maxent.SLOTS)
+    for k in range(3):
+        first = 1 + k * (maxent.HEADS + 1)
+        assert np.allclose(total[first : first + maxent.HEADS], 1)
+        assert np.allclose(total[first + maxent.HEADS], 1 - 1 / (m.tail_n[k] + m.tail_v[k] + 1))
+    assert np.allclose(np.exp(m.plain).sum(), 1) and np.allclose(np.exp(m.plain_slots).sum(axis=1), 1)
+
+
+def test_model_beats_counts_on_held_out_text(spark):
+    """By a clear margin, and alike however the table is dealt out."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [{r["doc_id"]: r for r in maxent.lm_scores(df.repartition(n)).collect()} for n in (3, 11)]
+    held = [r for r in got[0].values() if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain > 0.1
+    for i, r in got[0].items():
+        assert abs(r["score"] - got[1][i]["score"]) < 1e-6 * max(1, abs(r["score"]))
 
 
 def test_language_of_held_out_rows(docs):
