@@ -284,6 +284,8 @@ def test_toxicity(spark, odd):
     out = toxicity.toxicity(odd, m).collect()
     assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.clean(odd, m).columns == odd.columns
+    m.bias = 9.0  # whatever the model, a text without words has nothing to judge
+    assert {r["doc_id"] for r in toxicity.clean(odd, m).collect()} >= {1, 2}
     none = toxicity.fit(df, lab.limit(0))
     assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity(df.limit(5), none).collect())
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from threadlake.llm import kernel
 from threadlake.llm.components import components
-from threadlake.session import ship, stored
+from threadlake.session import settle, ship, stored
 
 FOLD = 1024
 BLOCK = 384
@@ -283,6 +283,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     keyed = sig.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
     grouped = keyed.withColumn("low", F.min("node").over(w)).withColumn("top", F.max("node").over(w)).where("low < top")
     grouped = stored(grouped, "groups")
+    settle(docs.sparkSession)  # the widest step is over
     pairs = grouped.select(F.col("low").alias("a"), F.col("node").alias("b")).union(grouped.select(F.col("node").alias("a"), F.col("top").alias("b"))).where("a < b").distinct()
     info = nodes.select("node", "n", "sketch")
     x = pairs.join(info.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a").join(info.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b")

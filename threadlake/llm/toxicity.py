@@ -232,7 +232,11 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs(text, ...) that score below threshold, with all their columns; nothing is shuffled."""
+    """The rows of docs(text, ...) that score below threshold, with all their columns; nothing is shuffled.
+
+    Null and empty texts have nothing to judge and stay, whatever the model's bias. Null doc_ids and repeated rows are judged by
+    their text; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -245,6 +249,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             for lo, hi in kernel.slices(offs):
                 margin.append(sent.value.margins(*features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])))
             score = 1 / (1 + np.exp(-np.clip(np.concatenate(margin), -30, 30)))
-            yield batch.filter(pa.array(score < threshold))
+            empty = np.diff(offs) == 0
+            yield batch.filter(pa.array((score < threshold) | empty))
 
     return docs.mapInArrow(kernel.lean(run), docs.schema)
