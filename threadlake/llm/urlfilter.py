@@ -2,8 +2,9 @@
 
 Dated list entries (add or remove a pattern) become validity intervals; every capture is held against the entries that
 were active when it was fetched. Patterns are a host, a domain above it, or a host with its first path segment.
-Intervals and captures are cut by month, so that the join runs on (pattern, month): a pattern with a long history or a
-host with very many captures is dealt over many keys, and a capture meets its own month's intervals only.
+Intervals and captures are cut by month, so that the join runs on (pattern, month): a pattern with a long history is dealt over
+many keys, and a capture meets its own month's intervals only. Where a domain has very many captures in a month, these are dealt
+over several parts, each of which has the month's intervals.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.session import small, stored
+
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SEGMENT = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
@@ -46,7 +49,11 @@ def patterns(captures: DataFrame) -> DataFrame:
     return captures.withColumn("host", host).withColumn("segment", segment).withColumn("patterns", F.when(F.col("host").isNotNull(), F.array_distinct(both))).drop("segment")
 
 
-def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
+#: Captures of one pattern in one month that make a part.
+PART = 1_000_000
+
+
+def filtered(captures: DataFrame, entries: DataFrame, part: int = PART) -> DataFrame:
     """page_id, url, fetch_ts, host, blocked, n_active, lists, pattern of every row of captures(page_id, url, fetch_ts, ...).
 
     n_active counts (list, pattern) entries active at fetch_ts, lists names their lists in order, pattern is the longest
@@ -59,7 +66,12 @@ def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     last = F.lit(captures.agg(F.max(F.col("fetch_ts").cast("timestamp"))).first()[0]).cast("timestamp")
     end = F.least(F.coalesce(_month("valid_to"), _month(last)), _month(last))
     valid = intervals(entries).where(F.col("valid_from") <= last).select("list", "pattern", "valid_from", "valid_to", F.explode(F.sequence(_month("valid_from"), F.greatest(_month("valid_from"), end))).alias("month"))
-    hits = keyed.join(valid, ["pattern", "month"]).where("fetch_ts >= valid_from AND (valid_to IS NULL OR fetch_ts < valid_to)")
+    # as many rows at most as there are parts of that size among the captures' patterns
+    hot = stored(keyed.groupBy("pattern", "month").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1"), "hot")
+    hot, parts = small(hot), F.coalesce("parts", F.lit(1))
+    keyed = keyed.join(hot, ["pattern", "month"], "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "fetch_ts"), parts).cast("int")).drop("parts")
+    valid = valid.join(hot, ["pattern", "month"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    hits = keyed.join(valid, ["pattern", "month", "part"]).where("fetch_ts >= valid_from AND (valid_to IS NULL OR fetch_ts < valid_to)")
     found = hits.groupBy("page_id", "url", "fetch_ts").agg(F.countDistinct("list", "pattern").alias("n_active"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"), F.min_by("pattern", F.struct(-F.length("pattern"), "pattern")).alias("pattern"))
     found = found.withColumnsRenamed({"page_id": "p", "url": "u", "fetch_ts": "f"})
     out = c.drop("patterns").join(found, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("url") == F.col("u")) & (F.col("fetch_ts") == F.col("f")), "left")
