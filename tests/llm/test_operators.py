@@ -117,12 +117,14 @@ def test_jaccard_of_families(spark):
 def test_chunk_keys_meet_for_every_linked_pair():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 6, 7, 13, 50, 300):
-        for _ in range(20):
-            a = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+        for trial in range(60):
+            # values over the whole range, over half of it, and crowded into few chunks
+            top = (2**64 - 1, 2**63, 2**62)[trial % 3]
+            a = np.unique(rng.integers(1, top, n, dtype=np.uint64))
             d = int(jaccard.most_apart(2 * n, 85, 100))
             take = int(rng.integers(0, d + 1))
             drop = min(take // 2, n - 1)
-            b = np.unique(np.concatenate([a[drop:], rng.integers(1, 2**63, take - drop, dtype=np.uint64)]))
+            b = np.unique(np.concatenate([a[drop:], rng.integers(1, top, take - drop, dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= 85 * (len(a) + len(b) - both):
                 k1, _ = jaccard.chunk_keys(a, np.array([0, len(a)]), 85, 100)
@@ -130,6 +132,16 @@ def test_chunk_keys_meet_for_every_linked_pair():
                 assert set(k1.tolist()) & set(k2.tolist())
 
 
+def test_unrelated_small_sets_share_no_key():
+    """Of a hundred thousand random sets of five to eight shingles hardly any two meet."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(5, 9, 100_000)
+    values = rng.integers(1, 2**64 - 1, int(sizes.sum()), dtype=np.uint64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    keys, _ = jaccard.chunk_keys(values, bounds, 85, 100)
+    assert np.unique(keys, return_counts=True)[1].max() <= 20
+
+
 def test_bpe_equals_library(docs, texts, ranks):
     enc = tik(ranks)
     for r in bpe.encoded_digests(docs, ranks, pt.PATTERN, block_bytes=50_000).collect():
@@ -488,7 +500,10 @@ def test_url_filter(spark):
     df = spark.createDataFrame([(i, u, t(s) if s else None, "c") for i, u, s in caps], "page_id long, url string, fetch_ts string, pattern string").withColumn("fetch_ts", __import__("pyspark.sql.functions", fromlist=["col"]).col("fetch_ts").cast("timestamp"))
     got = sorted((r["page_id"], r["n_active"], r["lists"], r["pattern"]) for r in urlfilter.filtered(df, entries).collect())
     assert got == [(1, 0, "", None), (2, 1, "a", "example.org"), (3, 2, "a,b", "x.example.org"), (4, 1, "b", "x.example.org"), (5, 1, "b", "y.net/spam"), (6, 0, "", None), (7, 0, "", None), (8, 0, "", None), (9, 0, "", None), (9, 0, "", None), (10, 0, "", None)]
+    again = sorted((r["page_id"], r["n_active"], r["lists"], r["pattern"]) for r in urlfilter.filtered(df, entries, part=1).collect())
+    assert again == got  # every pattern with two captures in a month in parts
     assert urlfilter.filtered(df, entries.limit(0)).where("blocked").count() == 0
+    assert urlfilter.filtered(df.limit(0), entries).count() == 0
 
 
 def test_odd_rows_of_jaccard(odd):
@@ -507,6 +522,13 @@ def test_empty_tables(spark, docs, ranks):
     assert langid.languages(none, langid.fit(none)).count() == 0
     assert pii.personal_data(none, pii.fit(none)).count() == 0
     assert tiff.text_image_digests(none).count() == 0
+    assert tiff.tiff_pages(tiff.text_images(none)).count() == 0
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    assert decontam.contaminated(none, items).count() == 0
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    m = toxicity.fit(none, labels)
+    assert toxicity.toxicity(none, m).count() == 0 and toxicity.clean(none, m).count() == 0
+    assert pii.redact(none, pii.train([])).count() == 0
 
 
 def test_token_starts_equal_pattern():

@@ -93,20 +93,37 @@ def chunk_keys(values: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tu
         keep = place < (d + 1)[row]
         keys.append(content[rank][keep])
         owners.append(row[keep])
-        # a set with d empty chunks or more needs some of those too: they are keyed by place
+        # a set whose shingles fill d chunks or fewer needs some of its empty chunks too
         full = np.bincount(row, minlength=len(sizes))
         for i in np.flatnonzero(used & (full < d + 1)):
             there = np.zeros(k[i], bool)
             there[chunk[rank][row == i]] = True
             empty = np.flatnonzero(~there).astype(np.uint64)
             content_e = np.sort(kernel.mix(kernel.mix(empty + np.uint64(int(group[i]) * 1_000_003)) ^ np.uint64(0x5851F42D4C957F2D)))
-            keys.append(content_e[: d[i] + 1 - full[i]])
-            owners.append(np.full(min(len(content_e), d[i] + 1 - full[i]), i))
+            own = _with_parts(content_e[: d[i] + 1 - full[i]], values[bounds[i] : bounds[i + 1]], mixed[bounds[i] : bounds[i + 1]], int(d[i]) + 1)
+            keys.append(own)
+            owners.append(np.full(len(own), i))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
+def _with_parts(keys: np.ndarray, values: np.ndarray, mixed: np.ndarray, parts: int) -> np.ndarray:
+    """Keys of empty chunks, each with the content of every part of the set.
+
+    Many unrelated small sets have the same chunks empty. Two sets that agree on empty chunks only both need them, and differ in fewer
+    shingles than there are parts: of the parts of any division they agree on one at least. Divisions by independent hashes are put on
+    top of each other, as long as a key does not become more than 64.
+    """
+    for level in range(max(1, int(np.log(64) / np.log(max(parts, 2))))):
+        part = ((kernel.mix(values + np.uint64(0xD1342543DE82EF95 * (level + 1) & (1 << 64) - 1)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.bitwise_xor.at(sums, part, mixed)
+        tags = kernel.mix(sums ^ kernel.mix(np.arange(parts, dtype=np.uint64) + np.uint64(7919 * (level + 1))))
+        keys = kernel.mix(kernel.step(keys[:, None], tags[None, :], kernel.FIRST)).ravel()
+    return keys
+
+
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offs = kernel.utf8(column)
     for lo, hi in kernel.slices(offs):
