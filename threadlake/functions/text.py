@@ -19,7 +19,10 @@ APPLE_EPOCH_MICROS = 978307200000000
 
 def apple_timestamp(nanos: str) -> Column:
     """Nanoseconds since 2001-01-01 UTC to a timestamp; null counts as 0, fractions under a microsecond go."""
-    return F.timestamp_micros(F.floor(F.coalesce(F.col(nanos), F.lit(0)) / 1000).cast("long") + F.lit(APPLE_EPOCH_MICROS))
+    n = F.coalesce(F.col(nanos).cast("long"), F.lit(0).cast("long"))
+    # whole-number division: doubles lose microseconds of values this large
+    micros = F.call_function("div", n - F.pmod(n, F.lit(1000)), F.lit(1000))
+    return F.timestamp_micros(micros + F.lit(APPLE_EPOCH_MICROS))
 
 
 def to_apple(ts: str) -> Column:
@@ -44,7 +47,8 @@ def sentiment_parts(text: str) -> Column:
     """struct(pos, neg, n_pos, n_neg): weights and counts of lexicon words and emoji."""
     words = lexicon_tokens(text)
     weight = F.create_map(*[F.lit(x) for pair in {**NEGATIVE, **POSITIVE}.items() for x in pair])
-    w = F.filter(F.transform(words, lambda x: weight[x]), lambda x: x.isNotNull())
+    # a hashed set picks the few lexicon words; only these are looked up in the map, which is searched in order
+    w = F.transform(F.filter(words, lambda x: x.isin([*NEGATIVE, *POSITIVE])), lambda x: weight[x])
     pos, neg = F.filter(w, lambda x: x > 0), F.filter(w, lambda x: x < 0)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     ep, en = _emoji(F.col(text), POSITIVE_EMOJI), _emoji(F.col(text), NEGATIVE_EMOJI)

@@ -64,9 +64,9 @@ def rollup_weeks(spark, sf_dir):
 
 @query("agg06_heatmap", f"""
 SELECT date::DATE::VARCHAR AS day, count(*) AS n, CASE WHEN count(*) = 0 THEN 0 WHEN count(*) <= 5 THEN 1 WHEN count(*) <= 15 THEN 2 WHEN count(*) <= 30 THEN 3 ELSE 4 END AS level
-FROM {EV} WHERE chat_id < 20 GROUP BY 1""")
+FROM {EV} GROUP BY 1""")
 def heatmap(spark, sf_dir):
-    return agg.activity_levels(event_messages(spark, sf_dir).where("chat_id < 20")).withColumn("day", F.col("day").cast("string"))
+    return agg.activity_levels(event_messages(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("agg07_overview", f"""

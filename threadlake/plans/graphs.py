@@ -129,7 +129,7 @@ def fan_out(spark, sf_dir):
     from threadlake.session import shared_dir
 
     base = f"{shared_dir(spark)}/fan-{uuid.uuid4().hex}"
-    st.fan_out(stream(spark, sf_dir), [lambda df, b: df.write.mode("append").parquet(f"{base}/index"), lambda df, b: df.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{base}/counts")])
+    st.fan_out(stream(spark, sf_dir), [lambda df, b: st.put(df, f"{base}/index", b), lambda df, b: st.put(df.groupBy("event_type").agg(F.count("*").alias("n")), f"{base}/counts", b)])
     return spark.read.parquet(f"{base}/counts").groupBy("event_type").agg(F.sum("n").alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as tx
@@ -10,7 +12,7 @@ from threadlake.operators import messages as ops
 from threadlake.operators import vectors as ov
 from threadlake.plans.registry import query
 from threadlake.plans.texts import I8, _knn, first_vector
-from threadlake.session import ship, small
+from threadlake.session import shared_dir, ship
 from threadlake.sources.tables import CV, EV, chat_messages, table
 from threadlake.streaming import messages as st
 
@@ -75,15 +77,15 @@ def validity(spark, sf_dir):
     return chat_messages(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("vec06_knn_chunks", _knn("(SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 1)"))
+@query("vec06_knn_chunks", _knn("(SELECT vec_id, embedding FROM embeddings WHERE label = 3)"))
 def knn_chunks(spark, sf_dir):
-    return ov.nearest(table(spark, sf_dir, "embeddings").where("vec_id % 2 = 1"), first_vector(spark, sf_dir), 10)
+    return ov.nearest(table(spark, sf_dir, "embeddings").where("label = 3"), first_vector(spark, sf_dir), 10)
 
 
-@query("vec09_dequantised", f"SELECT vec_id, round(list_sum(list_transform({I8.format(v='embedding')}, lambda x: x / 127.0)), 4) AS total FROM embeddings WHERE vec_id IN (1, 2, 3, 5, 8, 13)")
+@query("vec09_dequantised", f"SELECT vec_id, round(list_sum(list_transform({I8.format(v='embedding')}, lambda x: x / 127.0)), 4) + 0.0 AS total FROM embeddings")
 def dequantised(spark, sf_dir):
     q = ov.quantise("embedding")
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(1, 2, 3, 5, 8, 13)).select("vec_id", F.round(F.aggregate(q, F.lit(0.0), lambda s, x: s + x / 127.0), 4).alias("total"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(F.aggregate(q, F.lit(0.0), lambda s, x: s + x / 127.0), 4) + F.lit(0.0)).alias("total"))
 
 
 @query("jon19_nearest_of_many", """
@@ -91,34 +93,60 @@ WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_i
 s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS sim FROM embeddings, q WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank FROM r WHERE rank <= 5""")
 def nearest_of_many(spark, sf_dir):
-    """A stated query set (every fiftieth row) against all rows: queries go to every task in checked number, the top is kept by pre-ranking in each task."""
+    """A stated query set (every fiftieth row) against all rows: queries go to every task in blocks, the top is kept by pre-ranking in each task."""
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(1).alias("one"))
-    s = e.withColumn("one", F.lit(1)).join(small(q), "one").where("vec_id <> query_id").select("query_id", "vec_id", ov.dot("embedding", "q").alias("sim"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    s = ov.similarities(e, q, "vec_id", "query_id").where("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "vec_id", "rank")
 
 
-@query("str07_watermark_counts", f"SELECT event_type, count(*) AS n FROM {EV} GROUP BY 1")
+def _in_parts(spark, sf_dir, parts: list[str], run) -> None:
+    """Write events by the conditions, one after another, into a folder, and run(folder, number) each time."""
+    base = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    for i, rows in enumerate(parts):
+        table(spark, sf_dir, "events").where(rows).write.mode("append").parquet(f"{base}/in")
+        run(base, i)
+
+
+@query("str07_watermark_counts", f"SELECT event_type, count(*) AS n FROM {EV} WHERE date >= TIMESTAMP '2024-01-08' GROUP BY 1")
 def watermark_counts(spark, sf_dir):
-    """Rows in time are all counted: nothing is later than the watermark in one pass over the table."""
+    """Events from the eighth of January on come in two runs; those before the sixth come last, later than the watermark lets in, and are dropped."""
     ship(spark)
-    s = st.sliding(st.event_stream(spark, f"{sf_dir}/events.parquet"), "1 day", "1 day", "2 days")
-    return st.drain(s, "complete").groupBy("event_type").agg(F.sum("n").alias("n"))
+    out = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
 
+    def run(base: str, i: int) -> None:
+        windows = st.sliding(st.event_stream(spark, f"{base}/in"), "1 day", "1 day", "1 day")
+        st.drain(windows, "update", lambda df, batch: st.put(df, f"{out}/rows", batch), out)
+
+    _in_parts(spark, sf_dir, ["ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-20'", "ts >= TIMESTAMP '2024-01-20'", "ts < TIMESTAMP '2024-01-06'"], run)
+    # a window's newest count is its largest
+    newest = spark.read.parquet(f"{out}/rows").groupBy("start", "event_type").agg(F.max("n").alias("n"))
+    return newest.groupBy("event_type").agg(F.sum("n").alias("n"))
 
-@query("snk12_buffered_metrics", f"SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM {EV} GROUP BY 1")
-def buffered_metrics(spark, sf_dir):
-    """Micro-batches appended to a metrics table, then read."""
-    import uuid
 
-    from threadlake.session import shared_dir
+@query("str02_restart", f"SELECT id, chat_id, CASE WHEN date < TIMESTAMP '2024-01-15' THEN 0 ELSE 1 END AS run FROM {EV}")
+def restart(spark, sf_dir):
+    """A tail that is stopped and run again over more rows goes on from its offset: every row comes once, in the run in which it was new."""
+    ship(spark)
+    out = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+
+    def run(base: str, i: int) -> None:
+        rows = st.event_stream(spark, f"{base}/in").select("id", "chat_id")
+        st.drain(rows, "append", lambda df, batch: st.put(df.withColumn("run", F.lit(i)), f"{out}/rows", batch), out)
+
+    _in_parts(spark, sf_dir, ["ts < TIMESTAMP '2024-01-15'", "ts >= TIMESTAMP '2024-01-15'"], run)
+    return spark.read.parquet(f"{out}/rows").select("id", "chat_id", "run")
 
+
+@query("snk12_buffered_metrics", f"SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM {EV} GROUP BY 1")
+def buffered_metrics(spark, sf_dir):
+    """Micro-batches put into a metrics table, each once however often it is tried, then read."""
     ship(spark)
     path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
-    st.drain(st.event_stream(spark, f"{sf_dir}/events.parquet").select("event_type", "value"), "append", lambda df, _: df.write.mode("append").parquet(path))
+    st.drain(st.event_stream(spark, f"{sf_dir}/events.parquet").select("event_type", "value"), "append", lambda df, batch: st.put(df, path, batch))
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

@@ -10,7 +10,6 @@ from threadlake.operators import sequences as seq
 from threadlake.operators import text as ot
 from threadlake.operators import vectors as ov
 from threadlake.plans.registry import query
-from threadlake.session import small
 from threadlake.sources.tables import CV, chat_messages, table
 
 
@@ -32,15 +31,15 @@ def parts(spark, sf_dir):
     return chat_messages(spark, sf_dir).withColumn("s", tx.sentiment_parts("text"))
 
 
-@query("scl01_apple_epoch", "SELECT event_id, make_timestamp(((event_id * 86400123456789) // 1000) + 978307200000000) AS date, event_id * 86400123456000 // 1000 * 1000 AS back FROM events WHERE event_id < 200")
+@query("scl01_apple_epoch", "SELECT event_id, make_timestamp(((event_id % 20000 * 86400123456789) // 1000) + 978307200000000) AS date, event_id % 20000 * 86400123456000 AS back FROM events")
 def apple_epoch(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 200").withColumn("ns", F.col("event_id") * 86400123456789)
-    return e.withColumn("date", tx.apple_timestamp("ns")).withColumn("whole", F.timestamp_micros(F.floor(F.col("event_id") * 86400123456000 / 1000).cast("long") + F.lit(tx.APPLE_EPOCH_MICROS))).select("event_id", "date", tx.to_apple("whole").alias("back"))
+    e = table(spark, sf_dir, "events").withColumn("ns", F.col("event_id") % 20000 * 86400123456789)
+    return e.withColumn("date", tx.apple_timestamp("ns")).withColumn("whole", F.timestamp_micros(F.col("event_id") % 20000 * 86400123456 + F.lit(tx.APPLE_EPOCH_MICROS))).select("event_id", "date", tx.to_apple("whole").alias("back"))
 
 
-@query("scl04_tapbacks", f"SELECT event_id, {'MAP {' + ', '.join(f'{k}: {chr(39)}{v}{chr(39)}' for k, v in tx.TAPBACKS.items()) + '}'}[2000 + event_id % 7 + 1000 * (event_id % 2)] AS reaction FROM events WHERE event_id < 300")
+@query("scl04_tapbacks", f"SELECT event_id, {'MAP {' + ', '.join(f'{k}: {chr(39)}{v}{chr(39)}' for k, v in tx.TAPBACKS.items()) + '}'}[2000 + event_id % 7 + 1000 * (event_id % 2)] AS reaction FROM events")
 def tapbacks(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id < 300").withColumn("code", (2000 + F.col("event_id") % 7 + 1000 * (F.col("event_id") % 2)).cast("int")).select("event_id", tx.tapback("code").alias("reaction"))
+    return table(spark, sf_dir, "events").withColumn("code", (2000 + F.col("event_id") % 7 + 1000 * (F.col("event_id") % 2)).cast("int")).select("event_id", tx.tapback("code").alias("reaction"))
 
 
 @query("scl05_file_names", "SELECT page_id, nullif(split_part(split_part(url, '?', 1), '/', -1), '') AS name FROM pages")
@@ -262,14 +261,13 @@ def decay(spark, sf_dir):
 
 @query("vec16_template_match", """
 WITH t AS (SELECT label, embedding AS c FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
-s AS (SELECT vec_id, t.label, list_sum(list_transform(list_zip(e.embedding, t.c), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS sim FROM embeddings e, t WHERE vec_id % 10 = 3)
+s AS (SELECT vec_id, t.label, list_sum(list_transform(list_zip(e.embedding, t.c), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS sim FROM embeddings e, t)
 SELECT vec_id, arg_max(label, (sim, -label)) AS template, round(max(sim), 5) AS similarity FROM s GROUP BY 1""")
 def template_match(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    # one template a label, sent to every task while they are few
-    t = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).withColumn("one", F.lit(1))
-    s = e.where("vec_id % 10 = 3").withColumn("one", F.lit(1)).select("vec_id", "embedding", "one").join(small(t), "one").withColumn("sim", ov.dot("embedding", "c"))
-    return s.groupBy("vec_id").agg(F.max_by("label", F.struct("sim", -F.col("label"))).alias("template"), F.round(F.max("sim"), 5).alias("similarity"))
+    t = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    s = ov.similarities(e, t.withColumnRenamed("label", "template"), "vec_id", "template")
+    return s.groupBy("vec_id").agg(F.max_by("template", F.struct("sim", -F.col("template"))).alias("template"), F.round(F.max("sim"), 5).alias("similarity"))
 
 
 @query("win17_basic_segments", """
@@ -288,9 +286,9 @@ def centroids(spark, sf_dir):
     return ov.centroids(table(spark, sf_dir, "embeddings"), "label").withColumn("mean", F.round("mean", 5))
 
 
-@query("snk02_csv_safe", r"SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\-@]') THEN '''' || t ELSE t END AS line FROM (SELECT doc_id, replace(regexp_replace(text, chr(13) || chr(10) || '|' || chr(13) || '|' || chr(10), '\\n', 'g'), chr(9), ' ') AS t FROM documents WHERE doc_id < 200)")
+@query("snk02_csv_safe", r"SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\-@]') THEN '''' || t ELSE t END AS line FROM (SELECT doc_id, replace(regexp_replace(text, chr(13) || chr(10) || '|' || chr(13) || '|' || chr(10), '\\n', 'g'), chr(9), ' ') AS t FROM documents)")
 def csv_safe(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", tx.csv_safe("text").alias("line"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.csv_safe("text").alias("line"))
 
 
 @query("snk03_text_export", f"SELECT chat_id, md5(string_agg(strftime(date, '[%H:%M] ') || sender || ': ' || coalesce(text, ''), chr(10) ORDER BY date, id)) AS digest FROM {CV} GROUP BY 1")

@@ -53,15 +53,16 @@ def resegment_signals(messages: DataFrame, every: int = 15) -> DataFrame:
     return messages.select("chat_id", "id").groupBy("chat_id").applyInPandasWithState(count, "chat_id long, n long", "held int", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None] | None = None, base: str | None = None) -> DataFrame | None:
     """Run a stream over all that is there, into a Parquet table of the shared folder, and return that table.
 
-    Aggregates in mode complete or update keep their last batch's rows. With each, batches go to that function instead.
+    Aggregates in mode complete or update keep their last batch's rows. With each, batches go to that function instead. A stream that
+    is run again with the same base goes on after the rows that it has had.
     """
     import uuid
 
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     out = f"{base}/table"
     if each is not None:
@@ -74,6 +75,11 @@ def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None] |
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def put(df: DataFrame, path: str, batch: int) -> None:
+    """Write a micro-batch into its own folder of the table at path: a batch that is tried again replaces what it wrote."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]]) -> None:
     """Give every micro-batch to each sink, read once from the source; a failed batch is given to all again."""
 
@@ -91,8 +97,9 @@ def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]]) ->
 def resegment(stream: DataFrame, base: str, minutes: int = 30, context: int = 5) -> None:
     """Cut every batch's messages into threads, each chat's last context messages before them in view; rows go to base/threads.
 
-    A row's thread_id is that of the first message in view of its thread. Messages themselves are kept in base/messages;
-    chats are keys of the shuffle, so no two tasks cut the same chat.
+    A row's thread_id is that of the first message in view of its thread. base/context keeps each chat's last context messages
+    as of every batch, so a batch reads as many rows as there are chats, not their history; a batch that is tried again reads
+    what the batch before left and replaces what it wrote. Chats are keys of the shuffle, so no two tasks cut the same chat.
     """
     from pyspark.sql import Window
 
@@ -100,13 +107,14 @@ def resegment(stream: DataFrame, base: str, minutes: int = 30, context: int = 5)
 
     def each(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        new = df.select("id", "chat_id", "date").withColumn("fresh", F.lit(True))
-        view = new
+        new = df.select("id", "chat_id", "date")
+        seen = new.withColumn("fresh", F.lit(True))
         if batch:
-            w = Window.partitionBy("chat_id").orderBy(F.desc("date"), F.desc("id"))
-            old = spark.read.parquet(f"{base}/messages").join(new.select("chat_id").distinct(), "chat_id", "left_semi")
-            view = new.unionByName(old.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= context).drop("rn").withColumn("fresh", F.lit(False)))
-        gap_threads(view, minutes).where("fresh").select("id", "chat_id", "thread_id", F.lit(batch).alias("batch")).write.mode("append").parquet(f"{base}/threads")
-        new.drop("fresh").write.mode("append").parquet(f"{base}/messages")
+            before = spark.read.schema(new.schema).parquet(f"{base}/context/batch={batch - 1}")
+            seen = seen.unionByName(before.withColumn("fresh", F.lit(False)))
+        view = seen if not batch else seen.join(new.select("chat_id").distinct(), "chat_id", "left_semi")
+        put(gap_threads(view, minutes).where("fresh").select("id", "chat_id", "thread_id"), f"{base}/threads", batch)
+        last = Window.partitionBy("chat_id").orderBy(F.desc("date"), F.desc("id"))
+        put(seen.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= context).select("id", "chat_id", "date"), f"{base}/context", batch)
 
     drain(stream, "append", each)
