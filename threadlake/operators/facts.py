@@ -7,8 +7,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlake.operators.vectors import dot
+from threadlake.session import stored
 
 # The extraction patterns must equal the studied definitions.
 NAME = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
@@ -69,26 +71,58 @@ def hypothesis(category: str, subject: str, predicate: str, value: str) -> Colum
     )
 
 
-def semantic_dedup(facts: DataFrame, keys: list[str], order: str, threshold: float = 0.85, vector: str = "embedding") -> DataFrame:
-    """Greedy in order within keys: a row goes if its dot product with an accepted one reaches threshold.
+#: Rows of a group that one task compares with as many others.
+BLOCK = 1024
 
-    Keys are (subject, predicate) in use: small groups. The scan is order-dependent, hence one function a group.
-    """
+
+def _near_rows(facts: DataFrame, keys: list[str], order: str, threshold: float, vector: str) -> DataFrame:
+    """keys, a, b: rows of a group (by order, a before b) whose dot product reaches threshold. Groups are compared block against block, so no task holds one."""
     import numpy as np
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kept: list[np.ndarray] = []
-        take = []
-        for v in pdf[vector]:
-            x = np.asarray(v, float)
-            ok = not kept or float((np.stack(kept) @ x).max()) < threshold
-            take.append(ok)
-            if ok:
-                kept.append(x)
-        return pdf[take]
+    size = Window.partitionBy(*keys)
+    rows = facts.where(F.col(vector).isNotNull()).select(*keys, F.col(order).alias("_o"), F.col(vector).alias("_v"))
+    rows = rows.withColumn("_parts", (F.count("*").over(size) / F.lit(BLOCK)).cast("int") + 1).withColumn("_part", F.pmod(F.xxhash64("_o"), F.col("_parts")).cast("int"))
+    both = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    both = both.select(*keys, F.least("_part", "_other").alias("_lo"), F.greatest("_part", "_other").alias("_hi"), "_part", "_o", "_v")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf[pdf["_part"] == pdf["_lo"].iloc[0]]
+        right = left if pdf["_lo"].iloc[0] == pdf["_hi"].iloc[0] else pdf[pdf["_part"] == pdf["_hi"].iloc[0]]
+        out = pd.DataFrame({k: pdf[k].iloc[:0] for k in keys} | {"a": pdf["_o"].iloc[:0], "b": pdf["_o"].iloc[:0]})
+        if len(left) and len(right):
+            i, j = np.nonzero(np.stack(left["_v"].to_list()).astype(float) @ np.stack(right["_v"].to_list()).astype(float).T >= threshold)
+            x, y = left["_o"].to_numpy()[i], right["_o"].to_numpy()[j]
+            pair = x != y if right is not left else x < y
+            out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"a": np.minimum(x, y)[pair], "b": np.maximum(x, y)[pair]})
+        return out
 
-    return facts.groupBy(*keys).applyInPandas(scan, facts.schema)
+    schema = T.StructType([*(facts.schema[k] for k in keys), T.StructField("a", facts.schema[order].dataType), T.StructField("b", facts.schema[order].dataType)])
+    return both.groupBy(*keys, "_lo", "_hi").applyInPandas(meet, schema)
+
+
+def semantic_dedup(facts: DataFrame, keys: list[str], order: str, threshold: float = 0.85, vector: str = "embedding") -> DataFrame:
+    """Greedy in order within keys: a row goes if its dot product with an accepted one reaches threshold. order is a number that no two rows of a group share.
+
+    Near rows are found block against block. Then, in rounds, rows without an undecided earlier near row are accepted and their later
+    near rows go, until all are decided: the same rows as a scan in order, as deep as the longest chain of near rows. Rows without a
+    vector stay; rows with a null key are a group of their own; an empty table gives an empty result.
+    """
+    own = [F.coalesce(F.col(k).cast("string"), F.lit("\0null")).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = facts.select("*", *own)
+    open_pairs = stored(_near_rows(keyed, names, order, threshold, vector), "near")
+    gone = None
+    while not open_pairs.isEmpty():
+        waits = open_pairs.select(*names, F.col("b").alias("a")).distinct()
+        first = open_pairs.join(waits, [*names, "a"], "left_anti")
+        lost = stored(first.select(*names, "b").distinct(), "lost")
+        gone = lost if gone is None else gone.unionByName(lost)
+        kept = open_pairs.join(lost, [*names, "b"], "left_anti").join(lost.withColumnRenamed("b", "a"), [*names, "a"], "left_anti")
+        # pairs whose earlier row is accepted are settled with it
+        open_pairs = stored(kept, "near")
+    if gone is None:
+        return facts
+    return keyed.join(gone.withColumnRenamed("b", order), [*names, order], "left_anti").select(facts.columns)
 
 
 def conflicts(facts: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -150,8 +184,8 @@ def match_facts(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataF
 def topic_segments(messages: DataFrame, threshold: float = 0.35, gap_factor: float = 4.0, least_gap_hours: float = 0.25, shift_weight: float = 0.25, markers: tuple[str, ...] = ("btw", "by the way", "anyway", "speaking of", "on another note", "side note", "quick question")) -> DataFrame:
     """id, chat_id, segment of messages(id, chat_id, date, text, embedding): a segment ends where drift, new names, pause and markers add up, or at a long pause.
 
-    The pause limit is gap_factor times the chat's median gap. What counts as new depends on the segment so far, so each
-    chat is scanned in order.
+    The pause limit is gap_factor times the chat's median gap. A pause beyond it begins anew, so chats are cut there by windows, and
+    only the stretch between two long pauses, in which what counts as new depends on the segment so far, is scanned in order.
     """
     import re
 
@@ -161,8 +195,6 @@ def topic_segments(messages: DataFrame, threshold: float = 0.35, gap_factor: flo
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["date", "id"]).reset_index(drop=True)
-        hours = pdf["date"].diff().dt.total_seconds().to_numpy() / 3600
-        limit = max(gap_factor * float(np.median(hours[1:])) if len(pdf) > 1 else 0.0, least_gap_hours)
         seg, out = 0, [0]
         texts = pdf["text"].fillna("").tolist()
         anchors = set(name.findall(texts[0]))
@@ -172,16 +204,22 @@ def topic_segments(messages: DataFrame, threshold: float = 0.35, gap_factor: flo
             drift = 1 - float(a @ b) / norm if norm else 1.0
             own = set(name.findall(texts[i]))
             shared = len(own & anchors) / len(own | anchors) if own and anchors else 0.0
-            large = hours[i] > limit
-            score = 0.4 * drift + 0.3 * (1 - shared) + (0.2 * min(hours[i] / limit, 1.0) if large else 0.0) + (shift_weight if any(m in texts[i].lower() for m in markers) else 0.0)
+            score = 0.4 * drift + 0.3 * (1 - shared) + (shift_weight if any(m in texts[i].lower() for m in markers) else 0.0)
             anchors |= own
-            if score >= threshold + 0.3 or large:
+            if score >= threshold + 0.3:
                 seg += 1
                 anchors = own
             out.append(seg)
-        return pd.DataFrame({"id": pdf["id"], "chat_id": pdf["chat_id"], "segment": out})
-
-    return messages.groupBy("chat_id").applyInPandas(scan, "id long, chat_id long, segment long")
+        return pd.DataFrame({"id": pdf["id"], "chat_id": pdf["chat_id"], "stretch": pdf["stretch"], "seg": out})
+
+    in_order = Window.partitionBy("chat_id").orderBy("date", "id")
+    m = messages.select("id", "chat_id", "date", "text", "embedding").withColumn("hours", (F.unix_micros("date") - F.unix_micros(F.lag("date").over(in_order))) / F.lit(3.6e9))
+    limits = m.groupBy("chat_id").agg(F.greatest(gap_factor * F.coalesce(F.percentile("hours", 0.5), F.lit(0.0)), F.lit(least_gap_hours)).alias("limit"))
+    m = m.join(limits, "chat_id").withColumn("stretch", F.sum(F.when(F.col("hours") > F.col("limit"), 1).otherwise(0)).over(in_order))
+    cut = stored(m.select("id", "chat_id", "date", "text", "embedding", "stretch").groupBy("chat_id", "stretch").applyInPandas(scan, "id long, chat_id long, stretch long, seg long"), "stretches")
+    ends = cut.groupBy("chat_id", "stretch").agg((F.max("seg") + 1).alias("n"))
+    before = ends.select("chat_id", "stretch", (F.sum("n").over(Window.partitionBy("chat_id").orderBy("stretch")) - F.col("n")).alias("before"))
+    return cut.join(before, ["chat_id", "stretch"]).select("id", "chat_id", (F.col("before") + F.col("seg")).alias("segment"))
 
 
 def hash_embedding(text: str, dim: int = 64) -> Column:

@@ -147,7 +147,7 @@ def fact_match(spark, sf_dir):
 @query("set03_semantic_dedup")
 def semantic_dedup(spark, sf_dir):
     ship(spark)
-    return of.semantic_dedup(table(spark, sf_dir, "embeddings").withColumn("part", F.col("vec_id") % 25), ["label", "part"], "vec_id", 0.5).select("vec_id", "label")
+    return of.semantic_dedup(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", 0.5).select("vec_id", "label")
 
 
 @query("vec15_conflicts", f"SELECT a.vec_id AS older, b.vec_id AS newer FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 40 = b.vec_id % 40 AND a.vec_id < b.vec_id AND (a.vec_id % 7 = b.vec_id % 7 OR {DOT.format(a='a.embedding', b='b.embedding')} >= 0.3)")
