@@ -46,7 +46,15 @@ def modularity(spark, sf_dir):
     return graph.modularity(e, nodes.withColumn("comm", F.col("node") % 5))
 
 
-@query("gra03_label_communities")
+def _label_rounds(rounds: int) -> str:
+    """Each round's labels as one more table."""
+    steps = [f"WITH e AS (SELECT a, b, 1.0::DOUBLE AS w FROM {EDGES} UNION ALL SELECT b, a, 1.0::DOUBLE FROM {EDGES}), own AS (SELECT a AS node, max(w) / 2 AS w FROM e GROUP BY 1), l0 AS (SELECT DISTINCT a AS node, a AS comm FROM e)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"l{i} AS (SELECT node, arg_min(comm, (-w, comm)) AS comm FROM (SELECT node, comm, sum(w) AS w FROM (SELECT e.a AS node, comm, w FROM e JOIN l{i - 1} l ON l.node = e.b UNION ALL SELECT node, comm, w FROM l{i - 1} JOIN own USING (node)) GROUP BY 1, 2) GROUP BY 1)")
+    return ", ".join(steps) + f" SELECT node, comm FROM l{rounds}"
+
+
+@query("gra03_label_communities", _label_rounds(5))
 def label_communities(spark, sf_dir):
     return graph.label_communities(nation_edges(spark, sf_dir).withColumn("w", F.lit(1.0)))
 

@@ -131,7 +131,11 @@ def passive(spark, sf_dir):
     return of.passive_feedback(v.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "id"), v.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "suggestion_id"), 60, 0.5, 0.2)
 
 
-@query("jon21_boundaries")
+@query("jon21_boundaries", """
+WITH RECURSIVE d AS (SELECT conv_id, list(turn ORDER BY turn) AS d FROM conversations WHERE turn % 3 = 0 GROUP BY 1), g AS (SELECT conv_id, list(turn ORDER BY turn) AS g FROM conversations WHERE turn % 4 = 0 GROUP BY 1),
+s(conv_id, d, g, i, j, tp) AS (SELECT conv_id, coalesce(d, []), coalesce(g, []), 1, 1, 0 FROM d FULL JOIN g USING (conv_id)
+  UNION ALL SELECT conv_id, d, g, CASE WHEN abs(d[i] - g[j]) <= 1 OR d[i] < g[j] THEN i + 1 ELSE i END, CASE WHEN abs(d[i] - g[j]) <= 1 OR d[i] > g[j] THEN j + 1 ELSE j END, tp + (abs(d[i] - g[j]) <= 1)::INT FROM s WHERE i <= len(d) AND j <= len(g))
+SELECT conv_id, max(tp)::BIGINT AS tp, max(len(d)) AS n_detected, max(len(g)) AS n_gold FROM s GROUP BY 1""")
 def boundaries(spark, sf_dir):
     ship(spark)
     c = table(spark, sf_dir, "conversations")

@@ -164,7 +164,12 @@ def threads(spark, sf_dir):
     return seq.gap_threads(event_messages(spark, sf_dir)).groupBy("chat_id", "island", "thread_id").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-@query("win16_bounded_threads")
+@query("win16_bounded_threads", f"""
+WITH RECURSIVE r AS (SELECT id, chat_id, date, row_number() OVER (PARTITION BY chat_id ORDER BY date, id) AS rn FROM {EV}),
+t(id, chat_id, date, rn, began, thread) AS (SELECT id, chat_id, date, rn, date, 1 FROM r WHERE rn = 1
+  UNION ALL SELECT r.id, r.chat_id, r.date, r.rn, CASE WHEN cut THEN r.date ELSE began END, thread + cut::INT
+  FROM (SELECT r.*, t.began, t.thread, r.date > t.date + INTERVAL 720 MINUTE OR r.date > t.began + INTERVAL 1440 MINUTE AS cut FROM t JOIN r ON r.chat_id = t.chat_id AND r.rn = t.rn + 1) r)
+SELECT id, chat_id, thread FROM t""")
 def bounded_threads(spark, sf_dir):
     from threadlake.session import ship
 
