@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.session import stored
+
 WORDS = r"[a-z0-9]{2,}"
 
 
@@ -34,7 +36,8 @@ def bm25(docs: DataFrame, query: str, key: str, limit: int, k1: float = 1.5, b:
     import re
 
     words = list(dict.fromkeys(asked := re.findall(WORDS, query.lower())))
-    d = docs.select(key, word_array(text).alias("w")).where(F.size("w") > 0)
+    # texts are split once; counts and hits read the words
+    d = stored(docs.select(key, word_array(text).alias("w")).where(F.size("w") > 0), "words")
     one = F.lit(1).alias("one")
     corpus = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"), one)
     # each document counts once for a word: partial counts are made before the shuffle
