@@ -1,7 +1,6 @@
 """The opN queries against their SQL, and the pipeline against a plain version of its stages."""
 
 import duckdb
-import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -53,5 +52,19 @@ def test_pipeline_of_no_rows(spark):
     assert docs.count() == 0
 
 
-def test_read_of_labels_is_used():
-    assert pq.read_table(f"{SF}/labels.parquet").num_rows > 0
+def test_labels_outside_the_fold_are_used_and_those_inside_are_not(spark, tmp_path):
+    """Labels of the held-out fold change no score; those of the others do."""
+    import zlib
+
+    from threadlake.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = [r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+
+    def scores(own):
+        return {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, toxicity.fit(docs, own)).collect()}
+
+    want = scores(labels)
+    other = labels.selectExpr("doc_id", f"CASE WHEN doc_id IN ({', '.join(map(str, held))}) THEN 1 - toxic ELSE toxic END AS toxic")
+    assert scores(other) == want
+    assert scores(labels.selectExpr("doc_id", "1 - toxic AS toxic")) != want
