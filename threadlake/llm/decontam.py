@@ -36,11 +36,21 @@ STEPS = (
 )
 
 
-def marked(text: Column) -> Column:
-    """The text's words, lower case, one blank between; placeholders are ¤n, ¤u and ¤p with their value."""
-    for pattern, to in STEPS:
+#: The first of STEPS is for these signs only, the next four for digits.
+SIGNS, WITH_DIGITS = ("¤", "_"), slice(1, 5)
+
+
+def _stepped(text: Column, steps: tuple) -> Column:
+    for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
-    return F.trim(F.lower(text))
+    return text
+
+
+def marked(text: Column) -> Column:
+    """The text's words, lower case, one blank between; placeholders are ¤n, ¤u and ¤p with their value. Steps that cannot change a text are left out for it."""
+    plain = F.when(F.contains(text, F.lit(SIGNS[0])) | F.contains(text, F.lit(SIGNS[1])), _stepped(text, STEPS[:1])).otherwise(text)
+    numbered = F.when(text.rlike("[0-9]"), _stepped(plain, STEPS[WITH_DIGITS])).otherwise(plain)
+    return F.trim(F.lower(_stepped(numbered, STEPS[5:])))
 
 
 def _hashed(rows: DataFrame, key: str) -> DataFrame:
