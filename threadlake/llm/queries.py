@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, decontam, jaccard, langid, maxent, pii, tiff, tokenfile, toxicity, urlfilter
+from threadlake.llm import bpe, decontam, jaccard, langid, maxent, pii, tiff, tokenfile, toxicity, urlfilter, vectorcode
+from threadlake.session import small, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +138,38 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.personal_data(docs, pii.fit(docs))
+
+
+def _code_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Codebooks round by round, written out; squared distances by inner products, which doubles hold exactly."""
+    pos = ", ".join(f"({p})" for p in range(parts))
+    sql = [
+        f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cut AS (SELECT vec_id, label, p, x[p * {width} + 1:(p + 1) * {width}] AS x FROM kept, (VALUES {pos}) t(p)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM cut QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries})"""
+    ]
+    for r in range(rounds + 1):
+        sql.append(f"""near{r} AS (SELECT vec_id, label, p, any_value(x) AS x, min(struct_pack(d := d, e := e)) AS best FROM (
+  SELECT k.vec_id, k.label, k.p, k.x, b.e, (list_inner_product(k.x, k.x) - 2 * list_inner_product(k.x, b.c) + list_inner_product(b.c, b.c))::BIGINT AS d
+  FROM cut k JOIN book{r} b USING (p)) GROUP BY vec_id, label, p)""")
+        if r < rounds:
+            mean = "list_transform(range(1, " + str(width + 1) + "), lambda i: floor(list_sum(list_transform(xs, lambda v: v[i])) / n))"
+            sql.append(f"""sums{r} AS (SELECT p, best.e AS e, list(x) AS xs, count(*) AS n FROM near{r} GROUP BY 1, 2),
+book{r + 1} AS (SELECT b.p, b.e, CASE WHEN s.n IS NULL THEN b.c ELSE {mean} END AS c FROM book{r} b LEFT JOIN sums{r} s USING (p, e))""")
+    sql.append(f"""coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda v: v::BIGINT), ','), ',' ORDER BY p, e)) AS h FROM book{rounds})""")
+    return ",\n".join(sql) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded, digest"
+
+
+@query("op13_vector_codes", _code_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    books = vectorcode.fit(vectors)
+    # the label is carried beside the key
+    both = vectors.select(F.struct("vec_id", "label").alias("id"), "embedding")
+    coded = stored(vectorcode.encode(both, books, key="id").select("id.*", "codes", "error"), "codes")
+    sums = coded.groupBy("label").agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("label_error"))
+    code = F.concat_ws("", F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    joined = coded.alias("c").join(small(sums).alias("s"), F.col("c.label").eqNullSafe(F.col("s.label")))
+    return joined.select("vec_id", code.alias("code"), "error", F.expr("try_cast(label_error AS long)").alias("label_error"), F.lit(books.sha256()).alias("codebooks_sha256"))
