@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from threadlake.llm import queries, vectorcode
+from threadlake.llm import queries, vectorcode, whitening
 
 SF = "/root/testdata/sf0.001"
 NAN, INF = float("nan"), float("inf")
@@ -110,3 +110,108 @@ def test_op13(spark):
     assert got.equals(want[got.columns])
     books, rows = brute_codes([(r["vec_id"], r["embedding"]) for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist()], 64)
     assert [(r.vec_id, r.code, r.error) for r in got.itertuples()] == [(i, "".join(f"{k:02x}" for k in ks), e) for i, ks, e in sorted(rows)]
+
+
+def exact_scatter(xs):
+    """n, S and n X'X - SS' of whole-number vectors."""
+    n, d = len(xs), len(xs[0])
+    s = [sum(x[i] for x in xs) for i in range(d)]
+    return n, s, [[n * sum(x[i] * x[j] for x in xs) - s[i] * s[j] for j in range(d)] for i in range(d)]
+
+
+def whole_rows(rows, dim, scale=64, offset=1_000_000):
+    return [(i, tuple(math.floor(Fraction(float(np.float32(c))) * scale) + offset for c in x)) for i, x in kept_rows(rows, dim)]
+
+
+def check_whitened(model, got, rows):
+    """model and got (key, deviation, whitened) against plain integers; components by what they must fulfil."""
+    n, s, m = exact_scatter(sorted({x for _, x in rows}))
+    assert (model.n, model.sums) == (n, s)
+    cov = np.array([[float(Fraction(a, n * n)) for a in r] for r in m])
+    assert (model.covariance == cov).all()
+    values = np.linalg.eigvalsh(cov)[::-1][: len(model.values)]
+    assert np.allclose(model.values, values, rtol=1e-9, atol=1e-14 * values[0])
+    values = model.values
+    assert np.allclose(model.components.T @ model.components, np.eye(len(values)), atol=1e-12)
+    assert np.allclose(cov @ model.components, model.components * model.values, atol=1e-9 * values[0])
+    assert np.allclose(model.explained, values / np.trace(cov))
+    want = []
+    for i, x in rows:
+        apart = [n * a - b for a, b in zip(x, s, strict=True)]
+        want.append((i, sum(a * a for a in apart), np.array([float(Fraction(a, n)) for a in apart]) @ model.components / np.sqrt(model.values)))
+    assert len(got) == len(want)
+    key = lambda r: (str(r[0]), r[1])
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2]
+        assert np.allclose(a[2], b[2], rtol=1e-9, atol=1e-9)
+    once = {x: w for (_, x), (_, _, w) in zip(rows, want, strict=True)}
+    z = np.array(list(once.values()))
+    assert np.allclose(z.mean(axis=0), 0, atol=1e-6)
+    assert abs(np.abs((z - z.mean(axis=0)).T @ (z - z.mean(axis=0)) / n - np.eye(z.shape[1])).max() - model.identity_error) < 1e-9
+    assert model.identity_error < 1e-4
+
+
+def test_whitening_of_odd_vectors(spark, odd):
+    model = whitening.fit(odd.repartition(5))
+    got = whitening.whiten(odd, model)
+    assert got.columns == ["vec_id", "deviation", "whitened"]
+    check_whitened(model, [(r[0], int(r[1]), r[2]) for r in got.collect()], whole_rows(odd_rows(), 6))
+
+
+@pytest.mark.parametrize("far", [0, 1 << 17, 1 << 37, -(1 << 60)])
+def test_scatter_of_any_size(spark, far):
+    """Sums and products far beyond longs and doubles are exact: what all vectors share cancels."""
+    rng = np.random.default_rng(5)
+    xs = (rng.integers(-300, 300, size=(5000, 5)) + far).tolist() + [[far, -far, 0, 1, -1], [far, 5, far // 3, -far // 7, 2]]
+    packed = spark.createDataFrame([(b,) for b in whitening.pack(np.array(xs, np.int64))], "x binary").repartition(6)
+    n, s, m = whitening.scatter(packed, 5)
+    assert (n, s, m) == exact_scatter(xs)
+
+
+def test_eigen_of_graded_matrices():
+    """Eigenvalues of very different size are right each by itself, also with ties and zeros."""
+    rng = np.random.default_rng(2)
+    for grades in ([1, 1, 1, 1], [1 << 40, 1, 1, 5, 0, 0], [1 << 60, 1 << 30, 1000, 7], [1 << 20, 3, 3, 3, 2, 1, 0]):
+        d = len(grades)
+        # a product of exact reflections by whole vectors: h'h * I - 2 h h' keeps angles
+        q, size = np.eye(d, dtype=int).astype(object), 1
+        for _ in range(2):
+            h = rng.integers(-2, 3, size=d).astype(object)
+            h[0] += 3
+            q, size = q.dot(int(h.dot(h)) * np.eye(d, dtype=int).astype(object) - 2 * np.outer(h, h)), size * int(h.dot(h))
+        exact = q.dot(np.diag(grades).astype(object)).dot(q.T).tolist()
+        values, x = whitening.eigen(exact, size, d)
+        assert np.allclose(values, sorted((g for g in grades if g), reverse=True), rtol=1e-12)
+        for e, v in zip(values, x.T, strict=True):
+            # the vector lies in the span of the columns of q that have this grade
+            own = [i for i, g in enumerate(grades) if math.isclose(g, e, rel_tol=1e-9)]
+            assert math.isclose(sum(float(q[:, i].astype(float).dot(v) / size) ** 2 for i in own), 1, rel_tol=1e-12)
+
+
+def test_packed_rows():
+    x = np.array([[0, 1], [-128, 127], [128, 0], [-129, 0], [1 << 15, 0], [1 << 31, -1], [-(1 << 62), 1 << 62]])
+    import pyarrow as pa
+
+    assert (whitening.unpack(pa.array(whitening.pack(x)), 2) == x).all()
+    assert [len(b) for b in whitening.pack(x)] == [3, 3, 5, 5, 9, 17, 17]
+
+
+def test_vectors_without_components(spark, odd):
+    for which, n in (("false", 0), ("embedding IS NULL", 0), ("vec_id = 105", 1), ("vec_id IN (108, 109)", 1), ("vec_id = 3 OR vec_id IS NULL", 1)):
+        model = whitening.fit(odd.where(which))
+        assert (model.n, len(model.values), model.identity_error) == (n, 0, 0.0)
+        assert all(r["whitened"] == [] and r["deviation"] == 0 for r in whitening.whiten(odd.where(which), model).collect())
+    two = whitening.fit(odd.where("vec_id IN (1, 2, 108)"))
+    assert two.n == 3 and len(two.values) == 2
+
+
+def test_op11(spark):
+    got = queries.QUERIES["op11_whitening"](spark, SF).collect()
+    rows = whole_rows([(r["vec_id"], r["embedding"]) for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist()], 64)
+    model = whitening.fit(spark.read.parquet(f"{SF}/embeddings.parquet"))
+    by = {}
+    for r in sorted(got, key=lambda r: r["component"]):
+        by.setdefault((r["vec_id"], r["deviation"]), []).append(r["whitened"])
+        assert (r["n"], r["explained"], r["identity_error"] < 1e-4) == (model.n, model.explained[r["component"] - 1], True)
+    assert len(got) == 16 * len(rows)
+    check_whitened(model, [(*k, w) for k, w in by.items()], rows)

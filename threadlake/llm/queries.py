@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, decontam, jaccard, langid, maxent, pii, tiff, tokenfile, toxicity, urlfilter, vectorcode
+from threadlake.llm import bpe, decontam, jaccard, langid, maxent, pii, tiff, tokenfile, toxicity, urlfilter, vectorcode, whitening
 from threadlake.session import small, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,12 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat_ws("", F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
     joined = coded.alias("c").join(small(sums).alias("s"), F.col("c.label").eqNullSafe(F.col("s.label")))
     return joined.select("vec_id", code.alias("code"), "error", F.expr("try_cast(label_error AS long)").alias("label_error"), F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    share = F.get(F.array(*map(F.lit, model.explained)).cast("array<double>"), F.col("at"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", share.alias("explained"), F.lit(model.identity_error).alias("identity_error"))
