@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, decontam, jaccard, langid, maxent, pii, tiff, tokenfile, toxicity, urlfilter, vectorcode, whitening
+from threadlake.llm import bpe, decontam, jaccard, langid, maxent, mixing, pii, tiff, tokenfile, toxicity, urlfilter, vectorcode, whitening
 from threadlake.session import small, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
     share = F.get(F.array(*map(F.lit, model.explained)).cast("array<double>"), F.col("at"))
     return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", share.alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+@query("op12_source_mix")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir)).drop("source")
