@@ -22,7 +22,7 @@ from threadlake.llm import integers, kernel
 from threadlake.session import ship
 
 #: Entries in a leaf of a kd-tree, and vectors that are searched together.
-LEAF, TOGETHER = 16, 8192
+LEAF, TOGETHER = 64, 8192
 
 
 @dataclass
