@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.session import stored
 
+#: Words that are no keywords of topics.
+TOPIC_STOP_WORDS = (
+    "i me my we our you your he she it they them the a an is are was were be been being have has had do does did will would could should can may might shall to of in for on with at by "
+    "from and but or not no so if that this what which who how when where why just like get got go going know think want yeah yes ok okay oh lol haha im dont its thats too about up out one all "
+    "been more some than then also back there here now well still really right good much very said"
+).split()
+
 WORDS = r"[a-z0-9]{2,}"
 
 
@@ -54,9 +63,15 @@ def bm25(docs: DataFrame, query: str, key: str, limit: int, k1: float = 1.5, b:
     return hits.select(key, F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 
-def tfidf_keywords(docs: DataFrame, cluster: str, key: str, top: int) -> DataFrame:
+def topic_word_array(text: str | Column) -> Column:
+    """Runs of three or more of a-z in the lowered text that are no stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(TOPIC_STOP_WORDS))
+
+
+def tfidf_keywords(docs: DataFrame, cluster: str, key: str, top: int, words: Callable[[str], Column] = word_array) -> DataFrame:
     """cluster, word, weight: the top words of each cluster by share in the cluster times ln(N / df) (ties by word)."""
-    tf = term_counts(docs.select(cluster, key, "text"), key).join(docs.select(key, cluster), key)
+    own = docs.select(cluster, key, F.explode(words("text")).alias("word"))
+    tf = own.groupBy(cluster, key, "word").agg(F.count("*").alias("tf"))
     in_cluster = tf.groupBy(cluster, "word").agg(F.sum("tf").alias("tf"))
     size = docs.groupBy(cluster).agg(F.count("*").alias("size"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))

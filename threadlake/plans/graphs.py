@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadlake.operators import graph
+from threadlake.operators import clusters, graph
 from threadlake.plans.registry import query
-from threadlake.session import ship
+from threadlake.session import ship, stored
 from threadlake.sources.tables import EV, event_messages, table
 from threadlake.streaming import messages as st
 
@@ -59,6 +59,20 @@ def label_communities(spark, sf_dir):
     return graph.label_communities(nation_edges(spark, sf_dir).withColumn("w", F.lit(1.0)))
 
 
+def neighbour_edges(spark, sf_dir):
+    """Vectors and their five nearest others."""
+    own, _ = clusters.points(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    near = clusters.nearest_neighbours(clusters.Cells(own), 5)
+    return near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct().withColumn("w", F.lit(1.0))
+
+
+@query("gra03_local_moves")
+def local_moves(spark, sf_dir):
+    """node, comm, size: communities of vectors in the graph of near neighbours, by modularity gains."""
+    c = stored(graph.local_moves(neighbour_edges(spark, sf_dir)), "communities")
+    return c.join(c.groupBy("comm").agg(F.count("*").alias("size")), "comm").select("node", "comm", "size")
+
+
 @query("gra04_type_clusters", "WITH f AS (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY 1), n AS (SELECT p_brand, row_number() OVER (ORDER BY first) - 1 AS cluster FROM f) SELECT p_partkey, cluster FROM part JOIN n USING (p_brand)")
 def type_clusters(spark, sf_dir):
     return graph.dense_clusters(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", "cluster")
