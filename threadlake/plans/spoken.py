@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadlake.functions import categories as ca
+from threadlake.functions import tone as to
 from threadlake.operators import factchain as fc
 from threadlake.operators import facts as of
+from threadlake.operators import suggestions as su
 from threadlake.plans.registry import query
 from threadlake.sources.spoken import SP, spoken_messages
 
@@ -139,3 +141,78 @@ def chain_facts(spark, sf_dir):
 def rejections(spark, sf_dir):
     """The funnel of each chat: candidates, facts, and how many each reason took out."""
     return fc.funnel(spoken_messages(spark, sf_dir))
+
+
+_E = f"(SELECT id, lag(text) OVER (PARTITION BY chat_id ORDER BY date, id) AS suggestion, text AS edited FROM {SP})"
+
+
+def edits(spark, sf_dir):
+    """Each message of a chat as the edited form of the one before it."""
+    before = F.lag("text").over(Window.partitionBy("chat_id").orderBy("date", "id"))
+    return spoken_messages(spark, sf_dir).select("id", before.alias("suggestion"), F.col("text").alias("edited")).where("suggestion IS NOT NULL")
+
+
+def _tone_sql(c: str) -> dict[str, str]:
+    """The parts of the tone of a column, as SQL."""
+    t, low = f"coalesce({c}, '')", f"lower(coalesce({c}, ''))"
+    words = lambda x: f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+    count = lambda s: f"(length({t}) - length(replace({t}, '{s}', '')))"
+    emoji = f"len(regexp_extract_all({t}, '{to.EMOJI}'))"
+    sizes = f"list_filter(list_transform(regexp_split_to_array({t}, '[.!?]+'), lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> ''))), lambda n: n > 0)"
+    mean = f"coalesce(list_avg({sizes}), 0)"
+    casual = f"len(list_filter({words(low)}, lambda w: list_contains({_list(to.CASUAL)}, regexp_replace(w, '^[.,!?]+|[.,!?]+$', '', 'g'))))"
+    formal = "(" + " + ".join(f"contains({low}, {_q(p)})::INT" for p in to.FORMAL) + f" + ({mean} > 15)::INT)"
+    score = f"({formal} / ({casual} + {emoji} + {count('!')} + {formal} + 1))"
+    score = f"CASE WHEN {mean} > 20 THEN least({score} + 0.2, 1) WHEN {mean} < 5 THEN greatest({score} - 0.2, 0) ELSE {score} END"
+    n = f"greatest(len({sizes}), 1)"
+    parts = {"formality": (score, 3, 0.5), "emoji_density": (f"{emoji} / length({t}) * 100", 3, 0), "exclamation_rate": (f"{count('!')} / {n}", 3, 0), "question_rate": (f"{count('?')} / {n}", 3, 0), "sentence_words": (mean, 2, 0), "n_casual": (casual, 0, 0)}
+    return {k: f"CASE WHEN trim({t}, E' \\t\\n\\r') = '' THEN {b} ELSE round({x}, {d}) END" for k, (x, d, b) in parts.items()}
+
+
+_TONE, _TONE2 = _tone_sql("edited"), _tone_sql("suggestion")
+_NATURAL = "CASE WHEN len(w) = 0 THEN 0 ELSE greatest(0, least(1, 1.0 - CASE WHEN len(list_distinct(w)) / len(w) < 0.5 THEN 0.2 ELSE 0 END - least(0.3, 0.1 * len(list_filter(list_zip(w[2:], w[:-2]), lambda p: p[1] = p[2]))) - 0.15 * ({robotic}) - CASE WHEN len(regexp_extract_all(t, '[.,!?;:]')) / length(t) > 0.15 THEN 0.1 ELSE 0 END + CASE WHEN {short} THEN 0.1 ELSE 0 END)) END".format(
+    robotic=" + ".join(f"contains(low, {_q(p)})::INT" for p in to.ROBOTIC), short=_any("low", to.CONTRACTIONS)
+)
+
+
+@query("scl20_tone", f"WITH m AS (SELECT id, text AS edited FROM {SP}) SELECT id, " + ", ".join(f"({x})::DOUBLE AS {k}" for k, x in _TONE.items()) + " FROM m")
+def reply_tone(spark, sf_dir):
+    return spoken_messages(spark, sf_dir).select("id", to.tone(F.col("text")).alias("t")).select("id", "t.*")
+
+
+@query("scl20_reply_scores", f"""
+WITH e AS (SELECT *, edited AS t, lower(edited) AS low FROM {_E} WHERE suggestion IS NOT NULL), x AS (SELECT *, list_filter(regexp_split_to_array(low, '\\s+'), lambda v: v <> '') AS w, """ + ", ".join(f"({_TONE[k]})::DOUBLE AS a_{k}, ({_TONE2[k]})::DOUBLE AS b_{k}" for k in ("formality", "emoji_density", "exclamation_rate", "sentence_words")) + f""" FROM e),
+m AS (SELECT m.chat_id, m.id, count(length(u.text)) AS n, avg(length(u.text)) AS mean, stddev_samp(length(u.text)) AS dev FROM {SP} m LEFT JOIN (SELECT * FROM {SP} WHERE is_from_me AND trim(text) <> '') u USING (chat_id) GROUP BY 1, 2)
+SELECT id, round(greatest(0, least(1, 1 - (0.4 * abs(a_formality - b_formality) + 0.2 * abs(a_emoji_density - b_emoji_density) / 10 + 0.2 * abs(a_exclamation_rate - b_exclamation_rate) + 0.2 * abs(a_sentence_words - b_sentence_words) / 30))), 6) AS tone, round({_NATURAL}, 6)::DOUBLE AS naturalness,
+  round(CASE WHEN n = 0 THEN CASE WHEN length(t) < 10 THEN 0.5 WHEN length(t) <= 200 THEN 1.0 WHEN length(t) <= 500 THEN 0.8 ELSE 0.5 END ELSE exp(-0.5 * abs(length(t) - mean * 1.2) / greatest(CASE WHEN n > 1 THEN dev ELSE 50 END, 30)) END, 6) AS length FROM x JOIN m USING (id)""")
+def reply_scores(spark, sf_dir):
+    """Each message as a reply to the one before: how alike the tones are, how natural it is, how near its length is to that of the user's own messages in the chat."""
+    m = spoken_messages(spark, sf_dir)
+    own = m.where("is_from_me AND trim(text) <> ''").groupBy("chat_id").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean"), F.stddev_samp(F.length("text")).alias("dev"))
+    e = edits(spark, sf_dir).join(m.select("id", "chat_id"), "id").join(own, "chat_id", "left")
+    length = to.length_score(F.length("edited"), F.col("mean"), F.col("dev"), F.col("n"))
+    return e.select("id", F.round(to.tone_similarity(to.tone(F.col("edited")), to.tone(F.col("suggestion"))), 6).alias("tone"), F.round(to.naturalness(F.col("edited")), 6).alias("naturalness"), F.round(length, 6).alias("length"))
+
+
+_SETS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
+_CHANGES = """
+d AS (SELECT unnest(list_filter(a, lambda w: NOT list_contains(b, w))) AS word, 1 AS gone FROM s UNION ALL SELECT unnest(list_filter(b, lambda w: NOT list_contains(a, w))), 0 FROM s),
+c AS (SELECT word, sum(gone)::BIGINT AS removed, (count(*) - sum(gone))::BIGINT AS added FROM d GROUP BY 1)"""
+
+
+@query("agg22_word_shift", f"WITH s AS (SELECT {_SETS.format('suggestion')} AS a, {_SETS.format('edited')} AS b FROM {_E} WHERE suggestion IS NOT NULL), {_CHANGES} SELECT * FROM c")
+def word_shift(spark, sf_dir):
+    return su.word_changes(su.recent(edits(spark, sf_dir), None))
+
+
+@query("agg22_improvements", f"""
+WITH e AS (SELECT * FROM {_E} WHERE suggestion IS NOT NULL ORDER BY id DESC LIMIT 100), s AS (SELECT {_SETS.format('suggestion')} AS a, {_SETS.format('edited')} AS b FROM e), {_CHANGES},
+t AS (SELECT count(*) AS n, avg(length(edited) / length(suggestion)) AS share, avg(({_TONE2['formality']})::DOUBLE) AS before, avg(({_TONE['formality']})::DOUBLE) AS after FROM e),
+r AS (SELECT word, removed AS k FROM c WHERE removed > 0 ORDER BY k DESC, word LIMIT 5), i AS (SELECT word, added AS k FROM c WHERE added > 0 ORDER BY k DESC, word LIMIT 5)
+SELECT 'length' AS type, CASE WHEN share < 0.7 THEN 'Generate shorter responses' ELSE 'Generate longer, more detailed responses' END AS suggestion, 'Users typically ' || CASE WHEN share < 0.7 THEN 'shorten' ELSE 'expand' END || ' suggestions by ' || round(abs(share - 1) * 100)::INT || '%' AS detail, least(0.9, n / 20)::DOUBLE AS confidence FROM t WHERE share < 0.7 OR share > 1.3
+UNION ALL SELECT 'tone', CASE WHEN after < before THEN 'Use more casual language' ELSE 'Use more formal language' END, 'Users often make responses ' || CASE WHEN after < before THEN 'less' ELSE 'more' END || ' formal', least(0.9, n / 20) FROM t WHERE abs(after - before) > 0.15
+UNION ALL SELECT 'vocabulary', 'Avoid certain words/phrases', 'Frequently removed: ' || string_agg(word, ', ' ORDER BY k DESC, word), least(0.8, max(k) / 10) FROM r HAVING max(k) >= 3
+UNION ALL SELECT 'vocabulary', 'Include certain words/phrases more often', 'Frequently added: ' || string_agg(word, ', ' ORDER BY k DESC, word), least(0.8, max(k) / 10) FROM i HAVING max(k) >= 3""")
+def improvements(spark, sf_dir):
+    """What the last hundred edits ask for."""
+    return su.improvements(edits(spark, sf_dir))
