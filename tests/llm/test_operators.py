@@ -628,3 +628,41 @@ def test_every_letter_has_a_language(spark, docs):
     assert all(got[i] == ("und", 0.0) for i in (90, 91, 92, 93))
     # a script that nothing was learned of: by the languages' shares
     assert got[LETTERED.index("ᏣᎳᎩ")] == (m.langs[int(m.prior.argmax())], pytest.approx(m.prior.max()))
+
+
+@pytest.mark.parametrize("code", [tiff.DEFLATE, tiff.PACKBITS])
+def test_tiff_of_a_very_long_text(code):
+    """A text of 64 MB goes through in well under four times its size: the file is held once, pages one after another."""
+    import subprocess
+    import sys
+
+    run = f"""
+import sys, threading, time, zlib
+sys.path.insert(0, {str(__import__('pathlib').Path(__file__).resolve().parents[2])!r})
+import numpy as np, pyarrow as pa
+from threadlake.llm import tiff
+def now(): return int(open('/proc/self/statm').read().split()[1]) * 4096 >> 20
+x = np.tile(np.frombuffer(b'some words again and again, 0123456789. ', np.uint8), 1 << 20)[: 64 << 20].copy()
+x = np.resize(x, 64 << 20)
+for k in range(1000):
+    x[:2] = 97 + k % 26, 97 + k // 26
+    p = np.full(-(-len(x) // 192) * 192, 32, np.uint8); p[: len(x)] = x
+    if tiff.CODECS[zlib.crc32(p) % 8] == {code}: break
+size, offsets, text = len(x), np.array([0, len(x)], np.int32).tobytes(), x.tobytes()
+del x, p
+batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(offsets), pa.py_buffer(text)])], ['doc_id', 'text'])
+most, before, done = [0], now(), []
+def watch():
+    while not done:
+        most[0] = max(most[0], now()); time.sleep(0.01)
+t = threading.Thread(target=watch, daemon=True); t.start()
+(out,) = tiff._digests(tiff._pages(tiff._images(iter([batch])), ['doc_id', 'n_bytes'], 'media'))
+done.append(1); t.join()
+(r,) = out.to_pylist()
+import hashlib
+assert r['payload_sha256'] == hashlib.sha256(text.ljust(-(-size // 192) * 192)).hexdigest() and r['n_bytes'] == size
+print(most[0] - before)
+"""
+    done = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout) < 4 * 64

@@ -11,13 +11,13 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.llm import kernel
 from threadlake.session import ship
 
 #: Fixed values of the format.
@@ -174,6 +174,10 @@ def decompress(data: bytes, code: int) -> bytes:
 
 def write_pages(pages: list[np.ndarray], code: int, predictor: int, tile: int, order: str = "<") -> bytes:
     """A file of 8-bit pages (rows, columns[, samples]); tile is the side of square tiles, or 0 for strips of 64 rows."""
+    return bytes(_written(pages, code, predictor, tile, order))
+
+
+def _written(pages: list[np.ndarray], code: int, predictor: int, tile: int, order: str) -> bytearray:
     out = bytearray(b"II" if order == "<" else b"MM")
     out += struct.pack(order + "HI", 42, 0)
     link = 4
@@ -208,7 +212,7 @@ def write_pages(pages: list[np.ndarray], code: int, predictor: int, tile: int, o
         out += struct.pack(order + "H", len(entries)) + b"".join(entries)
         link = len(out)
         out += b"\0\0\0\0"
-    return bytes(out)
+    return out
 
 
 def read_pages(data: bytes) -> Iterator[dict]:
@@ -247,7 +251,7 @@ def read_pages(data: bytes) -> Iterator[dict]:
         for k, (o, size) in enumerate(zip(offsets, sizes, strict=True)):
             top, left = k // across * step_h, k % across * step_w
             rows = step_h if tiled else min(step_h, h - top)
-            part = np.frombuffer(decompress(data[o : o + size], code), np.uint8)
+            part = np.frombuffer(decompress(bytes(data[o : o + size]), code), np.uint8)
             if len(part) < rows * step_w * s:
                 raise ValueError("a strip or tile is too short")
             part = part[: rows * step_w * s].reshape(rows, step_w, s)
@@ -264,27 +268,65 @@ _TYPES = [pa.int32()] * 6 + [pa.bool_(), pa.binary(), pa.string()]
 _FIELDS = ["page", "width", "height", "samples", "compression", "predictor", "tiled", "pixels", "error"]
 
 
+#: Bytes of rows that are sent on together, one row at least.
+SENT_BYTES = 4 << 20
+
+
+def _stretches(sizes: Iterator[int], rows: int = 64) -> Iterator[tuple[int, int]]:
+    """Ranges of so many rows or SENT_BYTES each, one row at least."""
+    lo, hi, held = 0, 0, 0
+    for n in sizes:
+        if hi > lo and (hi - lo >= rows or held + n > SENT_BYTES):
+            yield lo, hi
+            lo, held = hi, 0
+        hi, held = hi + 1, held + n
+    if hi > lo:
+        yield lo, hi
+
+
+def _binary(values: list[bytes | bytearray | None]) -> pa.Array:
+    """A binary column; a value alone is not copied."""
+    if len(values) == 1 and values[0] is not None:
+        return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(values[0])], np.int32).tobytes()), pa.py_buffer(values[0])])
+    return pa.array(values, pa.binary())
+
+
 def _pages(batches: Iterator[pa.RecordBatch], keys: list[str], media: str) -> Iterator[pa.RecordBatch]:
+    """The rows of tiff_pages; a few pages of a file are in memory beside the file."""
     types = [*[pa.int64()] * len(keys), pa.binary(), *_TYPES]
+    rows: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        rows.clear()
+        return pa.RecordBatch.from_arrays([_binary(list(c)) if k == len(keys) else pa.array(c, t) for k, (c, t) in enumerate(zip(cols, types, strict=True))], [*keys, media, *_FIELDS])
+
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            rows: list[tuple] = []
-            for *k, data in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
-                if data is None:
-                    continue
-                try:
-                    for p in read_pages(data):
-                        rows.append((*k, data, *(p.get(f) for f in _FIELDS)))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows.append((*k, data, *[None] * 8, str(e)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*keys, media, *_FIELDS])
+        for i in range(batch.num_rows):
+            k = [batch.column(c)[i].as_py() for c in range(len(keys))]
+            file = batch.column(len(keys))[i]
+            if not file.is_valid:
+                continue
+            data, first, held = memoryview(file.as_buffer()).cast("B"), True, 0
+            try:
+                for p in read_pages(data):
+                    if held + len(p["pixels"]) > SENT_BYTES and rows:
+                        yield flush()
+                        held = 0
+                    rows.append((*k, data if first else None, *(p.get(f) for f in _FIELDS)))
+                    first, held = False, held + len(p["pixels"])
+            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                rows.append((*k, data if first else None, *[None] * 8, str(e)))
+            if len(rows) >= 64 or held + len(data) > SENT_BYTES:
+                yield flush()
+    if rows:
+        yield flush()
 
 
 def tiff_pages(files: DataFrame, keys: tuple[str, ...] = ("doc_id",), media: str = "media") -> DataFrame:
     """One row a page of files(keys long, media binary, ...): keys, media and the columns of PAGE, a file's pages in order next to each other.
 
-    Null media give no row; a file that cannot be read gives the pages before the fault and one row with error. Repeated
+    media is the file on the row of its first page and null on the others. Null media give no row; a file that cannot be read gives the pages before the fault and one row with error. Repeated
     files are each read; other columns are ignored; an empty table gives an empty result.
     """
     ship(files.sparkSession)
@@ -295,19 +337,21 @@ def tiff_pages(files: DataFrame, keys: tuple[str, ...] = ("doc_id",), media: str
 
 def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
+        data, offs = kernel.utf8(batch.column(1))
+        for lo, hi in _stretches(iter(np.diff(offs).tolist())):
             sizes, out = [], []
-            for text in part.column(1).to_pylist():
-                raw = (text or "").encode()
-                sizes.append(len(raw))
-                raw = raw.ljust(max(1, -(-len(raw) // COLUMNS)) * COLUMNS)
+            for i in range(lo, hi):
+                n = int(offs[i + 1] - offs[i])
+                sizes.append(n)
+                raw = np.full(max(1, -(-n // COLUMNS)) * COLUMNS, 32, np.uint8)
+                raw[:n] = data[offs[i] : offs[i + 1]]
                 crc = zlib.crc32(raw)
                 code = CODECS[crc % 8]
-                x = np.frombuffer(raw, np.uint8).reshape(-1, COLUMNS)
+                x = raw.reshape(-1, COLUMNS)
                 tile = 64 if crc >> 8 & 3 == 0 else 0
-                out.append(write_pages([x[i : i + PAGE_ROWS] for i in range(0, len(x), PAGE_ROWS)], code, 1 if code == PACKBITS else 1 + (crc >> 10 & 1), tile, "<" if crc >> 12 & 1 else ">"))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_bytes", "media"])
+                out.append(_written([x[i : i + PAGE_ROWS] for i in range(0, len(x), PAGE_ROWS)], code, 1 if code == PACKBITS else 1 + (crc >> 10 & 1), tile, "<" if crc >> 12 & 1 else ">"))
+                del raw, x
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), _binary(out)], ["doc_id", "n_bytes", "media"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -324,38 +368,52 @@ def text_images(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(_images, "doc_id long, n_bytes long, media binary")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[dict]:
-        for batch in batches:
-            yield from batch.to_pylist()
+class _Digest:
+    """Sizes, digests and features of one document, page by page."""
 
-    number = -1
+    def __init__(self, doc_id: int | None, n_bytes: int, media: memoryview) -> None:
+        self.ids, self.media_bytes, self.media_sha256 = (doc_id, n_bytes), len(media), hashlib.sha256(media).hexdigest()
+        self.pages, self.size, self.edges, self.tail = 0, 0, 0, b""
+        self.sha, self.count = hashlib.sha256(), np.zeros(256, np.int64)
 
-    def document(r: dict) -> int:
-        nonlocal number
-        number += r["page"] in (0, None)
-        return number
+    def add(self, pixels: memoryview) -> None:
+        x = np.frombuffer(pixels, np.uint8)
+        self.sha.update(pixels)
+        self.count += np.bincount(x, minlength=256)
+        self.edges += int(np.count_nonzero(x[1:] != x[:-1])) + bool(self.tail and len(x) and x[0] != self.tail[-1])
+        self.pages, self.size, self.tail = self.pages + 1, self.size + len(x), (self.tail + bytes(pixels[-16:]))[-16:]
 
+    def row(self) -> tuple:
+        share = self.count[self.count > 0] / self.size
+        mean = int((self.count * np.arange(256)).sum()) / self.size
+        feature = f"pages={self.pages};rows={self.size // COLUMNS};mean={mean:.4f};levels={len(share)};entropy={-(share * np.log2(share)).sum():.4f};edges={self.edges}"
+        return (*self.ids, self.size, self.sha.hexdigest(), zlib.crc32(self.tail), self.media_bytes, self.media_sha256, feature)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     out: list[tuple] = []
+    now: _Digest | None = None
 
     def flush() -> pa.RecordBatch:
-        types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    for _, group in groupby(rows(), key=document):
-        pages = list(group)
-        if any(p["error"] for p in pages):
-            raise ValueError(pages[-1]["error"])
-        data = b"".join(p["pixels"] for p in pages)
-        media = pages[0]["media"]
-        x = np.frombuffer(data, np.uint8)
-        count = np.bincount(x, minlength=256)
-        share = count[count > 0] / len(x)
-        feature = f"pages={len(pages)};rows={len(x) // COLUMNS};mean={int(x.sum(dtype=np.int64)) / len(x):.4f};levels={len(share)};entropy={-(share * np.log2(share)).sum():.4f};edges={int(np.count_nonzero(x[1:] != x[:-1]))}"
-        out.append((pages[0]["doc_id"], pages[0]["n_bytes"], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        if len(out) == 512:
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            doc_id, n_bytes, page, error = (batch.column(c)[i].as_py() for c in ("doc_id", "n_bytes", "page", "error"))
+            if error:
+                raise ValueError(error)
+            if page == 0:
+                if now:
+                    out.append(now.row())
+                now = _Digest(doc_id, n_bytes, memoryview(batch.column("media")[i].as_buffer()).cast("B"))
+            now.add(memoryview(batch.column("pixels")[i].as_buffer()).cast("B"))
+        if len(out) >= 512:
             yield flush()
-            out.clear()
+    if now:
+        out.append(now.row())
     if out:
         yield flush()
 
