@@ -283,6 +283,11 @@ def _block_pairs(mixed: DataFrame, nodes: DataFrame, num: int, den: int, nearest
     return both.select("pair", "second", "node", "comp", "n", "sketch").mapInArrow(kernel.lean(run), "a long, b long").distinct()
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table of rows of two numbers, marked for broadcast if it has MOST_SENT rows or fewer; beyond, joins are left to Spark."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text, ...).
 
@@ -306,7 +311,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     x = pairs.join(info.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a").join(info.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b")
     near = stored(x.withColumn("d", F.expr(f"({den - num} * (na + nb)) div {den + num}")).where(F.abs(F.col("na") - F.col("nb")) <= F.col("d")).where(_near("sa", "sb", "d")).select("a", "b"), "near")
     links = stored(verified(near, docs, nodes, k, num, den), "links")
-    comp = components(links)
+    comp = _few(components(links))
     tested = near
     # members take their nearest of another component until that links nothing more; then all that is left is tested
     nearest, rounds = True, 0
@@ -320,7 +325,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             tested = tested.union(rest)
             if not more.isEmpty():
                 links = links.union(more)
-                comp = components(links)
+                comp = _few(components(links))
             else:
                 more = None
         if not nearest:
@@ -328,8 +333,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         rounds += 1
         nearest = more is not None and rounds < ROUNDS
     own = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    smallest = own.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = own.join(smallest, "comp").select("node", "component_id")
+    # a component of its own needs no other's row
+    smallest = _few(stored(nodes.join(comp, "node").groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest"))
+    named = own.join(smallest, "comp", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     full = out.where("node IS NOT NULL").join(named, "node").select("doc_id", "n_shingles", "component_id")
     return full.union(out.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

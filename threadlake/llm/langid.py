@@ -131,19 +131,23 @@ class Model:
         return own[inverse], np.where(bits > 0, e - s, 0)[inverse], narrowed[inverse]
 
 
+#: Labels of words: more languages than models can hold.
+LABEL = np.int16
+
+
 def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
     """The best label of every word, for many texts at once: all texts take their next word together."""
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
     base, size = bounds[:-1][order], n[order]
     k = scores.shape[1]
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), LABEL)
     steps = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(steps), side="left")
-    back = np.empty((len(scores), k), np.int8)
-    last = np.zeros(len(size), np.int8)
+    back = np.empty((len(scores), k), LABEL)
+    last = np.zeros(len(size), LABEL)
     v = np.zeros((len(size), k), np.float32)
-    ids = np.arange(k, dtype=np.int8)
+    ids = np.arange(k, dtype=LABEL)
     for t in range(steps):
         a = active[t]
         if t and a < active[t - 1]:
@@ -153,7 +157,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
             best = own.argmax(axis=1)
             top = own[np.arange(a), best][:, None] - switch
             moved = top > own
-            back[base[:a] + t] = np.where(moved, best[:, None].astype(np.int8), ids)
+            back[base[:a] + t] = np.where(moved, best[:, None].astype(LABEL), ids)
             own = np.where(moved, top, own)
         v[:a] = own + scores[base[:a] + t]
     if steps:
@@ -233,7 +237,7 @@ def languages(docs: DataFrame, model: Model, spans: bool = False, switch: float
         k = len(own.langs)
         for batch in batches:
             data, offs = kernel.utf8(batch.column(2))
-            for lo, hi in kernel.slices(offs, SLICE):
+            for lo, hi in kernel.slices(offs, SLICE * 8 // max(k, 8)):  # scores are words x languages
                 part, cut = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 starts, ends, bounds = kernel.split_words(part, cut)
                 pred, score, found = [UNKNOWN] * (hi - lo), np.zeros(hi - lo), [[] for _ in range(hi - lo)]
