@@ -696,3 +696,11 @@ def test_learning_of_many_languages(spark):
     assert len(model.langs) == 200
     got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(df, model).collect()}
     assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+
+
+@pytest.mark.parametrize("values", [[], [0], [1, 255, 256], [2**32 - 1, 7], [2**32, 0], [2**40 + 3, 2**62, 5]])
+def test_packed_numbers(values):
+    from threadlake.llm import blocks
+
+    got = blocks.unpack(blocks.pack(np.array(values, np.int64)))
+    assert got.tolist() == values and got.dtype.itemsize == (8 if max(values, default=0) >= 2**32 else 4)

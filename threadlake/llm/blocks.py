@@ -48,17 +48,20 @@ _decompressor: zstandard.ZstdDecompressor | None = None
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers as compressed byte planes, as many as the largest needs; their number comes first."""
-    v = np.ascontiguousarray(values, "<u4")
+    """Whole numbers from 0 as compressed byte planes, as many as the largest needs; their number comes first."""
+    wide = 4 if not len(values) or int(np.max(values)) < 1 << 32 else 8
+    v = np.ascontiguousarray(values, f"<u{wide}")
     planes = max(1, -(-int(v.max()).bit_length() // 8)) if len(v) else 1
-    return bytes((planes,)) + deflated(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes())
+    return bytes((planes,)) + deflated(np.ascontiguousarray(v.view(np.uint8).reshape(-1, wide)[:, :planes].T).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
+    """The numbers, in 32 bits each if these hold all, else in 64."""
     raw = np.frombuffer(inflated(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((raw.shape[1], 4), np.uint8)
+    wide = 4 if data[0] <= 4 else 8
+    out = np.zeros((raw.shape[1], wide), np.uint8)
     out[:, : data[0]] = raw.T
-    return out.view("<u4").ravel()
+    return out.view(f"<u{wide}").ravel()
 
 
 def pack_strings(items: list[bytes]) -> bytes:
