@@ -76,3 +76,31 @@ def test_category_features(spark, pressure, kind):
         assert {n: r[n] for n in want} == pytest.approx(want), text
         assert r["v"] == [r[n] for n in ca.FEATURES]
         assert (r["pressure_high"], r["pressure_none"], r["kind_emotional"], r["kind_answer"]) == ((1, 0, 1, 0) if pressure else (0, 1, 0, 1))
+
+
+DATES = [
+    ("Dinner on March 3rd at 7pm", "named", "2024-03-03", "2024-03-03 19:00", False),
+    ("Meeting 2025-2-7 10:30", "iso", "2025-02-07", "2025-02-07 10:30", False),
+    ("doctor Sept 9, 2026", "named", "2026-09-09", "2026-09-09 09:00", True),
+    ("lunch on the 3rd of May 2025 at 1 pm", "day_first", "2025-05-03", "2025-05-03 13:00", False),
+    ("coffee 12/24/24 at 9am", "numeric", "2024-12-24", "2024-12-24 09:00", False),
+    ("call on the 31st", "ordinal", "2024-01-31", "2024-01-31 09:00", True),
+    ("party on Feb 30", None, None, None, None),
+    ("trip 13/45", None, None, None, None),
+    ("lunch tomorrow at noon, not on March 5", "named", "2024-03-05", "2024-03-05 09:00", True),
+    ("lunch tomorrow at 1pm, not on March 5", "named", "2024-03-05", "2024-01-04 13:00", False),
+    ("dinner next weekend", None, None, "2024-01-13 09:00", True),
+    ("see you March 3rd", "named", "2024-03-03", None, None),
+    (None, None, None, None, None),
+]
+
+
+def test_dates_that_are_written_out(spark):
+    from threadlake.functions import dates as da
+
+    now = F.lit("2024-01-03 15:00:00").cast("timestamp")
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(DATES)], "i int, t string")
+    rows = df.select("i", da.free_date(F.col("t"), now).alias("d"), F.get(da.events(F.col("t"), now), F.lit(0)).alias("e")).orderBy("i").collect()
+    for r, (text, form, day, start, all_day) in zip(rows, DATES, strict=True):
+        assert (r["d"] and r["d"]["form"], r["d"] and str(r["d"]["day"])) == (form, day), text
+        assert (r["e"] and f"{r['e']['start']:%Y-%m-%d %H:%M}", r["e"] and r["e"]["all_day"]) == (start, all_day), text

@@ -19,6 +19,48 @@ def _next_weekday(now: Column, day: int) -> Column:
     return F.date_add(F.to_date(now), F.pmod(F.lit(day) - F.weekday(now), F.lit(7)))
 
 
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH = "(" + "|".join([*MONTHS, "sept", *(m[:3] for m in MONTHS)]) + ")"
+_NTH = "(?:st|nd|rd|th)?"
+#: Forms of dates in the order in which they are believed, with the groups of year, month and day (0: the current one). One grammar for Spark and for SQL.
+FORMS = (
+    ("iso", r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", (1, 2, 3)),
+    ("named", rf"\b{_MONTH}\.?\s+(\d{{1,2}}){_NTH}(?:,?\s+(\d{{4}}))?\b", (3, 1, 2)),
+    ("day_first", rf"\b(\d{{1,2}}){_NTH}\s+(?:of\s+)?{_MONTH}\b\.?(?:,?\s+(\d{{4}})\b)?", (3, 2, 1)),
+    ("numeric", r"\b(\d{1,2})/(\d{1,2})(?:/(\d{4}|\d{2}))?\b", (3, 1, 2)),
+    ("ordinal", r"\bthe\s+(\d{1,2})(?:st|nd|rd|th)\b", (0, 0, 1)),
+)
+FREE = 0.75
+
+
+def free_date(sentence: Column, now: Column) -> Column:
+    """struct(form, day) of the first date that is written out: of the forms in their order the first that gives a day of the calendar; null without one.
+
+    A year that is missing is now's, of two digits in this century; "the 5th" is of now's month. In numbers the month comes first.
+    """
+    low = F.lower(F.coalesce(sentence, F.lit("")))
+    found = []
+    for form, pattern, (y, m, d) in FORMS:
+        part = lambda k: F.nullif(F.regexp_extract(low, pattern, k), F.lit(""))  # noqa: B023, E731
+        year = F.coalesce(F.when(F.length(part(y)) == 2, F.concat(F.lit("20"), part(y))).otherwise(part(y)), F.year(now).cast("string")) if y else F.year(now).cast("string")
+        month = part(m) if m else F.month(now).cast("string")
+        if form in ("named", "day_first"):
+            number = F.lit(None).cast("string")
+            for i, name in enumerate(MONTHS):
+                number = F.when(F.substring(month, 1, 3) == name[:3], F.lit(str(i + 1))).otherwise(number)
+            month = number
+        day = F.try_to_timestamp(F.concat_ws("-", F.when(part(d).isNotNull(), year), month, part(d)), F.lit("yyyy-M-d")).cast("date")
+        found.append(F.when(day.isNotNull(), F.struct(F.lit(form).alias("form"), day.alias("day"))))
+    return F.coalesce(*found)
+
+
+def without_dates(sentence: Column) -> Column:
+    """The sentence without dates that are written out, so that what numbers are left can be times."""
+    for _, pattern, _ in FORMS:
+        sentence = F.regexp_replace(sentence, "(?i)" + pattern, " ")
+    return sentence
+
+
 def _place(sentence: Column) -> Column:
     found = [F.regexp_replace(F.trim(F.regexp_extract(sentence, p, 1)), r"(?i)\s+(at|on|for|to)\s*$", "") for p in PLACES]
     return F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
@@ -35,16 +77,17 @@ def _title(sentence: Column, word: Column) -> Column:
 def events(text: Column, now: Column, minutes: int = 60) -> Column:
     """array<struct<title, start, end, all_day, place, confidence, source>> of a text's sentences, most certain first.
 
-    A sentence counts if it names an event and a day: today, tomorrow, next week, a weekday, or this or next weekend. The first number
+    A sentence counts if it names an event and a day: today, tomorrow, next week, a weekday, this or next weekend, or a date that is written
+    out (see free_date), which is believed before words without a time. The first number outside of dates
     is its time; without one, or with one that is no time, the event is all day from nine. Null and blank texts give an empty array.
-    Dates in other words ("March 3rd") are not read.
     """
 
     def one(x: Column) -> Column:
         s = F.trim(x)
         low = F.lower(s)
         word = F.regexp_extract(s, EVENT, 1)
-        hour, minute, half = (F.regexp_extract(s, TIME, i) for i in (1, 2, 3))
+        rest = without_dates(s)
+        hour, minute, half = (F.regexp_extract(rest, TIME, i) for i in (1, 2, 3))
         h, m, half = hour.try_cast("int"), F.coalesce(minute.try_cast("int"), F.lit(0)), F.replace(F.lower(half), F.lit("."), F.lit(""))
         h = F.when((half == "pm") & (h < 12), h + 12).when((half == "am") & (h == 12), 0).otherwise(h)
         timed = h.isNotNull() & (h < 24) & (m < 60)
@@ -55,8 +98,12 @@ def events(text: Column, now: Column, minutes: int = 60) -> Column:
             sure = F.when(hit, F.when(timed, 0.85 if name in WEEKDAYS else 0.9).otherwise(0.65 if name in WEEKDAYS else 0.7)).otherwise(sure)
         saturday = _next_weekday(now, 5)
         weekend = F.when(low.rlike(r"\bthis weekend\b"), saturday).when(low.rlike(r"\bnext weekend\b"), F.when(F.datediff(saturday, F.to_date(now)) < 7, F.date_add(saturday, 7)).otherwise(saturday))
-        timed = timed & day.isNotNull()
         sure, day = F.coalesce(sure, F.when(weekend.isNotNull(), 0.6)), F.coalesce(day, weekend)
+        named = F.isnull(weekend) | (day != weekend)
+        free = free_date(s, now)["day"]
+        better = free.isNotNull() & (F.coalesce(sure, F.lit(0.0)) < FREE)
+        timed = timed & F.when(better, True).otherwise(day.isNotNull() & named)
+        sure, day = F.when(better, FREE).otherwise(sure), F.when(better, free).otherwise(day)
         start = F.when(timed, day.cast("timestamp") + F.make_interval(hours=h, mins=m)).otherwise(day.cast("timestamp") + F.make_interval(hours=F.lit(9)))
         end = F.when(timed, start + F.make_interval(mins=F.lit(minutes))).otherwise(day.cast("timestamp") + F.make_interval(hours=F.lit(23), mins=F.lit(59)))
         place = _place(s)

@@ -29,7 +29,8 @@ def unit(v: str | Column) -> Column:
     """The vector at length 1, as doubles; zero vectors stay zero."""
     x = (F.col(v) if isinstance(v, str) else v).cast("array<double>")
     size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c * c))
-    return F.transform(x, lambda c: F.when(size > 0, c / size).otherwise(c))
+    # as the one entry of an array the length is worked out once, not for each component
+    return F.get(F.transform(F.array(size), lambda n: F.transform(x, lambda c: F.when(n > 0, c / n).otherwise(c))), F.lit(0))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.session import stored
 
 #: Words that are no keywords of topics.
 TOPIC_STOP_WORDS = (
@@ -40,26 +39,31 @@ def occurrences(words: str, word: str) -> Column:
 def bm25(docs: DataFrame, query: str, key: str, limit: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, text: str = "text") -> DataFrame:
     """key, score of the best documents for the query's words (Okapi, k1, b; words in more than half of all documents get epsilon times the mean idf).
 
-    Document frequencies are counted over all documents; the query's words come back as one row that goes to every task.
+    One pass counts documents, their lengths and the query's words, a second scores the documents that hold one. The mean idf of all words
+    is worked out only where a word of the query needs it. One row of numbers for the query's words comes to the driver.
     """
+    import math
     import re
 
     words = list(dict.fromkeys(asked := re.findall(WORDS, query.lower())))
-    # texts are split once; counts and hits read the words
-    d = stored(docs.select(key, word_array(text).alias("w")).where(F.size("w") > 0), "words")
-    one = F.lit(1).alias("one")
-    corpus = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"), one)
-    # each document counts once for a word: partial counts are made before the shuffle
-    df = d.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.max(F.lit(1)).alias("one"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    every = df.join(F.broadcast(corpus), "one").select("word", "n", "avgdl", idf.alias("idf"))
-    own = every.agg(F.avg("idf").alias("mean"), F.max("avgdl").alias("avgdl"), *[F.max(F.when(F.col("word") == w, F.col("idf"))).alias(f"i{k}") for k, w in enumerate(words)], one)
+    d = docs.select(key, word_array(text).alias("w")).where(F.size("w") > 0)
+    seen = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"), *[F.count_if(F.array_contains("w", x)).alias(f"d{k}") for k, x in enumerate(words)]).first()
+    n = seen["n"]
+    idf = {x: math.log((n - seen[f"d{k}"] + 0.5) / (seen[f"d{k}"] + 0.5)) for k, x in enumerate(words) if seen[f"d{k}"]}
+    if any(v < 0 for v in idf.values()):
+        # each document counts once for a word: partial counts are made before the shuffle
+        df = d.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+        mean = df.agg(F.avg(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))).first()[0]
+        idf = {x: epsilon * mean if v < 0 else v for x, v in idf.items()}
     score = F.lit(0.0)
-    for k, w in enumerate(words):
-        tf = occurrences("w", w)
-        i = F.when(F.col(f"i{k}") < 0, epsilon * F.col("mean")).otherwise(F.col(f"i{k}"))
-        score = score + F.coalesce(asked.count(w) * i * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("w") / F.col("avgdl"))), F.lit(0.0))
-    hits = d.withColumn("one", F.lit(1)).join(F.broadcast(own), "one")
+    for x, v in idf.items():
+        tf = occurrences("w", x)
+        score = score + asked.count(x) * v * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("w") / F.lit(seen["avgdl"])))
+    # texts without any of the words are not cut into words
+    holds = F.lit(False)
+    for x in idf:
+        holds = holds | F.contains(F.lower(text), F.lit(x))
+    hits = docs.where(holds).select(key, word_array(text).alias("w"))
     return hits.select(key, F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 

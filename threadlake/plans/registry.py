@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import every module of queries."""
-    from threadlake.plans import aggregates, clusters, graphs, knowledge, more, relational, sequential, spoken, state, stores, texts  # noqa: F401
+    from threadlake.plans import aggregates, clusters, graphs, knowledge, more, relational, sequential, spoken, state, stores, texts, vectorstores  # noqa: F401

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadlake.functions import categories as ca
+from threadlake.functions import dates as da
 from threadlake.functions import tone as to
 from threadlake.operators import factchain as fc
 from threadlake.operators import facts as of
@@ -216,3 +217,24 @@ UNION ALL SELECT 'vocabulary', 'Include certain words/phrases more often', 'Freq
 def improvements(spark, sf_dir):
     """What the last hundred edits ask for."""
     return su.improvements(edits(spark, sf_dir))
+
+
+def _form_sql(form: str, pattern: str, groups: tuple[int, int, int]) -> str:
+    """The day that a form gives, as SQL."""
+    part = lambda k: f"nullif(regexp_extract(low, {_q(pattern)}, {k}), '')"
+    y, m, d = groups
+    year = f"coalesce(CASE WHEN length({part(y)}) = 2 THEN '20' || {part(y)} ELSE {part(y)} END, '2024')" if y else "'2024'"
+    month = part(m) if m else "'1'"
+    if form in ("named", "day_first"):
+        month = f"nullif(list_position({_list([x[:3] for x in da.MONTHS])}, substr({month}, 1, 3)), 0)::VARCHAR"
+    return f"try_strptime({year} || '-' || {month} || '-' || {part(d)}, '%Y-%m-%d')::DATE"
+
+
+_DAYS = [(f, _form_sql(f, p, g)) for f, p, g in da.FORMS]
+
+
+@query("scl19_free_dates", f"WITH m AS (SELECT id, lower(text) AS low FROM {SP}), d AS (SELECT id, " + ", ".join(f"{x} AS {f}" for f, x in _DAYS) + " FROM m) SELECT id, CASE " + " ".join(f"WHEN {f} IS NOT NULL THEN '{f}'" for f, _ in _DAYS) + " END AS form, coalesce(" + ", ".join(f for f, _ in _DAYS) + ")::VARCHAR AS day FROM d")
+def free_dates(spark, sf_dir):
+    """The date that each message writes out, read in January 2024."""
+    d = da.free_date(F.col("text"), F.lit("2024-01-03 15:00:00").cast("timestamp"))
+    return spoken_messages(spark, sf_dir).select("id", d.alias("d")).select("id", "d.form", F.col("d.day").cast("string").alias("day"))
