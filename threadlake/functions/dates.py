@@ -82,34 +82,43 @@ def events(text: Column, now: Column, minutes: int = 60) -> Column:
     is its time; without one, or with one that is no time, the event is all day from nine. Null and blank texts give an empty array.
     """
 
-    def one(x: Column) -> Column:
+    names = [*(d for d, _ in DAYS_AHEAD), *WEEKDAYS]
+    ahead = [*(F.date_add(F.to_date(now), n) for _, n in DAYS_AHEAD), *(_next_weekday(now, i) for i in range(7))]
+    saturday = _next_weekday(now, 5)
+    after = F.when(F.datediff(saturday, F.to_date(now)) < 7, F.date_add(saturday, 7)).otherwise(saturday)
+
+    # in steps, as what one step has worked out is a value to the next and not worked out again
+    def parts(x: Column) -> Column:
         s = F.trim(x)
-        low = F.lower(s)
-        word = F.regexp_extract(s, EVENT, 1)
         rest = without_dates(s)
-        hour, minute, half = (F.regexp_extract(rest, TIME, i) for i in (1, 2, 3))
-        h, m, half = hour.try_cast("int"), F.coalesce(minute.try_cast("int"), F.lit(0)), F.replace(F.lower(half), F.lit("."), F.lit(""))
+        return F.struct(s.alias("s"), F.lower(s).alias("low"), F.regexp_extract(s, EVENT, 1).alias("word"), *[F.regexp_extract(rest, TIME, i).alias(f"t{i}") for i in (1, 2, 3)], free_date(s, now)["day"].alias("free"), _place(s).alias("place"))
+
+    def read(p: Column) -> Column:
+        h, m, half = p["t1"].try_cast("int"), F.coalesce(p["t2"].try_cast("int"), F.lit(0)), F.replace(F.lower(p["t3"]), F.lit("."), F.lit(""))
         h = F.when((half == "pm") & (h < 12), h + 12).when((half == "am") & (h == 12), 0).otherwise(h)
-        timed = h.isNotNull() & (h < 24) & (m < 60)
-        day, sure = F.lit(None).cast("date"), F.lit(None).cast("double")
-        for name, ahead in reversed([*((d, F.date_add(F.to_date(now), n)) for d, n in DAYS_AHEAD), *((d, _next_weekday(now, i)) for i, d in enumerate(WEEKDAYS))]):
-            hit = low.rlike(rf"\b{name}\b")
-            day = F.when(hit, ahead).otherwise(day)
-            sure = F.when(hit, F.when(timed, 0.85 if name in WEEKDAYS else 0.9).otherwise(0.65 if name in WEEKDAYS else 0.7)).otherwise(sure)
-        saturday = _next_weekday(now, 5)
-        weekend = F.when(low.rlike(r"\bthis weekend\b"), saturday).when(low.rlike(r"\bnext weekend\b"), F.when(F.datediff(saturday, F.to_date(now)) < 7, F.date_add(saturday, 7)).otherwise(saturday))
-        sure, day = F.coalesce(sure, F.when(weekend.isNotNull(), 0.6)), F.coalesce(day, weekend)
-        named = F.isnull(weekend) | (day != weekend)
-        free = free_date(s, now)["day"]
-        better = free.isNotNull() & (F.coalesce(sure, F.lit(0.0)) < FREE)
-        timed = timed & F.when(better, True).otherwise(day.isNotNull() & named)
-        sure, day = F.when(better, FREE).otherwise(sure), F.when(better, free).otherwise(day)
-        start = F.when(timed, day.cast("timestamp") + F.make_interval(hours=h, mins=m)).otherwise(day.cast("timestamp") + F.make_interval(hours=F.lit(9)))
-        end = F.when(timed, start + F.make_interval(mins=F.lit(minutes))).otherwise(day.cast("timestamp") + F.make_interval(hours=F.lit(23), mins=F.lit(59)))
-        place = _place(s)
-        score = (F.lit(0.3) + F.when(timed, 0.25).otherwise(0.1) + F.when(place.isNotNull(), 0.15).otherwise(0.0) + sure) / 2
-        return F.when((word != "") & day.isNotNull(), F.struct(_title(s, word).alias("title"), start.alias("start"), end.alias("end"), (~timed).alias("all_day"), place.alias("place"), F.round(F.least(score, F.lit(1.0)), 4).alias("confidence"), s.alias("source")))
-
-    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), one), lambda e: e.isNotNull())
+        which = F.lit(None).cast("int")
+        for i, name in reversed(list(enumerate(names))):
+            which = F.when(p["low"].rlike(rf"\b{name}\b"), i).otherwise(which)
+        weekend = F.when(p["low"].rlike(r"\bthis weekend\b"), saturday).when(p["low"].rlike(r"\bnext weekend\b"), after)
+        return F.struct(p["s"].alias("s"), p["word"].alias("word"), h.alias("h"), m.alias("m"), (h.isNotNull() & (h < 24) & (m < 60)).alias("timed"), which.alias("which"), weekend.alias("weekend"), p["free"].alias("free"), p["place"].alias("place"))
+
+    def dated(r: Column) -> Column:
+        sure = F.when(r["which"] >= len(DAYS_AHEAD), F.when(r["timed"], 0.85).otherwise(0.65)).when(r["which"].isNotNull(), F.when(r["timed"], 0.9).otherwise(0.7)).when(r["weekend"].isNotNull(), 0.6)
+        better = r["free"].isNotNull() & (F.coalesce(sure, F.lit(0.0)) < FREE)
+        day = F.when(better, r["free"]).otherwise(F.coalesce(F.get(F.array(*ahead), r["which"]), r["weekend"]))
+        # a weekend has no hour
+        timed = r["timed"] & (better | r["which"].isNotNull())
+        return F.struct(r["s"].alias("s"), r["word"].alias("word"), r["h"].alias("h"), r["m"].alias("m"), r["place"].alias("place"), day.alias("day"), timed.alias("timed"), F.when(better, FREE).otherwise(sure).alias("sure"))
+
+    def one(d: Column) -> Column:
+        base, timed, place = d["day"].cast("timestamp"), d["timed"], d["place"]
+        start = F.when(timed, base + F.make_interval(hours=d["h"], mins=d["m"])).otherwise(base + F.make_interval(hours=F.lit(9)))
+        end = F.when(timed, base + F.make_interval(hours=d["h"], mins=d["m"] + F.lit(minutes))).otherwise(base + F.make_interval(hours=F.lit(23), mins=F.lit(59)))
+        score = (F.lit(0.3) + F.when(timed, 0.25).otherwise(0.1) + F.when(place.isNotNull(), 0.15).otherwise(0.0) + d["sure"]) / 2
+        return F.struct(_title(d["s"], d["word"]).alias("title"), start.alias("start"), end.alias("end"), (~timed).alias("all_day"), place.alias("place"), F.round(F.least(score, F.lit(1.0)), 4).alias("confidence"), d["s"].alias("source"))
+
+    said = F.filter(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), lambda x: x.rlike(EVENT))
+    days = F.filter(F.transform(F.transform(F.transform(said, parts), read), dated), lambda d: d["day"].isNotNull())
+    found = F.transform(days, one)
     by = lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0)
     return F.array_sort(found, by)

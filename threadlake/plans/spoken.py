@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import categories as ca
 from threadlake.functions import dates as da
+from threadlake.functions import threads as th
 from threadlake.functions import tone as to
 from threadlake.operators import factchain as fc
 from threadlake.operators import facts as of
@@ -238,3 +239,25 @@ def free_dates(spark, sf_dir):
     """The date that each message writes out, read in January 2024."""
     d = da.free_date(F.col("text"), F.lit("2024-01-03 15:00:00").cast("timestamp"))
     return spoken_messages(spark, sf_dir).select("id", d.alias("d")).select("id", "d.form", F.col("d.day").cast("string").alias("day"))
+
+
+_SCORES = ", ".join(f"{{'n': {' + '.join(f'contains(low, {_q(p.lower())})::INT' for p in ps)}, 'i': {-i}, 'topic': '{t}'}}" for i, (t, ps) in enumerate(th.TOPICS.items()))
+_ITEMS = "list_concat(" + ", ".join(f"regexp_extract_all(text, {_q(p)}, 1)" for p in th.ACTIONS) + ")"
+
+
+def _some(patterns) -> str:
+    return "regexp_matches(last, " + _q("|".join(f"(?:{p})" for p in patterns)) + ")"
+
+
+@query("scl18_thread_contexts", f"""
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY date DESC, id DESC) AS r FROM {SP}),
+h AS (SELECT chat_id, string_agg(lower(text), ' ' ORDER BY date, id) FILTER (text <> '') AS low, lower(arg_max(text, (date, id))) AS last, arg_max(is_from_me, (date, id)) AS mine, flatten(list(list_filter(list_transform({_ITEMS}, lambda x: trim(x)), lambda x: length(x) > 5 AND length(x) < 100) ORDER BY date, id)) AS items FROM m WHERE r <= 10 GROUP BY 1),
+x AS (SELECT *, list_max([{_SCORES}]) AS best, list_transform(items, lambda v: lower(v)) AS lows FROM h),
+w AS (SELECT chat_id, count(*) AS n, arg_min(is_from_me, (date, id)) AS first, count(*) FILTER (is_from_me) / count(*) AS share FROM m GROUP BY 1)
+SELECT chat_id, n, CASE WHEN best.n > 0 THEN best.topic ELSE 'unknown' END AS topic, CASE WHEN best.n >= 2 THEN least(0.9, 0.5 + best.n * 0.1) WHEN best.n = 1 THEN 0.4 ELSE 0 END::DOUBLE AS confidence,
+  CASE WHEN {_some(th.ASKS)} THEN CASE WHEN mine THEN 'awaiting_response' ELSE 'open_question' END WHEN {_some(th.ENDS)} THEN 'concluded' ELSE 'in_discussion' END AS state,
+  CASE WHEN first OR share > 0.6 THEN 'initiator' WHEN share < 0.3 THEN 'responder' ELSE 'participant' END AS role, array_to_string(list_filter(items, lambda v, i: list_position(lows, lower(v)) = i)[:5], '|') AS items
+FROM x JOIN w USING (chat_id)""")
+def thread_contexts(spark, sf_dir):
+    """Each chat as one thread."""
+    return th.thread_contexts(spoken_messages(spark, sf_dir)).withColumn("items", F.array_join("items", "|"))
