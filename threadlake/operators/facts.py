@@ -222,8 +222,38 @@ def topic_segments(messages: DataFrame, threshold: float = 0.35, gap_factor: flo
     return cut.join(before, ["chat_id", "stretch"]).select("id", "chat_id", (F.col("before") + F.col("seg")).alias("segment"))
 
 
+#: Embedders by name: from a text column to its vector. A model can take the place of these stand-ins.
+EMBEDDERS: dict[str, Callable[..., Column]] = {}
+
+
+def embedder(name: str) -> Callable:
+    """Register a function from the name of a text column to a vector column; embedded() can then be asked for it by name."""
+
+    def put(f: Callable[..., Column]) -> Callable[..., Column]:
+        EMBEDDERS[name] = f
+        return f
+
+    return put
+
+
+def embedded(df: DataFrame, name: str, text: str = "text", normalize: bool = True) -> DataFrame:
+    """df with embedding from a registered embedder, of unit length if asked (empty texts stay zero)."""
+    from threadlake.operators.clusters import unit
+
+    v = EMBEDDERS[name](text)
+    return df.withColumn("embedding", (unit(v) if normalize else v).cast("array<float>"))
+
+
+@embedder("letters")
+def letter_embedding(text: str) -> Column:
+    """How often each of a to z occurs in the lowered text."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+
+
+@embedder("hash")
 def hash_embedding(text: str, dim: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of hashed words, of unit length."""
+    """A deterministic stand-in for an embedding model: signed counts of hashed words."""
     h = F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(F.pmod(x, F.lit(dim)) == i, F.when(x > 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
     return F.transform(raw, lambda x: x.cast("float"))

@@ -13,6 +13,7 @@ from threadlake.functions import threads as th
 from threadlake.functions import tone as to
 from threadlake.operators import factchain as fc
 from threadlake.operators import facts as of
+from threadlake.operators import messages as ops
 from threadlake.operators import suggestions as su
 from threadlake.plans.registry import query
 from threadlake.sources.spoken import SP, spoken_messages
@@ -261,3 +262,11 @@ FROM x JOIN w USING (chat_id)""")
 def thread_contexts(spark, sf_dir):
     """Each chat as one thread."""
     return th.thread_contexts(spoken_messages(spark, sf_dir)).withColumn("items", F.array_join("items", "|"))
+
+
+@query("flt15_smart_folders", f"SELECT id, (contains(lower(text), 'meeting') OR contains(lower(text), 'report')) AS work, (contains(lower(text), 'love') AND is_from_me AND chat_id > 100) AS fond FROM {SP} WHERE contains(lower(text), 'meeting') OR contains(lower(text), 'report') OR (contains(lower(text), 'love') AND is_from_me AND chat_id > 100)")
+def smart_folders(spark, sf_dir):
+    """Two folders, one that any and one that all of its rules must put a message into."""
+    work = ops.rules([("text", "contains", "Meeting"), ("text", "contains", "report")], "any")
+    fond = ops.rules([("text", "contains", "love"), ("is_from_me", "equals", True), ("chat_id", "greater_than", 100)])
+    return spoken_messages(spark, sf_dir).where(work | fond).select("id", work.alias("work"), fond.alias("fond"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from threadlake.operators import facts as of
 from threadlake.operators import sequences as seq
-from threadlake.operators.clusters import unit
 from threadlake.plans.registry import query
 from threadlake.session import shared_dir
 from threadlake.sources import vectorstore as vs
@@ -23,7 +22,7 @@ def _store(spark) -> str:
 
 
 def _messages(spark, sf_dir):
-    return chat_messages(spark, sf_dir).withColumn("embedding", unit(of.hash_embedding("text", DIM)).cast("array<float>"))
+    return of.embedded(chat_messages(spark, sf_dir), "hash")
 
 
 @query("src08_typed_vectors", """
@@ -79,3 +78,23 @@ def version_catalog(spark, sf_dir):
     vs.index_messages(m, base, "v2", DIM)
     vs.activate(spark, base, "v2")
     return vs.versions(spark, base)
+
+
+@query("vec12_store_staleness", f"""
+WITH m AS (SELECT * FROM {CV} WHERE length(trim(text)) >= 3)
+SELECT (SELECT count(*) FROM m) AS messages, (SELECT count(*) FROM m WHERE date < TIMESTAMP '{CUT}') AS indexed, (SELECT epoch(max(date))::BIGINT FROM m) AS newest, (SELECT epoch(max(date))::BIGINT FROM m WHERE date < TIMESTAMP '{CUT}') AS newest_indexed,
+  (SELECT count(*) FROM m WHERE date >= TIMESTAMP '{CUT}') > 0 AS stale""")
+def store_staleness(spark, sf_dir):
+    """Whether the active version has all messages, by their number and the newest one, after a run up to a day."""
+    base, m = _store(spark), _messages(spark, sf_dir)
+    vs.add_version(spark, base, "v1", "hash", DIM)
+    vs.index_messages(m.where(F.col("date") < F.lit(CUT).cast("timestamp")), base, "v1", DIM)
+    vs.activate(spark, base, "v1")
+    return vs.staleness(m, base)
+
+
+@query("udf04_letter_embedder", "SELECT doc_id, md5(array_to_string([" + ", ".join(f"length(low) - length(replace(low, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz") + "], ',')) AS digest FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)")
+def letter_embedder(spark, sf_dir):
+    """A registered embedder by its name, without normalisation."""
+    e = of.embedded(table(spark, sf_dir, "documents"), "letters", normalize=False)
+    return e.select("doc_id", F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",")).alias("digest"))

@@ -147,6 +147,17 @@ def versions(spark: SparkSession, base: str, name: str = "messages") -> DataFram
     return meta.join(sizes, "version").select("version", "model", "dim", "vectors", F.col("version").eqNullSafe(F.lit(now)).alias("is_active"))
 
 
+def staleness(messages: DataFrame, base: str) -> DataFrame:
+    """messages, indexed, newest, newest_indexed, stale: one row; stale if the active version has not as many messages, or not the newest."""
+    spark = messages.sparkSession
+    own = messages.where("id IS NOT NULL AND length(trim(text)) >= 3").agg(F.count("*").alias("messages"), F.unix_seconds(F.max("date")).alias("newest"))
+    held = read(spark, base, "messages").agg(F.count("*").alias("indexed"), F.max("timestamp").alias("newest_indexed"))
+    one = F.lit(1).alias("one")
+    both = own.select("*", one).join(F.broadcast(held.select("*", one)), "one")
+    stale = (F.col("messages") != F.col("indexed")) | ~F.col("newest").eqNullSafe(F.col("newest_indexed"))
+    return both.select("messages", "indexed", "newest", "newest_indexed", stale.alias("stale"))
+
+
 def search(spark: SparkSession, base: str, query: list[float], limit: int, chat_id: str | None = None) -> DataFrame:
     """id, chat_id, distance: the messages of the active version nearest to a query by their bytes, ties by id; within a chat only its bucket is read."""
     from threadlake.operators.vectors import squared_distance
