@@ -30,3 +30,25 @@ def test_thread_contexts(spark):
     assert pick(6)[4] == "initiator" and pick(6)[1:3] == ("unknown", 0.0)
     assert pick(None) == (1, "unknown", 0.0, "in_discussion", "responder")
     assert th.thread_contexts(df.where("false")).count() == 0
+
+
+def test_relationships(spark):
+    from threadlake.functions import relationships as re
+
+    day = dt.datetime(2024, 3, 1)
+
+    def chat(c, texts, hours, step=1):
+        return [(c, day + dt.timedelta(days=i * step, hours=hours[i % len(hours)]), t) for i, t in enumerate(texts)]
+
+    rows = chat(1, ["meeting about the project deadline, please review"] * 12, [10, 11], 3)
+    rows += chat(2, ["dude lol party tonight 🎉🎉, gonna be at the bar"] * 12, [22, 23])
+    rows += chat(3, ["hm"] * 12, [12])
+    rows += chat(4, ["love you mom"] * 9, [12]) + [(4, day, None), (4, day, "")]
+    rows += chat(5, ["ok"] * 10, [0, 12])
+    names = spark.createDataFrame([(3, "Gopal Mama"), (5, "my-Babe"), (1, "Moma")], "chat_id long, name string")
+    got = {r["chat_id"]: r for r in re.relationships(spark.createDataFrame(rows, "chat_id long, date timestamp, text string"), names).collect()}
+    assert {c: r["relationship"] for c, r in got.items()} == {1: "coworker", 2: "close friend", 3: "family", 4: "unknown", 5: "romantic partner"}
+    assert got[1]["scores"]["coworker"] == 0.9 and got[1]["scores"]["family"] < 0.2
+    assert (got[4]["confidence"], got[4]["n"], got[4]["scores"]) == (0.0, 9, None)
+    assert got[3]["scores"]["family"] >= 0.5 and got[2]["confidence"] == 1.0
+    assert re.relationships(spark.createDataFrame([], "chat_id long, date timestamp, text string")).count() == 0

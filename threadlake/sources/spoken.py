@@ -84,7 +84,7 @@ def spoken_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda words, i: "element_at(array(" + ", ".join('"' + w + '"' for w in words) + f"), cast({i} AS int) + 1)"
     text = _texts(pick, "day(o_orderdate)", "month(o_orderdate)", "year(o_orderdate)", "weekday(o_orderdate)")
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("chat_id"), F.col("o_orderdate").alias("date"), (F.col("o_orderkey") % 3 == 0).alias("is_from_me"), F.expr(text).alias("text"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("chat_id"), F.col("o_orderdate").cast("timestamp").alias("date"), (F.col("o_orderkey") % 3 == 0).alias("is_from_me"), F.expr(text).alias("text"))
 
 
 #: The same for DuckDB.
