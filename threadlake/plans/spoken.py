@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import categories as ca
 from threadlake.functions import dates as da
+from threadlake.functions import normal as no
 from threadlake.functions import relationships as re
 from threadlake.functions import threads as th
 from threadlake.functions import tone as to
@@ -18,6 +19,7 @@ from threadlake.operators import messages as ops
 from threadlake.operators import suggestions as su
 from threadlake.plans.registry import query
 from threadlake.sources.spoken import SP, spoken_messages
+from threadlake.sources.tables import table
 
 
 def _list(words) -> str:
@@ -294,3 +296,39 @@ def relationships(spark, sf_dir):
     m = spoken_messages(spark, sf_dir).withColumn("date", F.col("date") + F.make_interval(hours=(F.col("id") % 24).cast("int")))
     names = m.select("chat_id").distinct().withColumn("name", F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("chat_id") % len(_LABELS) + 1).cast("int")))
     return re.relationships(m, names).drop("scores")
+
+
+_LINES = "array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, {inv}, '', 'g'), {sig}, '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10))".format(inv=_q(no.INVISIBLE), sig=_q(no.SIGNATURES))
+_MASKED = f"regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(u, {_q(no.CODE_CONTEXT)}) THEN regexp_replace(u, {_q(no.CODE)}, '<CODE>', 'g') ELSE u END, {_q(no.EMAIL)}, '<EMAIL>', 'g'), {_q(no.PHONE)}, '<PHONE>', 'g'), {_q(no.HANDLE)}, '<PERSON>', 'g')"
+for _kind, _p in no.CONTEXTS:
+    _MASKED = f"regexp_replace({_MASKED}, {_q(_p)}, '\\1 <{_kind}>', 'g')"
+for _sign, _name in no.EMOJI_TOKENS.items():
+    _MASKED = f"replace({_MASKED}, '{_sign}', '<EMOJI_{_name}>')"
+#: Messages with what there is to mask: an address, a number, a code, a signature, by the row's number.
+_TAILS = ("", " mail {name}@Example.org or @{name}", " the code is 48213", "\nSent from my iPhone", " +1 555 123 4567", "  two   spaces\t\n\n here", " play Lions with Anna Lee")
+_TAILED = f"concat(text, replace({_list(_TAILS).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}[id % {len(_TAILS)} + 1], '{{name}}', 'u' || chat_id))"
+
+
+@query("scl09_masked", f"""
+WITH m AS (SELECT id, {_TAILED} AS t FROM {SP}), x AS (SELECT *, {_LINES} AS u FROM m)
+SELECT id, CASE WHEN regexp_matches(trim(t), {_q(no.REACTION)}) OR regexp_matches(t, {_q(no.GARBAGE)}) THEN '' ELSE trim({_MASKED}) END AS clean FROM x""")
+def masked(spark, sf_dir):
+    """Messages with codes, entities and emoji as placeholders."""
+    tail = F.replace(F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("id") % len(_TAILS) + 1).cast("int")), F.lit("{name}"), F.concat(F.lit("u"), "chat_id"))
+    t = F.concat("text", tail)
+    return spoken_messages(spark, sf_dir).select("id", no.normalise(t, garbage=True, codes=True, entities=True, collapse=False, emoji_tokens=True).alias("clean"))
+
+
+@query("scl09_link_domains", f"SELECT page_id, 'see <URL:' || lower(regexp_extract(url, {_q(no.DOMAIN)}, 1)) || '> now' AS clean FROM pages WHERE regexp_matches(url, '(?i)^https?://[^/?#\\s]+\\S*$')")
+def link_domains(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").where(F.col("url").rlike(r"(?i)^https?://[^/?#\s]+\S*$"))
+    return p.select("page_id", no.url_domains(F.concat(F.lit("see "), "url", F.lit(" now"))).alias("clean"))
+
+
+@query("scl10_predicates", f"""
+WITH m AS (SELECT id, text AS t, trim(lower(text)) AS low FROM {SP})
+SELECT id, regexp_matches(trim(t), {_q(no.REACTION)}) AS reaction, list_contains({_list(no.ACKNOWLEDGMENTS)}, regexp_replace(low, '[.!?,;]+$', '')) OR list_contains({_list(no.ACKNOWLEDGMENTS)}, low) AS acknowledgment, regexp_matches(trim(t), '{no.EMOJI_ONLY}') AS emoji_only,
+  ({" OR ".join(f"starts_with(low, '{x}')" for x in no.TOPIC_SHIFTS)}) AS new_topic, ends_with(trim(t), '?') OR list_contains({_list(no.QUESTION_WORDS)}, regexp_extract(low, '^(\\S+)', 1)) AS question, array_to_string(regexp_extract_all(t, {_q(no.TEMPORAL)}, 0), '|') AS times FROM m""")
+def predicates(spark, sf_dir):
+    t = F.col("text")
+    return spoken_messages(spark, sf_dir).select("id", no.is_reaction(t).alias("reaction"), no.is_acknowledgment(t).alias("acknowledgment"), no.is_emoji_only(t).alias("emoji_only"), no.starts_new_topic(t).alias("new_topic"), no.is_question(t).alias("question"), F.array_join(no.temporal_refs(t), "|").alias("times"))
