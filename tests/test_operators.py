@@ -129,3 +129,13 @@ def test_resegment_sees_the_rows_before(spark, tmp_path):
     got = {r["id"]: (r["batch"], r["thread_id"]) for r in spark.read.parquet(f"{base}/threads").collect()}
     assert set(got) == {1, 2, 3, 4} and got[3][0] != got[1][0]
     assert got[1][1] == got[2][1] == got[3][1] != got[4][1]
+
+
+def test_best_templates(spark):
+    """Threshold, bounds of groups, the boost of group templates, ties, zero vectors, unknown sizes."""
+    from threadlake.operators import vectors
+
+    t = spark.createDataFrame([(1, [1.0, 0.0], False, None, None), (2, [0.995, 0.1], True, None, None), (3, [0.0, 1.0], False, 2, 4), (4, [0.0, 2.0], False, 2, 4)], "template long, embedding array<double>, is_group boolean, least int, most int")
+    rows = [(1, [2.0, 0.0], None), (2, [2.0, 0.0], 2), (3, [1.0, 0.05], 3), (4, [0.0, 5.0], 4), (5, [0.0, 5.0], 5), (6, [0.0, 0.0], 3), (7, [-1.0, 0.0], None), (8, [0.0, 5.0], None)]
+    got = {r["vec_id"]: (r["template"], r["similarity"]) for r in vectors.best_templates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, group_size int"), t).collect()}
+    assert got == {1: (1, 1.0), 2: (1, 1.0), 3: (2, 0.99874), 4: (3, 1.0), 5: (None, None), 6: (None, None), 7: (None, None), 8: (3, 1.0)}

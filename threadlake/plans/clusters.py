@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadlake.operators import clusters
+from threadlake.operators import clusters, vectors
 from threadlake.operators.text import tfidf_keywords, topic_word_array
 from threadlake.plans.registry import query
 from threadlake.sources.tables import table
@@ -66,3 +66,19 @@ def templates(spark, sf_dir):
     middle = clusters.summaries(labels, table(spark, sf_dir, "embeddings"), 1).where(F.col("n") >= FREQUENT)
     pick = clusters.examples(labels, 5)
     return middle.join(pick, "cluster").select("cluster", F.col("n").alias("frequency"), F.col("nearest")[0].alias("representative"), F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
+
+
+@query("vec16_group_templates", """
+WITH t AS (SELECT label AS template, embedding AS c, label % 3 = 0 AS is_group, CASE WHEN label % 4 = 1 THEN 2 END AS least, CASE WHEN label % 4 >= 2 THEN 4 END AS most FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+e AS (SELECT vec_id, embedding, CASE WHEN vec_id % 7 > 0 THEN (vec_id % 7)::INT END AS n FROM embeddings),
+s AS (SELECT vec_id, n, t.*, list_cosine_similarity(e.embedding::DOUBLE[], t.c::DOUBLE[]) AS sim FROM e, t),
+g AS (SELECT vec_id, arg_max({'t': template, 's': sim}, (CASE WHEN n >= 3 AND is_group THEN least(sim + 0.05, 1) ELSE sim END, -template)) AS b FROM s
+  WHERE sim >= 0.2 AND CASE WHEN n IS NULL THEN true WHEN s.least IS NULL AND most IS NULL THEN NOT is_group OR n >= 3 ELSE n >= coalesce(s.least, n) AND n <= coalesce(most, n) END GROUP BY 1)
+SELECT e.vec_id, b.t AS template, round(b.s, 5) AS similarity FROM e LEFT JOIN g USING (vec_id)""")
+def group_templates(spark, sf_dir):
+    """The first vector of each label as a template, some for groups; rows say how large their group is."""
+    e = table(spark, sf_dir, "embeddings")
+    t = e.groupBy(F.col("label").alias("template")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    t = t.select("*", (F.col("template") % 3 == 0).alias("is_group"), F.when(F.col("template") % 4 == 1, 2).alias("least"), F.when(F.col("template") % 4 >= 2, 4).alias("most"))
+    m = e.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 > 0, F.col("vec_id") % 7).alias("group_size"))
+    return vectors.best_templates(m, t, 0.2)
