@@ -104,3 +104,9 @@ def test_dates_that_are_written_out(spark):
     for r, (text, form, day, start, all_day) in zip(rows, DATES, strict=True):
         assert (r["d"] and r["d"]["form"], r["d"] and str(r["d"]["day"])) == (form, day), text
         assert (r["e"] and f"{r['e']['start']:%Y-%m-%d %H:%M}", r["e"] and r["e"]["all_day"]) == (start, all_day), text
+
+
+def test_owners(spark):
+    rows = [("my sister Anna lives in Oslo", "location", False, "third_party"), ("I live in Oslo", "location", True, "user"), ("I live in Oslo", "location", False, "contact"), ("Anna is her boss", "relationship", True, "third_party"), ("Anna is her boss", "work", True, "user"), (None, "work", True, "contact"), ("", "work", True, "contact"), ("hi", "work", None, "contact")]
+    df = spark.createDataFrame(rows, "t string, c string, m boolean, want string")
+    assert all(r[0] == r[1] for r in df.select(fc.owner(F.col("t"), F.col("c"), F.col("m")), "want").collect())

@@ -33,6 +33,8 @@ RUN_TOGETHER = r"[a-z]{2,}[A-Z][a-z]+"
 SHORT_KEPT = ("i", "a", "to", "of", "in", "at", "on")
 VAGUE_SUBJECTS = ("me", "you", "that", "this", "it", "them", "he", "she")
 TRAILING = (r"(?i)\s+(and|but|or|because|when|if|since|unless|while|though|although)$", r"(?i)\s+(is|are|was|were|be|been)$")
+RELATED = r"\b[Mm]y\s+(?:sister|brother|mom|mother|dad|father|wife|husband|girlfriend|boyfriend|partner|daughter|son|cousin|aunt|uncle|[Gg]randma|[Gg]randmother|[Gg]randpa|[Gg]randfather|friend|best friend|roommate|fiancée?|boss|coworker|colleague|neighbor)\s+"
+THIRD = r"(?i)\b(he|she|they|his|her|their|him|them)\b"
 # End of fixed values.
 
 #: Reasons in the order in which they are asked; repeated and doubtful come after all others.
@@ -128,3 +130,16 @@ def funnel(messages: DataFrame, threshold: float = 0.5) -> DataFrame:
     """chat_id, raw, kept and a count for each of REASONS: a row for each chat that has candidates."""
     counts = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
     return judged(messages, threshold).groupBy("chat_id").agg(F.count("*").alias("raw"), F.count_if(F.col("reason").isNull()).alias("kept"), *counts)
+
+
+def owner(text: Column, category: Column, mine: Column) -> Column:
+    """Whom a fact is about: a third party if its text names someone of the speaker's, or if it is of a relationship and speaks of others; else the speaker, user or contact. Null and empty texts: contact."""
+    t = F.coalesce(text, F.lit(""))
+    other = t.rlike(RELATED) | ((category == "relationship") & t.rlike(THIRD))
+    return F.when(t == "", "contact").when(other, "third_party").when(F.coalesce(mine, F.lit(False)), "user").otherwise("contact")
+
+
+def owned(found: DataFrame, messages: DataFrame) -> DataFrame:
+    """found with the owner of each fact, by the message that it is from; one whose message is not there is the contact's."""
+    m = messages.select("id", "text", "is_from_me")
+    return found.join(m, "id", "left").withColumn("owner", owner(F.col("text"), F.col("category"), F.col("is_from_me"))).drop("text", "is_from_me")

@@ -143,6 +143,13 @@ def chain_facts(spark, sf_dir):
     return fc.facts(spoken_messages(spark, sf_dir))
 
 
+@query("scl26_fact_owners", CHAIN + f""", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, category, lower(subject), predicate ORDER BY id, rule, pos) AS nth FROM judged WHERE reason IS NULL) WHERE nth = 1)
+SELECT f.id, f.category, f.subject, CASE WHEN regexp_matches(m.text, {_q(fc.RELATED)}) OR (f.category = 'relationship' AND regexp_matches(m.text, {_q(fc.THIRD)})) THEN 'third_party' WHEN m.is_from_me THEN 'user' ELSE 'contact' END AS owner FROM f JOIN {SP} m ON m.id = f.id""")
+def fact_owners(spark, sf_dir):
+    m = spoken_messages(spark, sf_dir)
+    return fc.owned(fc.facts(m), m).select("id", "category", "subject", "owner")
+
+
 @query("agg50_rejections", CHAIN + " SELECT chat_id, count(*) AS raw, count(*) FILTER (reason IS NULL) AS kept, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in fc.REASONS) + " FROM judged GROUP BY chat_id")
 def rejections(spark, sf_dir):
     """The funnel of each chat: candidates, facts, and how many each reason took out."""
