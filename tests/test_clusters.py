@@ -1,11 +1,7 @@
 """Density clusters against plain versions over all pairs, on fixtures with ties, copies, outliers, groups and odd rows."""
 
-import math
-
-import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from threadlake.operators import clusters, graph
 

@@ -350,10 +350,11 @@ def first_wins(spark, sf_dir):
     return ops.first_row(p, ["p_brand", "subject"], ["p_partkey"]).select("p_brand", "subject", F.col("p_name").alias("name"))
 
 
-@query("set06_unseen", "SELECT DISTINCT md5(text) AS fingerprint FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id < 300)")
+@query("set06_unseen", "SELECT DISTINCT md5(text) AS fingerprint FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL)")
 def unseen(spark, sf_dir):
+    """Known are the texts of documents that have labels."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("fingerprint"))
-    return ops.insert_or_ignore(d.where("doc_id < 300"), d.select("fingerprint"), ["fingerprint"])
+    return ops.insert_or_ignore(d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), d.select("fingerprint"), ["fingerprint"])
 
 
 @query("set07_postings", r"SELECT doc_id FROM documents WHERE list_has_all(string_split_regex(lower(text), '[^\p{L}]+'), ['the', 'than', 'with'])")
@@ -394,10 +395,11 @@ def upsert(spark, sf_dir):
     return ops.last_row(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], [F.col("event_id")]).select("user_id", "event_type", "value")
 
 
-@query("snk11_insert_or_ignore", "SELECT count(DISTINCT user_id) AS inserted FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id < 100)")
+@query("snk11_insert_or_ignore", "SELECT count(DISTINCT user_id) AS inserted FROM events WHERE user_id NOT IN (SELECT conv_id FROM conversations)")
 def insert_or_ignore(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id")
-    return ops.insert_or_ignore(e.where("event_id < 100"), e.select("user_id"), ["user_id"]).agg(F.count("*").alias("inserted"))
+    """Users of events into a table that has the numbers of conversations."""
+    known = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("user_id"))
+    return ops.insert_or_ignore(known, table(spark, sf_dir, "events").select("user_id"), ["user_id"]).agg(F.count("*").alias("inserted"))
 
 
 @query("snk13_partition_delete", f"SELECT id, chat_id FROM {EV} WHERE chat_id NOT IN (1, 2, 3)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import categories as ca
 from threadlake.functions import dates as da
 from threadlake.functions import normal as no
-from threadlake.functions import relationships as re
+from threadlake.functions import relationships as rel
 from threadlake.functions import threads as th
 from threadlake.functions import tone as to
 from threadlake.operators import factchain as fc
@@ -285,16 +285,16 @@ def smart_folders(spark, sf_dir):
 _LABELS = ("Mom", "Gopal Mama", "anna-babe", "Boss", "Loveday", "uncle_bob", "Ben", "Dr. Smith", "HONEY", "Jo")
 _NAMED = f"{_list(_LABELS)}[chat_id % {len(_LABELS)} + 1]"
 _WORTH = {"work_hours": "CASE WHEN hour BETWEEN 9 AND 17 AND spread < 10 THEN 0.2 ELSE 0 END", "any_hour": "least(spread / 30, 1) * 0.15", "late": "CASE WHEN hour >= 20 OR hour <= 2 THEN 0.15 ELSE 0 END", "many_emoji": "least(emoji * 50, 1) * 0.15", "few_emoji": "(1 - least(emoji * 50, 1)) * 0.15", "formal": "formal * 0.15", "casual": "(1 - formal) * 0.15", "very_often": "least(often / 5, 1) * 0.1", "medium": "CASE WHEN often BETWEEN 0.5 AND 3 THEN 1 WHEN often < 0.5 THEN often / 0.5 ELSE greatest(1 - (often - 3) / 3, 0) END * 0.1", "seldom": "CASE WHEN often < 0.5 THEN 0.1 ELSE 0 END"}
-_BONUS = {c: f"CASE WHEN list_has_any(regexp_split_to_array(lower(name), '[\\s\\-_]+'), {_list(ws)}) THEN 0.5 ELSE 0 END" for c, ws in re.NAMES.items()}
+_BONUS = {c: f"CASE WHEN list_has_any(regexp_split_to_array(lower(name), '[\\s\\-_]+'), {_list(ws)}) THEN 0.5 ELSE 0 END" for c, ws in rel.NAMES.items()}
 _SCORED = ", ".join(
-    f"{{'score': round(greatest(least(kw_{i} / greatest(n / 50, 5), 1) * 0.4 - least(anti_{i} / 5, 0.3) + {' + '.join(_WORTH[t] for t in traits)}, 0) + {_BONUS.get(c, '0')}, 9)::DOUBLE, 'o': {-i}, 'category': '{c}'}}" for i, (c, (_, _, traits)) in enumerate(re.CATEGORIES.items())
+    f"{{'score': round(greatest(least(kw_{i} / greatest(n / 50, 5), 1) * 0.4 - least(anti_{i} / 5, 0.3) + {' + '.join(_WORTH[t] for t in traits)}, 0) + {_BONUS.get(c, '0')}, 9)::DOUBLE, 'o': {-i}, 'category': '{c}'}}" for i, (c, (_, _, traits)) in enumerate(rel.CATEGORIES.items())
 )
-_COUNTED = ", ".join(f"sum(len(regexp_extract_all(low, {_q(re.pattern(w))}))) AS {k}_{i}" for i, (kw, anti, _) in enumerate(re.CATEGORIES.values()) for k, w in (("kw", kw), ("anti", anti)))
+_COUNTED = ", ".join(f"sum(len(regexp_extract_all(low, {_q(rel.pattern(w))}))) AS {k}_{i}" for i, (kw, anti, _) in enumerate(rel.CATEGORIES.values()) for k, w in (("kw", kw), ("anti", anti)))
 
 
 @query("scl16_relationships", f"""
 WITH m AS (SELECT chat_id, date + (id % 24) * INTERVAL 1 HOUR AS date, text, lower(text) AS low FROM {SP} WHERE text <> ''),
-f AS (SELECT chat_id, count(*) AS n, avg(hour(date)) AS hour, var_pop(hour(date)) AS spread, sum(len(regexp_extract_all(text, '{re.EMOJI}'))) / sum(length(text)) AS emoji, count(*) FILTER ({_any('low', re.FORMAL)}) AS fo, count(*) FILTER ({_any('low', re.INFORMAL)}) AS inf,
+f AS (SELECT chat_id, count(*) AS n, avg(hour(date)) AS hour, var_pop(hour(date)) AS spread, sum(len(regexp_extract_all(text, '{rel.EMOJI}'))) / sum(length(text)) AS emoji, count(*) FILTER ({_any('low', rel.FORMAL)}) AS fo, count(*) FILTER ({_any('low', rel.INFORMAL)}) AS inf,
   CASE WHEN count(*) >= 2 THEN floor((epoch_us(max(date)) - epoch_us(min(date))) / 86400000000.0) ELSE 1 END AS days, {_COUNTED} FROM m GROUP BY 1),
 x AS (SELECT *, CASE WHEN fo + inf > 0 THEN fo / (fo + inf) ELSE 0.5 END AS formal, n / greatest(days, 1) AS often, {_NAMED} AS name FROM f), s AS (SELECT chat_id, n, list_max([{_SCORED}]) AS best FROM x)
 SELECT chat_id, CASE WHEN n >= 10 THEN best.category ELSE 'unknown' END AS relationship, CASE WHEN n >= 10 THEN round(least(best.score / 0.6, 1), 2) ELSE 0 END::DOUBLE AS confidence, n FROM s""")
@@ -302,7 +302,7 @@ def relationships(spark, sf_dir):
     """Chats by their words, their hours (one for each number) and the contact's name."""
     m = spoken_messages(spark, sf_dir).withColumn("date", F.col("date") + F.make_interval(hours=(F.col("id") % 24).cast("int")))
     names = m.select("chat_id").distinct().withColumn("name", F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("chat_id") % len(_LABELS) + 1).cast("int")))
-    return re.relationships(m, names).drop("scores")
+    return rel.relationships(m, names).drop("scores")
 
 
 _LINES = "array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, {inv}, '', 'g'), {sig}, '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10))".format(inv=_q(no.INVISIBLE), sig=_q(no.SIGNATURES))

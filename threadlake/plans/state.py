@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threadlake.operators import adaptive, prefetch
 from threadlake.plans.registry import query
 from threadlake.session import shared_dir
-from threadlake.sources.tables import EV, event_messages, table
+from threadlake.sources.tables import EV, event_messages
 from threadlake.streaming.messages import drain, event_stream
 
 RULE = adaptive.Rule(least=30)
