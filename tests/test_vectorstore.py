@@ -92,3 +92,9 @@ def test_passages(spark):
     rows = [("s", 1, i, AT + dt.timedelta(seconds=i), i % 2 == 0, t) for i, t in enumerate(["mine", "a" * 600, "", "b" * 600, None, "c" * 600, "my end"])] + [("t", 2, 9, AT, True, "only mine"), ("u", 3, 10, AT, False, None)]
     (r,) = vs.passages(spark.createDataFrame(rows, "segment_id string, chat_id long, id long, date timestamp, is_from_me boolean, text string")).collect()
     assert (r["segment_id"], r["n"], r["context"], r["reply"]) == ("s", 7, "a" * 600 + "\n" + "b" * 399, "mine\nmy end")
+
+
+def test_line_break_at_the_end_of_a_passage(spark):
+    rows = [("s", 1, 1, dt.datetime(2024, 1, 1, 1), False, "x" * (vs.PASSAGE - 1)), ("s", 1, 2, dt.datetime(2024, 1, 1, 2), False, "y"), ("s", 1, 3, dt.datetime(2024, 1, 1, 3), False, "z")]
+    (r,) = vs.passages(spark.createDataFrame(rows, "segment_id string, chat_id long, id long, date timestamp, is_from_me boolean, text string")).collect()
+    assert r["context"] == "x" * (vs.PASSAGE - 1) + "\n"

@@ -100,12 +100,12 @@ def index_messages(messages: DataFrame, base: str, version: str, dim: int) -> in
 def passages(members: DataFrame) -> DataFrame:
     """segment_id, chat_id, timestamp, context, reply, n of members (segment_id, chat_id, id, date, is_from_me, text): what others said and what was answered, each in order, by lines, PASSAGE characters at most.
 
-    Segments without context are left out. Only messages that begin within the passage are gathered, however long a segment is.
+    Segments without context are left out. Only messages that begin within the passage, or right behind it (the line break before them is its last character), are gathered, however long a segment is.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("segment_id", "is_from_me").orderBy("date", "id").rowsBetween(Window.unboundedPreceding, -1)
-    said = members.where("text <> ''").withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))).where(F.col("before") < PASSAGE)
+    said = members.where("text <> ''").withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))).where(F.col("before") <= PASSAGE)
     part = lambda mine: F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_from_me") == mine, F.struct("date", "id", F.substring("text", 1, PASSAGE).alias("text"))))), lambda x: x["text"]), "\n"), 1, PASSAGE)
     texts = said.groupBy("segment_id").agg(part(False).alias("context"), part(True).alias("reply"))
     sizes = members.groupBy("segment_id").agg(F.first("chat_id").alias("chat_id"), F.unix_seconds(F.min("date")).alias("timestamp"), F.count("*").cast("int").alias("n"))
