@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -240,8 +242,8 @@ def embedded(df: DataFrame, name: str, text: str = "text", normalize: bool = Tru
     """df with embedding from a registered embedder, of unit length if asked (empty texts stay zero)."""
     from threadlake.operators.clusters import unit
 
-    v = EMBEDDERS[name](text)
-    return df.withColumn("embedding", (unit(v) if normalize else v).cast("array<float>"))
+    own = df.withColumn("embedding", EMBEDDERS[name](text))
+    return own.withColumn("embedding", (unit("embedding") if normalize else F.col("embedding")).cast("array<float>"))
 
 
 @embedder("letters")
@@ -253,10 +255,21 @@ def letter_embedding(text: str) -> Column:
 
 @embedder("hash")
 def hash_embedding(text: str, dim: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of hashed words."""
-    h = F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(F.pmod(x, F.lit(dim)) == i, F.when(x > 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    return F.transform(raw, lambda x: x.cast("float"))
+    """A deterministic stand-in for an embedding model: signed counts of hashed words.
+
+    Words are cut and hashed once, by Spark; Python adds the signs up for a batch at a time.
+    """
+
+    def add_up(words: pa.Array) -> pa.Array:
+        flat, at = words.flatten().to_numpy(), words.value_lengths().to_numpy()
+        n = len(at)
+        sums = np.bincount(np.repeat(np.arange(n) * dim, at) + (flat >> 1), weights=(flat & 1) * 2.0 - 1, minlength=n * dim).reshape(n, dim)
+        return pa.ListArray.from_arrays(np.arange(n + 1, dtype="int32") * dim, pa.array(sums.ravel().astype("float32")))
+
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    code = lambda w: (F.pmod(F.xxhash64(w), F.lit(dim)) * 2 + (F.xxhash64(w) > 0).cast("int")).cast("int")
+    words = F.transform(F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != ""), code)
+    return F.arrow_udf(add_up, "array<float>")(words)
 
 
 def decode_attributed_body(column: str) -> Column:

@@ -169,8 +169,8 @@ def topic_segments(spark, sf_dir):
 
 @query("udf04_hash_embedder", f"SELECT id, length(coalesce(text, '')) > 0 AS filled FROM {CV}")
 def embedder(spark, sf_dir):
-    e = chat_messages(spark, sf_dir).select("id", F.exists(of.hash_embedding("text"), lambda x: x != 0).alias("filled"))
-    return e
+    e = chat_messages(spark, sf_dir).select("id", of.hash_embedding("text").alias("embedding"))
+    return e.select("id", F.exists("embedding", lambda x: x != 0).alias("filled"))
 
 
 @query("win21_last_segment", f"SELECT chat_id, max(date) AS end_time, count(*) FILTER (date > TIMESTAMP '2024-01-20') AS fresh FROM {EV} GROUP BY 1")
