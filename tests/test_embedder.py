@@ -39,3 +39,14 @@ def test_an_index_reads_vectors_that_are_written(spark):
     m = vectorstores._messages(spark, SF)
     assert "xxhash64" not in m._jdf.queryExecution().toString()
     assert {len(r["embedding"]) for r in m.collect()} == {64}
+
+
+def test_words_that_cancel_out(spark):
+    known = codes(spark, [f"w{i}" for i in range(400)])
+    a, b = next((a, b) for a in known for b in known if known[a][0] == known[b][0] and known[a][1] > known[b][1])
+    got = vectors(spark, [f"{a} {b}", "!!", "", f"{a} {b} {a}"])
+    for i, text in enumerate((f"{a} {b}", "!!")):
+        at, sign = codes(spark, [text])[text]
+        assert got[i] == [float(sign) if k == at else 0.0 for k in range(64)]
+    assert got[2] == [0.0] * 64
+    assert [x for x in got[3] if x] == [float(known[a][1])]

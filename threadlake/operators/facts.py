@@ -255,21 +255,24 @@ def letter_embedding(text: str) -> Column:
 
 @embedder("hash")
 def hash_embedding(text: str, dim: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of hashed words.
+    """A deterministic stand-in for an embedding model: signed counts of hashed words; where they are all zero, in a text that is not empty, the text counts as one word.
 
     Words are cut and hashed once, by Spark; Python adds the signs up for a batch at a time.
     """
 
-    def add_up(words: pa.Array) -> pa.Array:
+    def add_up(words: pa.Array, whole: pa.Array) -> pa.Array:
         flat, at = words.flatten().to_numpy(), words.value_lengths().to_numpy()
         n = len(at)
         sums = np.bincount(np.repeat(np.arange(n) * dim, at) + (flat >> 1), weights=(flat & 1) * 2.0 - 1, minlength=n * dim).reshape(n, dim)
+        one = whole.fill_null(-1).to_numpy()
+        gone = np.flatnonzero(~sums.any(axis=1) & (one >= 0))
+        sums[gone, one[gone] >> 1] = (one[gone] & 1) * 2.0 - 1
         return pa.ListArray.from_arrays(np.arange(n + 1, dtype="int32") * dim, pa.array(sums.ravel().astype("float32")))
 
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     code = lambda w: (F.pmod(F.xxhash64(w), F.lit(dim)) * 2 + (F.xxhash64(w) > 0).cast("int")).cast("int")
     words = F.transform(F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != ""), code)
-    return F.arrow_udf(add_up, "array<float>")(words)
+    return F.arrow_udf(add_up, "array<float>")(words, F.when(low != "", code(low)))
 
 
 def decode_attributed_body(column: str) -> Column:
