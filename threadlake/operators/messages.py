@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.session import stored
+
 
 def between(date: str, after: object = None, before: object = None) -> Column:
     """after < date < before, both ends open; a missing end does not bound."""
@@ -132,16 +134,49 @@ def normal_phone(value: str | Column) -> Column:
     return F.when(v.isNull() | (v == ""), None).when(F.contains(v, F.lit("@")), F.lower(v)).when(v.startswith("+"), F.concat(F.lit("+"), d)).when(F.length(d) == 10, F.concat(F.lit("+1"), d)).when((F.length(d) == 11) & d.startswith("1"), F.concat(F.lit("+"), d)).otherwise(d)
 
 
+def _token_sets(df: DataFrame, text: str) -> Column:
+    """The distinct tokens of the lowered text, sorted and joined by blanks."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != ""))), " ")
+
+
+def _rarest(sets: DataFrame, other: str, least: Column) -> DataFrame:
+    """sets(u, tokens, n) by the tokens one of which each set of overlap least or more must share: tok and, as other, the other set's size.
+
+    Sets of n and m tokens with this overlap share least / (1 + least) * (n + m) tokens, o, so the n - o + 1 first of one
+    and the m - o + 1 first of the other meet, whatever the order; here rare ones come first.
+    """
+    sized = sets.withColumn("t", least - 1e-9).withColumn(other, F.explode(F.sequence(F.ceil(F.col("t") * F.col("n")).cast("int"), F.floor(F.col("n") / F.col("t")).cast("int"))))
+    share = F.ceil(F.col("t") / (1 + F.col("t")) * (F.col("n") + F.col(other))).cast("int")
+    return sized.withColumn("tok", F.explode(F.slice("tokens", F.lit(1), F.greatest(F.col("n") - share + 1, F.lit(0)))))
+
+
 def fuzzy_names(people: DataFrame, contacts: DataFrame, least: float = 0.7, gap: float = 0.2) -> DataFrame:
     """person, contact_id, score: people resolved to a contact by token overlap, where the runner-up is clearly behind.
 
-    Names meet on shared tokens; overlap follows from the token counts, so no pair without a common token is made.
+    Each distinct set of tokens is matched once. Sets meet on their rarest tokens only, as many as an overlap that counts needs: first of
+    least, for the best contact, then of the best less gap, for others that come near it. So tokens that all names have make no pairs.
     """
-    tok = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != ""))
-    p = people.select("person", tok("person").alias("t")).withColumn("np", F.size("t"))
-    c = contacts.select("contact_id", tok("name").alias("t")).withColumn("nc", F.size("t"))
-    hit = p.select("person", "np", F.explode("t").alias("tok")).join(c.select("contact_id", "nc", F.explode("t").alias("tok")), "tok")
-    s = hit.groupBy("person", "np", "contact_id", "nc").agg(F.count("*").alias("k")).withColumn("score", F.col("k") / (F.col("np") + F.col("nc") - F.col("k")))
-    w = Window.partitionBy("person").orderBy(F.desc("score"), "contact_id")
-    r = s.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
-    return r.where((F.col("rn") == 1) & (F.col("score") >= least) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= gap)).select("person", "contact_id", F.round("score", 6).alias("score"))
+    if not 0 < gap < least <= 1:
+        raise ValueError("0 < gap < least <= 1")
+    p = people.select("person", _token_sets(people, "person").alias("u")).where("u <> ''").distinct()
+    c = contacts.select("contact_id", _token_sets(contacts, "name").alias("u")).where("u <> ''").distinct()
+    own = c.groupBy("u").agg(F.min("contact_id").alias("contact_id"), F.least(F.count("*"), F.lit(2)).alias("held"))
+    known = own.select("u", "contact_id", "held", F.lit(False).alias("asks")).unionByName(p.select("u").distinct().withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    words = stored(known.select("*", F.explode(F.split("u", " ")).alias("tok")), "names")
+    seen = words.where("NOT asks").groupBy("tok").agg(F.count("*").alias("df"))
+    sets = words.join(seen, "tok", "left").groupBy("u", "asks", "contact_id", "held").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("s"))
+    sets = stored(sets.select("u", "asks", "contact_id", "held", F.col("s.tok").alias("tokens"), F.size("s").alias("n")), "names")
+    answers = _rarest(sets.where("NOT asks"), "m", F.lit(least - gap)).select("tok", F.col("m").alias("n"), F.col("n").alias("m"), F.col("u").alias("v"), "contact_id", "held")
+
+    def scored(asked: DataFrame, least: Column) -> DataFrame:
+        pairs = _rarest(asked, "m", least).select("tok", "n", "m", "u").join(answers, ["tok", "n", "m"]).drop("tok").distinct()
+        k = F.size(F.array_intersect(F.split("u", " "), F.split("v", " ")))
+        return pairs.withColumn("score", k / (F.col("n") + F.col("m") - k))
+
+    asked = sets.where("asks").select("u", "tokens", "n")
+    best = scored(asked, F.lit(least)).where(F.col("score") >= least).groupBy("u").agg(F.min_by(F.struct("contact_id", "score"), F.struct(-F.col("score"), "contact_id")).alias("b"))
+    best = stored(best.select("u", "b.contact_id", F.col("b.score").alias("best")), "names")
+    near = scored(asked.join(best.select("u", "best"), "u"), F.col("best") - gap).join(best.select("u", "best"), "u").where(F.col("best") - F.col("score") < gap)
+    alone = near.groupBy("u").agg(F.sum("held").alias("held")).where("held = 1").select("u")
+    return p.join(best, "u").join(alone, "u").select("person", "contact_id", F.round("best", 6).alias("score"))
+
