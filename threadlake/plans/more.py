@@ -113,12 +113,12 @@ def _in_parts(spark, sf_dir, parts: list[str], run) -> None:
 
 @query("str07_watermark_counts", f"SELECT event_type, count(*) AS n FROM {EV} WHERE date >= TIMESTAMP '2024-01-08' GROUP BY 1")
 def watermark_counts(spark, sf_dir):
-    """Events from the eighth of January on come in two runs; those before the sixth come last, later than the watermark lets in, and are dropped."""
+    """Events from the eighth of January on come in two runs, each a batch; those before the sixth come last, later than the watermark lets in, and are dropped."""
     ship(spark)
     out = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
 
     def run(base: str, i: int) -> None:
-        windows = st.sliding(st.event_stream(spark, f"{base}/in"), "1 day", "1 day", "1 day")
+        windows = st.sliding(st.event_stream(spark, f"{base}/in", None), "1 day", "1 day", "1 day")
         st.drain(windows, "update", lambda df, batch: st.put(df, f"{out}/rows", batch), out)
 
     _in_parts(spark, sf_dir, ["ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-20'", "ts >= TIMESTAMP '2024-01-20'", "ts < TIMESTAMP '2024-01-06'"], run)

@@ -16,10 +16,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from threadlake.session import shared_dir
 
 
-def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """events files as a stream of messages; the checkpoint holds the offset that the row-number tail had."""
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """events files as a stream of messages; the checkpoint holds the offset that the row-number tail had.
+
+    Without files_per_batch all files that a run finds are one batch. Files that one write has left are in no order of time: where a
+    watermark follows them, the first file's newest row would make the others' rows late.
+    """
     schema = spark.read.parquet(path).schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path if path.endswith("*") else f"{path}*")
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    s = reader.parquet(path if path.endswith("*") else f"{path}*")
     return s.select(F.col("event_id").alias("id"), F.col("user_id").alias("chat_id"), F.col("ts").cast("timestamp").alias("date"), F.col("event_type").isin("click", "purchase").alias("is_from_me"), "event_type", "value")
 
 
