@@ -5,6 +5,9 @@ Partitions are chats or smaller; a global order is used on already aggregated ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,30 +105,27 @@ THREADS = "id long, chat_id long, thread int"
 def bounded_threads(messages: DataFrame, gap_minutes: int = 30, longest_minutes: int = 240) -> DataFrame:
     """id, chat_id, thread: as gap_threads, but a thread also ends when it would last longer than longest_minutes.
 
-    The reset depends on where the thread began, so each gap-free run is scanned in order; runs, not chats, are
-    the groups, which keeps a busy chat from meeting in one task.
+    The reset depends on where the thread began, so each chat is read in order, as it comes from Spark's sort, by a scan that holds
+    the thread's begin and the row before: no group is gathered, neither a chat nor a thread.
     """
-    import numpy as np
-    import pandas as pd
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "id"])
-        t = pdf["date"].to_numpy("datetime64[us]").astype("int64")
-        part = np.zeros(len(t), "int64")
-        begin, k = t[0], 0
-        while True:
-            nxt = int(np.searchsorted(t, begin + longest_minutes * 60_000_000, side="right"))
-            if nxt >= len(t):
-                break
-            k += 1
-            part[nxt:] = k
-            begin = t[nxt]
-        return pd.DataFrame({"id": pdf["id"], "chat_id": pdf["chat_id"], "island": pdf["island"], "part": part})
-
-    runs = gap_threads(messages.select("id", "chat_id", "date"), gap_minutes).drop("thread_id")
-    parts = runs.groupBy("chat_id", "island").applyInPandas(scan, "id long, chat_id long, island long, part long")
-    rank = F.dense_rank().over(Window.partitionBy("chat_id").orderBy("island", "part"))
-    return parts.select("id", "chat_id", rank.alias("thread"))
+    gap, longest = gap_minutes * 60_000_000, longest_minutes * 60_000_000
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chat = before = began = None
+        thread = 0
+        for batch in batches:
+            out = []
+            for c, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not thread or c != chat:
+                    chat, began, thread = c, t, 1
+                elif t is None or before is None or t - before > gap or t - began > longest:
+                    began, thread = t, thread + 1
+                before = t
+                out.append(thread)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["id", "chat_id", "thread"])
+
+    m = messages.select("id", "chat_id", F.unix_micros("date").alias("t"))
+    return m.repartition("chat_id").sortWithinPartitions("chat_id", "t", "id").mapInArrow(scan, THREADS)
 
 
 def turns(messages: DataFrame) -> DataFrame:
