@@ -93,14 +93,10 @@ WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_i
 s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS sim FROM embeddings, q WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank FROM r WHERE rank <= 5""")
 def nearest_of_many(spark, sf_dir):
-    """A stated query set (every fiftieth row) against all rows: queries go to every task in blocks, the top is kept by pre-ranking in each task."""
-    from pyspark.sql import Window
-
+    """A stated query set (every fiftieth row) against all rows: queries go to every task in blocks, each task keeps its best."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    s = ov.similarities(e, q, "vec_id", "query_id").where("vec_id <> query_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "vec_id", "rank")
+    return ov.nearest_of_queries(e, q, 5, "vec_id", "query_id").select("query_id", "vec_id", "rank")
 
 
 def _in_parts(spark, sf_dir, parts: list[str], run) -> None:
