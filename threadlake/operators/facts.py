@@ -160,20 +160,25 @@ def passive_feedback(sent: DataFrame, suggestions: DataFrame, minutes: int = 10,
 
 def match_boundaries(detected: DataFrame, gold: DataFrame, tolerance: int = 1) -> DataFrame:
     """conv_id, tp, n_detected, n_gold: boundaries matched one to one in order, at most tolerance apart."""
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, g = (sorted(pdf.loc[pdf["side"] == k, "pos"]) for k in ("d", "g"))
-        i = j = tp = 0
-        while i < len(d) and j < len(g):
-            if abs(d[i] - g[j]) <= tolerance:
-                tp, i, j = tp + 1, i + 1, j + 1
-            elif d[i] < g[j]:
-                i += 1
-            else:
-                j += 1
-        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "tp": [tp], "n_detected": [len(d)], "n_gold": [len(g)]})
-
-    both = detected.select("conv_id", "pos", F.lit("d").alias("side")).unionByName(gold.select("conv_id", "pos", F.lit("g").alias("side")))
-    return both.groupBy("conv_id").applyInPandas(scan, "conv_id long, tp long, n_detected long, n_gold long")
+
+    def matched(detected: pa.Array, gold: pa.Array) -> pa.Array:
+        out = []
+        for d, g in zip(detected.to_pylist(), gold.to_pylist(), strict=True):
+            i = j = tp = 0
+            while i < len(d) and j < len(g):
+                if abs(d[i] - g[j]) <= tolerance:
+                    tp, i, j = tp + 1, i + 1, j + 1
+                elif d[i] < g[j]:
+                    i += 1
+                else:
+                    j += 1
+            out.append(tp)
+        return pa.array(out, pa.int64())
+
+    both = detected.select("conv_id", F.col("pos").alias("d"), F.lit(None).cast("long").alias("g")).unionByName(gold.select("conv_id", F.lit(None).cast("long").alias("d"), F.col("pos").alias("g")))
+    # conversations are short: many go to Python at once, each a row
+    own = both.groupBy("conv_id").agg(F.sort_array(F.collect_list("d")).alias("d"), F.sort_array(F.collect_list("g")).alias("g"))
+    return own.select("conv_id", F.arrow_udf(matched, "long")("d", "g").alias("tp"), F.size("d").cast("long").alias("n_detected"), F.size("g").cast("long").alias("n_gold"))
 
 
 def match_facts(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
