@@ -67,12 +67,15 @@ def sentiment_label(score: Column) -> Column:
 
 def boosted_polarity(text: str, positive: list[str], negative: list[str], intensifiers: list[str], boost: float = 1.5) -> Column:
     """Polarity of whitespace tokens: each listed token counts 1, boost right behind an intensifier; (p - n) / (p + n)."""
+    # as the one entry of an array each step is worked out once, not wherever it is used
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
     toks = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    before = F.concat(F.array(F.lit("")), toks)
-    pairs = F.arrays_zip(toks.alias("t"), F.slice(before, F.lit(1), F.size(toks)).alias("b"))
-    sums = lambda words: F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.when(x["t"].isin(words), F.when(x["b"].isin(intensifiers), boost).otherwise(1.0)).otherwise(0.0))
-    p, n = sums(positive), sums(negative)
-    return F.when(p + n > 0, (p - n) / (p + n)).otherwise(0.0)
+    weight = lambda b: F.when(b.isin(intensifiers), boost).otherwise(1.0)
+    # listed tokens with their weights; all others are left out
+    listed = lambda t: F.filter(F.transform(t, lambda x, i: F.when(x.isin([*positive, *negative]), F.struct(x.alias("t"), weight(F.when(i > 0, F.get(t, i - 1)).otherwise("")).alias("w")))), lambda x: x.isNotNull())
+    total = lambda pairs, words: F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.when(x["t"].isin(words), x["w"]).otherwise(0.0))
+    sums = once(once(toks, listed), lambda pairs: F.struct(total(pairs, positive).alias("p"), total(pairs, negative).alias("n")))
+    return once(sums, lambda s: F.when(s["p"] + s["n"] > 0, (s["p"] - s["n"]) / (s["p"] + s["n"])).otherwise(0.0))
 
 
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
