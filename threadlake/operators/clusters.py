@@ -4,7 +4,8 @@ Vectors live in the cell of their nearest pivot, of a bounded number of pivots t
 visits each other cell that can hold one: by the triangle inequality a cell is passed over when its border or its ball is farther than that.
 Cells of any size are cut into blocks, and blocks meet in tasks of their own, so no task holds more than two blocks. Tasks send back what
 a vector needs (its nearest, a count, a local spanning forest), never all pairs. Equal vectors are one vector that
-counts as often as it occurs. Distances are Euclidean, added up in one order, so that they do not depend on blocks.
+counts as often as it occurs. Within a task matrix products tell, with a bound on their rounding, which pairs can be near enough to matter;
+of these alone the distances are worked out. Distances are Euclidean, added up in one order, so that they do not depend on blocks.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from pyspark.sql import functions as F
 from threadlake.operators.graph import connected
 from threadlake.session import ship, small, stored
 
-#: Vectors of a block, pivots at most, and rows whose distances are added up together (they stay in a core's cache).
-BLOCK, PIVOTS, TILE = 1024, 256, 128
+#: Vectors of a block, components of a block (longer vectors have smaller blocks), pivots at most, and rows whose distances are added up together (they stay in a core's cache).
+BLOCK, VALUES, PIVOTS, TILE = 32768, 1 << 21, 32, 128
+#: Rows and columns of a matrix product, pairs whose distances are added up at once, and candidates of a forest that are held before it is cut to its edges.
+ROWS, COLUMNS, PAIRS, HELD = 1024, 4096, 1 << 16, 1 << 20
+#: Heights at which a first spanning tree is cut: over half of its edges, three quarters, and so on; the last one is its heaviest edge.
+LEVELS = 8
 POINT = "grp string, key long, n long, x array<double>"
 
 
@@ -52,6 +57,63 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def apart(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of rows i of a from rows j of b, the same numbers as those of distances."""
+    out = np.zeros(len(i))
+    for lo in range(0, len(i), PAIRS):
+        with np.errstate(over="ignore"):
+            d = a[i[lo : lo + PAIRS]] - b[j[lo : lo + PAIRS]]
+            np.multiply(d, d, out=d)
+            for k in range(d.shape[1]):
+                out[lo : lo + PAIRS] += d[:, k]
+    return np.sqrt(out)
+
+
+class Products:
+    """Squared distances of rows of a from rows of b by matrix products of short floats, and what their rounding can hide.
+
+    Both sides are centred and scaled first. Where that is not possible (the numbers are too large), every pair counts as near.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            middle = b.mean(axis=0)
+            x, y = a - middle, b - middle
+            self.scale = float(max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)))
+        known = bool(np.isfinite(self.scale))
+        if not known or self.scale == 0:
+            self.scale, x, y = 1.0, np.zeros(a.shape), np.zeros(b.shape)
+        x, y = ((z / self.scale).astype(np.float32) for z in (x, y))
+        nx, ny = ((z.astype(float) ** 2).sum(axis=1) for z in (x, y))
+        one = lambda n: np.ones((n, 1), np.float32)
+        self.x = np.hstack([-2 * x, nx[:, None].astype(np.float32), one(len(x))])
+        self.y = np.ascontiguousarray(np.hstack([y, one(len(y)), ny[:, None].astype(np.float32)]).T)
+        self.slack = float(16 * (a.shape[1] + 4) * 2.0**-24 * (nx.max(initial=0) + ny.max(initial=0)) + 1e-30) if known else np.inf
+        self.slack += a.shape[1] * 1e-307 / self.scale / self.scale  # squares of differences that are too small for a double
+
+    def squares(self, rows: slice, columns: slice) -> np.ndarray:
+        return self.x[rows] @ self.y[:, columns]
+
+    def limit(self, reach: np.ndarray | float) -> np.ndarray:
+        """What squares of pairs within reach do not exceed."""
+        with np.errstate(over="ignore"):
+            return ((np.asarray(reach) / self.scale) ** 2 * (1 + 1e-6) + self.slack).astype(np.float32)
+
+    def within(self, reach: float) -> np.float32:
+        """Pairs whose squares do not exceed this are within reach for certain."""
+        with np.errstate(over="ignore"):
+            return np.float32((reach / self.scale) ** 2 * (1 - 1e-6) - self.slack)
+
+    def reach(self, squares: np.ndarray) -> np.ndarray:
+        """The largest distance that such squares can stand for."""
+        with np.errstate(over="ignore"):
+            return np.sqrt(np.maximum(squares.astype(float), 0) + self.slack) * self.scale * (1 + 1e-6)
+
+
+def _parts(n: int, size: int) -> list[slice]:
+    return [slice(lo, min(lo + size, n)) for lo in range(0, n, size)]
+
+
 def points(vectors: DataFrame, key: str, v: str | Column, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors (grp, key, n, x) named by their smallest key, and members (grp, key, rep): the name of each row's vector.
 
@@ -87,8 +149,13 @@ class Cells:
         for r in self.rows.groupBy("cell").agg(F.max("home").alias("r")).collect():
             self.radii[r["cell"]] = r["r"]
 
-    def visitors(self, rows: DataFrame) -> DataFrame:
-        """rows (with reach) once for each other cell that can hold a vector within their reach."""
+    @property
+    def block(self) -> int:
+        """Vectors of a block."""
+        return max(1, min(BLOCK, VALUES // max(1, self.pivots.shape[1]))) if len(self.pivots) else BLOCK
+
+    def visitors(self, rows: DataFrame, upward: bool = False) -> DataFrame:
+        """rows (with reach) once for each other cell that can hold a vector within their reach; upward: of two cells rows of the first visit the second."""
         pivots, radii = self.pivots, self.radii
         names = rows.columns
         at = [names.index(c) for c in ("x", "cell", "home", "reach")]
@@ -100,6 +167,8 @@ class Cells:
                 # rounding of either bound must not hide a neighbour
                 near = np.maximum(far - radii, (far - home[:, None]) / 2) <= reach[:, None] + 1e-9 * (1 + far)
                 near[np.arange(len(x)), cell] = False
+                if upward:
+                    near &= np.arange(len(pivots))[None, :] > cell[:, None]
                 i, c = np.nonzero(near)
                 out = batch.take(pa.array(i))
                 yield out.set_column(at[1], "cell", pa.array(c.astype(np.int32)))
@@ -107,10 +176,10 @@ class Cells:
         return rows.mapInArrow(run, rows.schema)
 
 
-def meet(home: DataFrame, asking: DataFrame, kernel: Callable[[pa.Table, pa.Table], dict], schema: str) -> DataFrame:
+def meet(home: DataFrame, asking: DataFrame, kernel: Callable[[pa.Table, pa.Table], dict], schema: str, block: int) -> DataFrame:
     """kernel(home rows, asking rows) for all blocks of the same group and cell; both tables have the same columns, with grp, key and cell."""
     names = home.columns
-    size = lambda rows, c: rows.groupBy("grp", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
+    size = lambda rows, c: rows.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias(c))
     grid = small(stored(size(home, "hs").join(size(asking, "asks"), ["grp", "cell"]), "grid"))
     part = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -135,26 +204,45 @@ def nearest_neighbours(cells: Cells, k: int) -> DataFrame:
     """grp, key, other, apart, n: of each point its k nearest others (ties by key), exact. First in its own cell, then in the cells that can hold nearer ones."""
 
     def kernel(home: pa.Table, asking: pa.Table) -> dict:
-        hk, ak, n = (t.column(c).to_numpy() for t, c in ((home, "key"), (asking, "key"), (home, "n")))
-        order = np.argsort(hk)
-        d = distances(_matrix(asking.column("x")), _matrix(home.column("x"))[order])
-        d[ak[:, None] == hk[order][None, :]] = np.inf
-        far = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.inf
-        row, col = np.nonzero((d <= far) & np.isfinite(d))
-        apart = d[row, col]
-        first = np.lexsort((col, apart, row))  # columns stand in the order of keys
-        first = first[np.arange(len(row)) - np.searchsorted(row, row) < k]
-        at = order[col[first]]
-        return {"key": ak[row[first]], "other": hk[at], "apart": apart[first], "n": n[at]}
+        hk, ak, n, reach = (t.column(c).to_numpy() for t, c in ((home, "key"), (asking, "key"), (home, "n"), (asking, "reach")))
+        order = np.argsort(hk)  # columns stand in the order of keys
+        hk, n, a, b = hk[order], n[order], _matrix(asking.column("x")), _matrix(home.column("x"))[order]
+        products, out = Products(a, b), []
+        for rows in _parts(len(ak), ROWS):
+            most, keys, own = reach[rows].copy(), ak[rows], a[rows]
+            r, c, far = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            for columns in _parts(len(hk), COLUMNS):
+                squares = products.squares(rows, columns)
+                if squares.shape[1] > k and np.isinf(most).any():
+                    # one more than k, as a point may be its own neighbour here
+                    most = np.minimum(most, products.reach(np.partition(squares, k, axis=1)[:, k]))
+                i, j = np.nonzero(squares <= products.limit(most)[:, None])
+                j += columns.start
+                other = keys[i] != hk[j]
+                i, j = i[other], j[other]
+                d = apart(own, i, b, j)
+                near = d <= most[i]
+                r, c, far = np.concatenate([r, i[near]]), np.concatenate([c, j[near]]), np.concatenate([far, d[near]])
+                first = np.lexsort((c, far, r))
+                r, c, far = r[first], c[first], far[first]
+                at = np.arange(len(r)) - np.searchsorted(r, r)
+                r, c, far, at = r[at < k], c[at < k], far[at < k], at[at < k]
+                last = at == k - 1
+                most[r[last]] = np.minimum(most[r[last]], far[last])
+            out.append((keys[r], hk[c], far, n[c]))
+        return dict(zip(("key", "other", "apart", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True))
 
     schema = "grp string,key long,other long,apart double,n long"
     best = Window.partitionBy("grp", "key").orderBy("apart", "other")
     top = lambda df: df.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     base = cells.rows.select("grp", "key", "n", "x", "cell", "home")
-    first = stored(top(meet(base, base, kernel, schema)), "near")
+    own = base.withColumn("reach", F.lit(float("inf")))
+    first = stored(top(meet(own, own, kernel, schema, cells.block)), "near")
+    if len(cells.pivots) < 2:
+        return first
     reach = first.groupBy("grp", "key").agg(F.when(F.count("*") >= k, F.max("apart")).otherwise(F.lit(float("inf"))).alias("reach"))
-    asking = cells.visitors(base.join(reach, ["grp", "key"], "left").fillna(float("inf"), "reach")).select(base.columns)
-    return top(first.unionByName(meet(base, asking, kernel, schema)))
+    asking = stored(cells.visitors(base.join(reach, ["grp", "key"], "left").fillna(float("inf"), "reach").select(own.columns)), "asking")
+    return top(first.unionByName(meet(own, asking, kernel, schema, cells.block)))
 
 
 def core_distances(cells: Cells, near: DataFrame, least: int) -> DataFrame:
@@ -165,47 +253,27 @@ def core_distances(cells: Cells, near: DataFrame, least: int) -> DataFrame:
     return own.join(reached, ["grp", "key"], "left").select("grp", "key", F.when(F.col("copies") >= least, 0.0).otherwise(F.col("far")).alias("core"))
 
 
-def local_forest(w: np.ndarray, d: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Edges (row, col) of the minimum spanning forest of a table of weights between keys, in the order of (w, d, smaller key, larger key); inf is no edge.
-
-    Borůvka's rounds on arrays; rows and cols are ascending keys that may overlap.
-    """
-    keys, at = np.unique(np.concatenate([rows, cols]), return_inverse=True)
-    r, c = at[: len(rows)], at[len(rows) :]
-    comp = np.arange(len(keys))
-    found: set[tuple[int, int]] = set()
+def edge_forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Places, ascending, of the edges (x, y) between nodes 0 to n - 1 that make the minimum spanning forest in the order in which they stand; Borůvka's rounds on arrays."""
+    comp, e, kept = np.arange(n), np.arange(len(x)), [np.zeros(0, int)]
     while True:
-        open_ = np.where(comp[r][:, None] != comp[c][None, :], w, np.inf)
-        least: dict[int, tuple] = {}
-        for axis in (1, 0):
-            low = open_.min(axis=axis, initial=np.inf)
-            tied = np.where(open_ == np.expand_dims(low, axis), d, np.inf)
-            pick = tied.argmin(axis=axis)  # the first is the smallest key
-            for i in np.flatnonzero(np.isfinite(low)).tolist():
-                a, b = (i, int(pick[i])) if axis else (int(pick[i]), i)
-                x, y = sorted((int(keys[r[a]]), int(keys[c[b]])))
-                edge = (float(low[i]), float(d[a, b]), x, y, a, b)
-                own = int(comp[r[a]] if axis else comp[c[b]])
-                if own not in least or edge < least[own]:
-                    least[own] = edge
-        if not least:
-            break
-        up = np.arange(len(keys))
-
-        def top(i: int, up: np.ndarray = up) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = int(up[i])
-            return i
-
-        for e in sorted(set(least.values())):
-            x, y = top(int(comp[r[e[4]]])), top(int(comp[c[e[5]]]))
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                found.add(e[4:])
-        comp = np.array([top(int(i)) for i in comp])
-    a, b = (np.array(z, int) for z in zip(*sorted(found), strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-    return a, b
+        open_ = comp[x[e]] != comp[y[e]]
+        e = e[open_]
+        if not len(e):
+            return np.sort(np.concatenate(kept))
+        first = np.full(n, len(x))
+        np.minimum.at(first, comp[x[e]], e)
+        np.minimum.at(first, comp[y[e]], e)
+        c = np.flatnonzero(first < len(x))
+        pick = first[c]
+        kept.append(np.unique(pick))
+        up = np.arange(n)
+        up[c] = np.where(comp[x[pick]] == c, comp[y[pick]], comp[x[pick]])
+        both = c[(up[up[c]] == c) & (c < up[c])]  # two that choose each other: the smaller is the root
+        up[both] = both
+        while (up[up] != up).any():
+            up = up[up]
+        comp = up[comp]
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -237,40 +305,138 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return stored(forest, "forest") if forest is not None else edges.select("grp", "a", "b", "w", "d").where("false")
 
 
+def _levels(tree: DataFrame) -> DataFrame:
+    """grp, key, heights, comps of spanning trees (grp, a, b, w, d): LEVELS heights, ascending to that of the heaviest edge, and what edges up to each of them connect the point with.
+
+    A tree, three numbers a vector, is cut by one task, as for the labels.
+    """
+
+    def run(edges: pd.DataFrame) -> pd.DataFrame:
+        w = edges["w"].to_numpy()
+        order = np.argsort(w, kind="stable")
+        keys, ends = np.unique(np.concatenate([edges["a"], edges["b"]]), return_inverse=True)
+        w, x, y = w[order], ends[: len(w)][order], ends[len(w) :][order]
+        heights = [float(w[int(len(w) * (1 - 0.5**t))]) for t in range(1, LEVELS)] + [float(w[-1])]
+        up, done, comps = list(range(len(keys))), 0, []
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for h in heights:
+            while done < len(w) and w[done] <= h:
+                up[top(int(x[done]))] = top(int(y[done]))
+                done += 1
+            comps.append([top(i) for i in range(len(keys))])
+        return pd.DataFrame({"grp": edges["grp"].iloc[0], "key": keys, "heights": [heights] * len(keys), "comps": np.array(comps, np.int32).T.tolist()})
+
+    return tree.groupBy("grp").applyInPandas(run, "grp string, key long, heights array<double>, comps array<int>")
+
+
+def _lighter(home: pa.Table, asking: pa.Table) -> dict:
+    """Edges a, b, w, d between two blocks of points that can be in the minimum spanning tree of mutual reachability, given a tree cut at heights.
+
+    A pair that the tree connects at a height is in it only if it is not heavier. Of pairs heavier than the last height but one between the same two
+    parts below that height only the lightest can be.
+    """
+    sides = []
+    for t in (home, asking):
+        comps = t.column("comps").combine_chunks().flatten().to_numpy().reshape(-1, LEVELS)
+        key = t.column("key").to_numpy()
+        o = np.lexsort((key, *comps.T))  # parts lie side by side, those of the greatest height first of all
+        sides.append((key[o], t.column("core").to_numpy()[o], _matrix(t.column("x"))[o], comps[o]))
+    (hk, hc, hx, hp), (ak, ac, ax, ap) = sides
+    heights = home.column("heights")[0].as_py()
+    products = Products(hx, ax)
+    keys, at = np.unique(np.concatenate([hk, ak]), return_inverse=True)
+    at_h, at_a = at[: len(hk)], at[len(hk) :]
+    limits = [products.limit(h) for h in heights]
+    with np.errstate(over="ignore"):
+        h2, a2 = (((c / products.scale) ** 2).astype(np.float32) for c in (hc, ac))
+    none = np.zeros(0, int)
+    kept = (none, none, np.zeros(0), np.zeros(0))  # places of both keys, weight, distance
+    held: list[tuple] = [kept]
+
+    def cut() -> tuple:
+        i, j, w, d = (np.concatenate(z) for z in zip(*held, strict=True))
+        order = np.lexsort((j, i, d, w))
+        i, j, w, d = i[order], j[order], w[order], d[order]
+        f = edge_forest(i, j, len(keys))
+        return i[f], j[f], w[f], d[f]
+
+    for rows in _parts(len(hk), ROWS):
+        p = hp[rows]
+        for columns in _parts(len(ak), COLUMNS):
+            q = ap[columns]
+            squares = products.squares(rows, columns)
+            found = np.zeros(squares.shape, bool)
+            for t, limit in enumerate(limits):
+                x, y = p[:, t], q[:, t]
+                if t == LEVELS - 1:
+                    found |= _lightest(np.maximum(np.maximum(squares, h2[rows][:, None]), a2[columns][None, :]), p[:, t - 1], q[:, t - 1], limits[t - 1], limit, products.slack)
+                    break
+                alike = bool((x == x[0]).all() and (y == x[0]).all())
+                if not alike and not np.isin(x, y).any():
+                    continue
+                near = squares <= limit
+                if not alike:
+                    near &= x[:, None] == y[None, :]
+                near &= (hc[rows] <= heights[t])[:, None]
+                near &= (ac[columns] <= heights[t])[None, :]
+                found |= near
+                if alike:
+                    break
+            i, j = np.nonzero(found)
+            i, j = i + rows.start, j + columns.start
+            other = hk[i] != ak[j]
+            i, j = i[other], j[other]
+            if not len(i):
+                continue
+            d = apart(hx, i, ax, j)
+            u, v = at_h[i], at_a[j]
+            held.append((np.minimum(u, v), np.maximum(u, v), np.maximum(np.maximum(hc[i], ac[j]), d), d))
+            if sum(len(z[0]) for z in held) > HELD:
+                held[:] = [cut()]
+    i, j, w, d = cut()
+    return {"a": keys[i], "b": keys[j], "w": w, "d": d}
+
+
+def _lightest(squares: np.ndarray, p: np.ndarray, q: np.ndarray, low: np.float32, high: np.float32, slack: float) -> np.ndarray:
+    """Which pairs of different parts (p of the rows, q of the columns, each part in one run) are under low, or under high and perhaps the lightest of their two parts."""
+    starts = [np.flatnonzero(np.r_[True, z[1:] != z[:-1]]) for z in (p, q)]
+    runs = [np.diff(np.r_[s, len(z)]) for s, z in zip(starts, (p, q), strict=True)]
+    least = np.minimum.reduceat(np.minimum.reduceat(squares, starts[0], axis=0), starts[1], axis=1)
+    most = np.minimum(np.maximum(least * np.float32(1 + 1e-6) + np.float32(2 * slack), low), high)
+    most[p[starts[0]][:, None] == q[starts[1]][None, :]] = -np.inf
+    return squares <= np.repeat(np.repeat(most, runs[0], axis=0), runs[1], axis=1)
+
+
 def reachability_tree(cells: Cells, near: DataFrame, core: DataFrame) -> DataFrame:
     """grp, a, b, w, d: the minimum spanning tree of mutual reachability, max(core, core, distance), of each group's points.
 
-    The edges to near neighbours, and edges to one point from components that they leave apart, span each group, so no edge of the tree is
-    heavier than the heaviest of them; the neighbours within that distance hold the tree. Blocks send their local forests.
+    The edges to near neighbours, and edges to one point from components that they leave apart, span each group. Their tree, cut at some heights,
+    tells which other pairs can be lighter than the way between them: first those within cells, then, by the better tree, those between cells.
     """
     rows = stored(cells.rows.join(core, ["grp", "key"]), "cored")
     low = core.select("grp", F.col("key").alias("other"), F.col("core").alias("core2"))
     weight = F.greatest("core", "core2", "apart")
-    short = near.join(core, ["grp", "key"]).join(low, ["grp", "other"]).select("grp", "key", "other", weight.alias("w"))
-    comp = connected(short.select(F.xxhash64("grp", "key").alias("a"), F.xxhash64("grp", "other").alias("b")))
+    short = stored(near.join(core, ["grp", "key"]).join(low, ["grp", "other"]).select("grp", F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), weight.alias("w"), F.col("apart").alias("d")), "short")
+    comp = connected(short.select(F.xxhash64("grp", "a").alias("a"), F.xxhash64("grp", "b").alias("b")))
     named = rows.withColumn("node", F.xxhash64("grp", "key")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     reps = named.groupBy("grp", "comp").agg(F.min_by(F.struct("key", "x", "core"), "key").alias("p"))
     hub = reps.groupBy("grp").agg(F.min_by("p", "p.key").alias("hub"))
-    apart = F.sqrt(F.aggregate(F.zip_with("p.x", "hub.x", lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda s, t: s + t))
-    far = reps.join(hub, "grp").select("grp", F.greatest(apart, "p.core", "hub.core").alias("w"))
-    most = stored(short.select("grp", "w").union(far).groupBy("grp").agg((F.max("w") * (1 + 1e-9)).alias("reach")), "reach")
-
-    def kernel(home: pa.Table, asking: pa.Table) -> dict:
-        sides = []
-        for t in (home, asking):
-            k = t.column("key").to_numpy()
-            o = np.argsort(k)
-            sides.append((k[o], t.column("core").to_numpy()[o], _matrix(t.column("x"))[o]))
-        (hk, hc, hx), (ak, ac, ax) = sides
-        d = distances(hx, ax)
-        w = np.maximum(np.maximum(hc[:, None], ac[None, :]), d)
-        w[(hk[:, None] == ak[None, :]) | (w > home.column("reach")[0].as_py())] = np.inf
-        i, j = local_forest(w, d, hk, ak)
-        return {"a": np.minimum(hk[i], ak[j]), "b": np.maximum(hk[i], ak[j]), "w": w[i, j], "d": d[i, j]}
-
-    base = rows.join(small(most), "grp").select("grp", "key", "n", "x", "cell", "home", "core", "reach")
-    asking = base.unionByName(cells.visitors(base))
-    return spanning_forest(meet(base, asking, kernel, "grp string,a long,b long,w double,d double"))
+    far = F.sqrt(F.aggregate(F.zip_with("p.x", "hub.x", lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda s, t: s + t))
+    spokes = reps.join(hub, "grp").where("p.key <> hub.key").withColumn("d", far)
+    spokes = spokes.select("grp", F.least("p.key", "hub.key").alias("a"), F.greatest("p.key", "hub.key").alias("b"), F.greatest("p.core", "hub.core", "d").alias("w"), "d")
+    tree = spanning_forest(short.unionByName(spokes).where(F.col("w") < float("inf")))
+    schema = "grp string,a long,b long,w double,d double"
+    for between in (False, True) if len(cells.pivots) > 1 else (False,):
+        base = stored(rows.join(_levels(tree), ["grp", "key"]).select("grp", "key", "n", "x", "cell", "home", "core", "heights", "comps", (F.element_at("heights", -1) * (1 + 1e-9)).alias("reach")), "levels")
+        asking = stored(cells.visitors(base, upward=True), "asking") if between else base
+        tree = spanning_forest(tree.unionByName(meet(base, asking, _lighter, schema, cells.block)))
+    return tree
 
 
 def condensed_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, d: np.ndarray, least: int) -> dict[int, int]:
@@ -381,49 +547,108 @@ def dbscan(vectors: DataFrame, eps: float, least_rows: int, key: str = "vec_id",
     own = own.fillna("\0null", "grp")
     cells = Cells(own)
     base = cells.rows.withColumn("reach", F.lit(float(eps)))
-    asking = stored(base.unionByName(cells.visitors(base)), "asking")
-
-    def counts(home: pa.Table, others: pa.Table) -> dict:
-        d = distances(_matrix(home.column("x")), _matrix(others.column("x")))
-        return {"key": home.column("key").to_numpy(), "rows": ((d <= eps) * others.column("n").to_numpy()[None, :]).sum(axis=1)}
-
-    core = stored(meet(base, asking, counts, "grp string,key long,rows long").groupBy("grp", "key").agg((F.sum("rows") >= least_rows).alias("core")), "core")
-
-    def links(home: pa.Table, others: pa.Table) -> dict:
-        """A forest of links between core rows, and of each other row a link to one core row of each local component."""
-        hk, ak, hc, ac = (t.column(c).to_numpy(zero_copy_only=False) for c in ("key", "core") for t in (home, others))
-        near = distances(_matrix(home.column("x")), _matrix(others.column("x"))) <= eps
-        oh, oa = np.argsort(hk), np.argsort(ak)
-        hk, ak, hc, ac, near = hk[oh], ak[oa], hc[oh].astype(bool), ac[oa].astype(bool), near[np.ix_(oh, oa)]
-        both = near & hc[:, None] & ac[None, :] & (hk[:, None] != ak[None, :])
-        i, j = local_forest(np.where(both, 1.0, np.inf), np.zeros(near.shape), hk, ak)
-        a, b, kind = [*hk[i]], [*ak[j]], [0] * len(i)
-        up = {int(k): int(k) for k in ak[ac]} | {int(k): int(k) for k in hk[hc]}
-
-        def top(x: int) -> int:
-            while up[x] != x:
-                x = up[x]
-            return x
-
-        for x, y in zip(hk[i].tolist(), ak[j].tolist(), strict=True):
-            x, y = top(x), top(y)
-            up[max(x, y)] = min(x, y)
-        edge = near & ~hc[:, None] & ac[None, :]
-        for h in np.flatnonzero(edge.any(axis=1)).tolist():
-            for k in {top(int(x)) for x in ak[edge[h]]}:
-                a.append(hk[h])
-                b.append(k)
-                kind.append(1)
-        return {"a": a, "b": b, "border": kind}
-
-    with_core = lambda rows: rows.join(core.select("grp", "key", F.col("core").cast("int").alias("core")), ["grp", "key"]).select("grp", "key", "n", "x", "cell", "core")
-    found = stored(meet(with_core(base), with_core(asking), links, "grp string,a long,b long,border long"), "links")
+
+    def counts(home: pa.Table, asking: pa.Table) -> dict:
+        """Of each asking row the rows within eps, or so many that it is a core row."""
+        a, b = _matrix(asking.column("x")), _matrix(home.column("x"))
+        n = np.minimum(home.column("n").to_numpy(), least_rows).astype(float)
+        products, rows, single = Products(a, b), np.zeros(len(a), np.int64), bool((n == 1).all())
+        sure, maybe = products.within(eps), products.limit(eps)
+        for part in _parts(len(a), ROWS):
+            for columns in _parts(len(b), COLUMNS):
+                few = np.flatnonzero(rows[part] < least_rows) + part.start
+                if not len(few):
+                    break
+                squares = products.squares(few, columns)
+                near = squares <= sure
+                i, j = np.nonzero((squares <= maybe) & ~near)
+                near[i, j] = apart(a, few[i], b, j + columns.start) <= eps
+                rows[few] += np.count_nonzero(near, axis=1) if single else (near @ n[columns]).astype(np.int64)
+        return {"key": asking.column("key").to_numpy(), "rows": rows}
+
+    schema = "grp string,key long,rows long"
+    own = stored(meet(base, base, counts, schema, cells.block).groupBy("grp", "key").agg(F.sum("rows").alias("rows")), "counts")
+    if len(cells.pivots) > 1:
+        few = base.join(own.where(F.col("rows") < least_rows).select("grp", "key"), ["grp", "key"]).select(base.columns)
+        own = own.unionByName(meet(base, stored(cells.visitors(few), "asking"), counts, schema, cells.block)).groupBy("grp", "key").agg(F.sum("rows").alias("rows"))
+    core = stored(own.select("grp", "key", (F.col("rows") >= least_rows).alias("core")), "core")
+
+    def links(home: pa.Table, asking: pa.Table) -> dict:
+        """A forest of links between core rows of different components."""
+        sides = []
+        for t in (home, asking):
+            key, comp = t.column("key").to_numpy(), t.column("comp").to_numpy()
+            o = np.lexsort((key, comp))
+            sides.append((key[o], comp[o], _matrix(t.column("x"))[o]))
+        (hk, hp, hx), (ak, ap, ax) = sides
+        products = Products(hx, ax)
+        sure, maybe = products.within(eps), products.limit(eps)
+        parts, at = np.unique(np.concatenate([hp, ap]), return_inverse=True)
+        h, a = at[: len(hk)], at[len(hk) :]
+        up, found = np.arange(len(parts)), []
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = int(up[i])
+            return i
+
+        def tops(i: np.ndarray) -> np.ndarray:
+            z = up[i]
+            while (up[z] != z).any():
+                z = up[z]
+            return z
+
+        for rows in _parts(len(hk), ROWS):
+            for columns in _parts(len(ak), COLUMNS):
+                x, y = tops(h[rows]), tops(a[columns])
+                if (x == x[0]).all() and (y == x[0]).all():
+                    continue
+                squares = products.squares(rows, columns)
+                near = (squares <= maybe) & (x[:, None] != y[None, :])
+                # each column takes a row that is near, until no two components are
+                while len(j := np.flatnonzero(near.any(axis=0))):
+                    i = near[:, j].argmax(axis=0)
+                    good = squares[i, j] <= sure
+                    good[~good] = apart(hx, i[~good] + rows.start, ax, j[~good] + columns.start) <= eps
+                    near[i[~good], j[~good]] = False
+                    for r, c in zip((i[good] + rows.start).tolist(), (j[good] + columns.start).tolist(), strict=True):
+                        u, v = top(int(h[r])), top(int(a[c]))
+                        if u != v:
+                            up[max(u, v)] = min(u, v)
+                            found.append((hk[r], ak[c]))
+                    near &= tops(h[rows])[:, None] != tops(a[columns])[None, :]
+        one, two = np.array(found, np.int64).reshape(-1, 2).T
+        return {"a": one, "b": two}
+
+    def borders(home: pa.Table, asking: pa.Table) -> dict:
+        """The core rows within eps of the asking rows, which are no core rows and so have few."""
+        a, b = _matrix(asking.column("x")), _matrix(home.column("x"))
+        ak, hk, products, out = asking.column("key").to_numpy(), home.column("key").to_numpy(), Products(a, b), []
+        for rows in _parts(len(a), ROWS):
+            for columns in _parts(len(b), COLUMNS):
+                i, j = np.nonzero(products.squares(rows, columns) <= products.limit(eps))
+                i, j = i + rows.start, j + columns.start
+                near = apart(a, i, b, j) <= eps
+                out.append((ak[i[near]], hk[j[near]]))
+        return dict(zip("ab", map(np.concatenate, zip(*out, strict=True)), strict=True))
+
+    schema = "grp string,a long,b long"
     node = lambda c: F.xxhash64("grp", c)
-    comp = connected(found.where("border = 0").select(node("a").alias("a"), node("b").alias("b")))
+    cored = stored(base.join(core, ["grp", "key"]).select(*base.columns, "core", node("key").alias("comp")), "cored")
+    dense, sparse = cored.where("core").drop("core"), cored.where("NOT core").drop("core")
+    edges = stored(meet(dense, dense, links, schema, cells.block), "links")
+    comp = connected(edges.select(node("a").alias("a"), node("b").alias("b")))
+    if len(cells.pivots) > 1:
+        named = dense.withColumnRenamed("comp", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select(dense.columns)
+        dense = stored(named, "dense")
+        across = meet(dense, stored(cells.visitors(dense, upward=True), "asking"), links, schema, cells.block)
+        comp = connected(edges.unionByName(across).select(node("a").alias("a"), node("b").alias("b")))
+    beside = meet(dense, stored(sparse.unionByName(cells.visitors(sparse)), "asking"), borders, schema, cells.block)
     cores = core.where("core").select("grp", "key", node("key").alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = cores.groupBy("comp").agg(F.min("key").alias("cluster"))
     cores = stored(cores.join(names, "comp").select("grp", "key", "cluster"), "cores")
-    border = found.where("border = 1").join(cores.withColumnRenamed("key", "b"), ["grp", "b"]).groupBy("grp", F.col("a").alias("key")).agg(F.min("cluster").alias("cluster"))
+    border = beside.join(cores.withColumnRenamed("key", "b"), ["grp", "b"]).groupBy("grp", F.col("a").alias("key")).agg(F.min("cluster").alias("cluster"))
     labels = cores.unionByName(border).withColumnRenamed("key", "rep")
     rows = members.fillna("\0null", "grp").join(core.withColumnRenamed("key", "rep"), ["grp", "rep"]).join(labels, ["grp", "rep"], "left")
     return rows.select(F.when(F.col("grp") != "\0null", F.col("grp")).alias("grp"), "key", "core", "cluster")
