@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from threadlake.session import ship
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -111,11 +113,24 @@ def _settled(now: list[float] | None, n: np.ndarray, good: np.ndarray, rule: Rul
     return now, now, False
 
 
+def counted(batches: Iterator[pd.DataFrame], sizes: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and accepted ones by bucket of each period of rows (period, bucket, good); of the batches one is held at a time."""
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for rows in batches:
+        for p, own in rows.groupby("period"):
+            n, good = out.setdefault(int(p), (np.zeros(sizes, np.int64), np.zeros(sizes, np.int64)))
+            n += np.bincount(own["bucket"], minlength=sizes)
+            good += np.bincount(own["bucket"], weights=own["good"], minlength=sizes).astype(np.int64)
+        rows = own = None  # noqa: F841, PLW2901
+    return out
+
+
 def adapted_stream(feedback: DataFrame, hours: int = 168, rule: Rule = Rule()) -> DataFrame:
     """As adapted, of a stream of feedback whose periods come one after another: a row when a period is over, that is when a later one begins.
 
     The state of a key is its thresholds and the counts of the open period by bucket, whatever it has seen. Rows of a period that is over are dropped.
     """
+    ship(feedback.sparkSession)
     sizes = rule.buckets
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -124,17 +139,16 @@ def adapted_stream(feedback: DataFrame, hours: int = 168, rule: Rule = Rule()) -
             held: tuple[Any, ...] = state.get
             now, period, n, good = (list(held[0]) if held[0] else None), held[1], np.array(held[2]), np.array(held[3])
         out = []
-        rows = pd.concat(list(batches))
-        for p, own in rows.groupby("period"):  # ascending
+        for p, (more, better) in sorted(counted(batches, sizes).items()):
             if period is not None and p < period:
                 continue
             if period is not None and p > period:
                 now, shown, few = _settled(now, n, good, rule)
                 out.append((key[0], period, int(n.sum()), *shown, few))
                 n, good = np.zeros(sizes, np.int64), np.zeros(sizes, np.int64)
-            period = int(p)
-            n += np.bincount(own["bucket"], minlength=sizes)
-            good += np.bincount(own["bucket"], weights=own["good"], minlength=sizes).astype(np.int64)
+            period = p
+            n += more
+            good += better
         state.update((now or [], period, n.tolist(), good.tolist()))
         if out:
             yield pd.DataFrame(out, columns=["key", "period", "n", *NAMES, "fallback"])
