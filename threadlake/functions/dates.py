@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadlake.functions.text import once
+
 # Words and patterns must equal the studied definitions.
 EVENT_WORDS = ("meeting", "appointment", "call", "interview", "dinner", "lunch", "breakfast", "coffee", "party", "event", "conference", "webinar", "session", "class", "lesson", "workout", "gym", "doctor", "dentist", "flight", "trip", "vacation", "birthday", "anniversary", "wedding", "concert", "show", "game", "match", "reservation")
 DAYS_AHEAD = (("today", 0), ("tomorrow", 1), ("next week", 7))
@@ -38,20 +40,25 @@ def free_date(sentence: Column, now: Column) -> Column:
 
     A year that is missing is now's, of two digits in this century; "the 5th" is of now's month. In numbers the month comes first.
     """
-    low = F.lower(F.coalesce(sentence, F.lit("")))
-    found = []
-    for form, pattern, (y, m, d) in FORMS:
-        part = lambda k: F.nullif(F.regexp_extract(low, pattern, k), F.lit(""))  # noqa: B023, E731
-        year = F.coalesce(F.when(F.length(part(y)) == 2, F.concat(F.lit("20"), part(y))).otherwise(part(y)), F.year(now).cast("string")) if y else F.year(now).cast("string")
-        month = part(m) if m else F.month(now).cast("string")
+
+    def read(form: str, g: Column) -> Column:
+        year = F.coalesce(F.when(F.length(g["y"]) == 2, F.concat(F.lit("20"), g["y"])).otherwise(g["y"]), F.year(now).cast("string"))
+        month = g["m"]
         if form in ("named", "day_first"):
-            number = F.lit(None).cast("string")
-            for i, name in enumerate(MONTHS):
-                number = F.when(F.substring(month, 1, 3) == name[:3], F.lit(str(i + 1))).otherwise(number)
-            month = number
-        day = F.try_to_timestamp(F.concat_ws("-", F.when(part(d).isNotNull(), year), month, part(d)), F.lit("yyyy-M-d")).cast("date")
-        found.append(F.when(day.isNotNull(), F.struct(F.lit(form).alias("form"), day.alias("day"))))
-    return F.coalesce(*found)
+            number = F.array_position(F.array(*[F.lit(name[:3]) for name in MONTHS]), F.substring(month, 1, 3))
+            month = F.nullif(number, F.lit(0).cast("long")).cast("string")
+        return F.try_to_timestamp(F.concat_ws("-", F.when(g["d"].isNotNull(), year), month, g["d"]), F.lit("yyyy-M-d")).cast("date")
+
+    def dated(low: Column) -> Column:
+        found = []
+        for form, pattern, (y, m, d) in FORMS:
+            part = lambda k: F.nullif(F.regexp_extract(low, pattern, k), F.lit(""))  # noqa: B023, E731
+            groups = F.struct((part(y) if y else F.lit(None).cast("string")).alias("y"), (part(m) if m else F.month(now).cast("string")).alias("m"), part(d).alias("d"))
+            day = once(groups, lambda g: read(form, g))  # noqa: B023
+            found.append(F.when(low.rlike(pattern), once(day, lambda x: F.when(x.isNotNull(), F.struct(F.lit(form).alias("form"), x.alias("day"))))))  # noqa: B023
+        return F.coalesce(*found)
+
+    return once(F.lower(F.coalesce(sentence, F.lit(""))), dated)
 
 
 def without_dates(sentence: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadlake.functions.text import once
+
 # Word and pattern tables must equal the studied definitions. Patterns read the lowered text.
 WH = ("what", "where", "when", "who", "why", "how", "which", "whose")
 AUX = ("do", "does", "did", "can", "could", "will", "would", "should", "shall", "is", "are", "was", "were", "have", "has", "had")
@@ -52,8 +54,12 @@ def _alternation(patterns: tuple[str, ...]) -> str:
 def response_pressure(text: str) -> Column:
     """struct(pressure, kind, confidence); blank text is none, closing, 0; what no rule takes is low, optional, 0.5."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    t = F.trim(F.regexp_replace(F.lower(raw), r"\s+", " "))
-    words = F.split(t, " ")
+    # the cleaned text is asked for by every feature, its words by some
+    clean = lambda raw: F.trim(F.regexp_replace(F.lower(raw), r"\s+", " "))
+    return once(raw, lambda raw: once(clean(raw), lambda t: once(F.split(t, " "), lambda words: _judged(raw, t, words))))
+
+
+def _judged(raw: Column, t: Column, words: Column) -> Column:
     first = words[0]
     has = lambda patterns: t.rlike(_alternation(patterns))
     wh = F.regexp_replace(first, r"\?+$", "").isin(*WH)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ URGENT = ("urgent", "asap", "emergency", "important", "critical", "immediately",
 TAPBACKS = {2000: "love", 2001: "like", 2002: "dislike", 2003: "laugh", 2004: "emphasize", 2005: "question", 3000: "removed_love", 3001: "removed_like", 3002: "removed_dislike", 3003: "removed_laugh", 3004: "removed_emphasize", 3005: "removed_question"}
 APPLE_EPOCH_MICROS = 978307200000000
 
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once for each row: as the one entry of an array, where else each mention of it is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def apple_timestamp(nanos: str) -> Column:
     """Nanoseconds since 2001-01-01 UTC to a timestamp; null counts as 0, fractions under a microsecond go."""
     n = F.coalesce(F.col(nanos).cast("long"), F.lit(0).cast("long"))

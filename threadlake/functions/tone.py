@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadlake.functions.text import once
+
 # Word lists and ranges must equal the studied definitions.
 CASUAL = ("lol", "lmao", "omg", "btw", "idk", "tbh", "imo", "ngl", "rn", "ty", "thx", "np", "pls", "plz", "u", "ur", "r", "k", "ok", "ya", "yea", "yeah", "nah", "gonna", "wanna", "gotta", "kinda", "sorta", "cuz", "bc", "tho", "nvm", "brb", "ttyl", "ily", "omw")
 FORMAL = ("would you", "could you", "please", "thank you", "appreciate", "regards", "sincerely", "unfortunately", "furthermore", "however", "therefore", "additionally", "accordingly", "consequently")
@@ -29,22 +31,37 @@ def _contained(low: Column, phrases: tuple[str, ...]) -> Column:
 
 def tone(text: Column) -> Column:
     """struct of PARTS: formality (0 casual to 1 formal), emoji a hundred characters, marks a sentence, words a sentence, casual words. Null and blank texts are neutral, 0.5."""
-    t = F.coalesce(text, F.lit(""))
-    low = F.lower(t)
-    count = lambda sign: F.length(t) - F.length(F.replace(t, F.lit(sign), F.lit("")))
-    emoji = F.size(F.regexp_extract_all(t, F.lit(EMOJI), F.lit(0)))
-    sizes = F.filter(F.transform(F.split(t, "[.!?]+"), lambda s: F.size(_words(s))), lambda n: n > 0)
-    n = F.greatest(F.size(sizes), F.lit(1))
-    mean = F.when(F.size(sizes) > 0, F.aggregate(sizes, F.lit(0), lambda a, b: a + b) / F.size(sizes)).otherwise(0.0)
-    casual = F.size(F.filter(_words(low), lambda w: F.regexp_replace(w, r"^[.,!?]+|[.,!?]+$", "").isin(list(CASUAL))))
-    formal = _contained(low, FORMAL) + (mean > 15).cast("int")
-    score = formal / (casual + emoji + count("!") + formal + 1)
-    score = F.when(mean > 20, F.least(score + 0.2, F.lit(1.0))).when(mean < 5, F.greatest(score - 0.2, F.lit(0.0))).otherwise(score)
-    blank = F.size(_words(t)) == 0
-    parts = (score, emoji / F.length(t) * 100, count("!") / n, count("?") / n, mean, casual.cast("double"))
-    digits = (3, 3, 3, 3, 2, 0)
-    rest = (0.5, 0.0, 0.0, 0.0, 0.0, 0.0)
-    return F.struct(*[F.when(blank, F.lit(b)).otherwise(F.round(p, d)).alias(name) for name, p, d, b in zip(PARTS, parts, digits, rest, strict=True)])
+
+    # in steps, as what one step has worked out is a value to the next and not worked out again
+    def seen(t: Column) -> Column:
+        low = F.lower(t)
+        count = lambda sign: F.length(t) - F.length(F.replace(t, F.lit(sign), F.lit("")))
+        casual = F.size(F.filter(_words(low), lambda w: F.regexp_replace(w, r"^[.,!?]+|[.,!?]+$", "").isin(list(CASUAL))))
+        return F.struct(
+            F.length(t).alias("length"),
+            count("!").alias("bangs"),
+            count("?").alias("questions"),
+            F.size(F.regexp_extract_all(t, F.lit(EMOJI), F.lit(0))).alias("emoji"),
+            F.filter(F.transform(F.split(t, "[.!?]+"), lambda s: F.size(_words(s))), lambda n: n > 0).alias("sizes"),
+            casual.alias("casual"),
+            _contained(low, FORMAL).alias("formal"),
+            (F.size(_words(t)) == 0).alias("blank"),
+        )
+
+    def mean(g: Column) -> Column:
+        return F.when(F.size(g["sizes"]) > 0, F.aggregate(g["sizes"], F.lit(0), lambda a, b: a + b) / F.size(g["sizes"])).otherwise(0.0)
+
+    def scored(g: Column, mean: Column) -> Column:
+        n = F.greatest(F.size(g["sizes"]), F.lit(1))
+        formal = g["formal"] + (mean > 15).cast("int")
+        score = formal / (g["casual"] + g["emoji"] + g["bangs"] + formal + 1)
+        score = F.when(mean > 20, F.least(score + 0.2, F.lit(1.0))).when(mean < 5, F.greatest(score - 0.2, F.lit(0.0))).otherwise(score)
+        parts = (score, g["emoji"] / g["length"] * 100, g["bangs"] / n, g["questions"] / n, mean, g["casual"].cast("double"))
+        digits = (3, 3, 3, 3, 2, 0)
+        rest = (0.5, 0.0, 0.0, 0.0, 0.0, 0.0)
+        return F.struct(*[F.when(g["blank"], F.lit(b)).otherwise(F.round(p, d)).alias(name) for name, p, d, b in zip(PARTS, parts, digits, rest, strict=True)])
+
+    return once(F.coalesce(text, F.lit("")), lambda t: once(seen(t), lambda g: once(mean(g), lambda m: scored(g, m))))
 
 
 def tone_similarity(a: Column, b: Column) -> Column:
@@ -56,9 +73,10 @@ def tone_similarity(a: Column, b: Column) -> Column:
 
 def naturalness(text: Column) -> Column:
     """1 less what sounds made: repeated words, set phrases, many marks; a tenth more with contractions. Between 0 and 1; 0 for null and blank texts."""
-    t = F.coalesce(text, F.lit(""))
-    low = F.lower(t)
-    w = _words(low)
+    return once(F.coalesce(text, F.lit("")), lambda t: once(F.lower(t), lambda low: once(_words(low), lambda w: _natural(t, low, w))))
+
+
+def _natural(t: Column, low: Column, w: Column) -> Column:
     n = F.size(w)
     again = F.size(F.filter(F.zip_with(F.slice(w, F.lit(2), F.greatest(n, F.lit(1))), F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda same: same))
     marks = F.size(F.regexp_extract_all(t, F.lit("[.,!?;:]"), F.lit(0)))

@@ -9,7 +9,7 @@ from threadlake.functions import pressure
 from threadlake.operators import facts as of
 from threadlake.operators import sequences as seq
 from threadlake.plans.registry import query
-from threadlake.session import ship
+from threadlake.session import dealt, ship
 from threadlake.sources import catalog
 from threadlake.sources.tables import CV, EV, chat_messages, event_messages, table
 
@@ -19,7 +19,7 @@ SENTENCES = """(SELECT c_custkey AS id, c_nationkey::BIGINT AS chat_id, CASE c_c
 
 
 def sentences(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer"), "c_custkey")
     v = F.concat(F.lit("N"), F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.col("c_nationkey") % 20 + 1).cast("int"), F.lit(4)))
     w = F.concat(F.lit("C"), F.substr(F.lit("qwertyuiopasdfghjklzxcvbnm"), (F.col("c_custkey") % 20 + 1).cast("int"), F.lit(5)))
     k = F.col("c_custkey") % 5

@@ -202,9 +202,12 @@ def reply_scores(spark, sf_dir):
     """Each message as a reply to the one before: how alike the tones are, how natural it is, how near its length is to that of the user's own messages in the chat."""
     m = spoken_messages(spark, sf_dir)
     own = m.where("is_from_me AND trim(text) <> ''").groupBy("chat_id").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean"), F.stddev_samp(F.length("text")).alias("dev"))
-    e = edits(spark, sf_dir).join(m.select("id", "chat_id"), "id").join(own, "chat_id", "left")
-    length = to.length_score(F.length("edited"), F.col("mean"), F.col("dev"), F.col("n"))
-    return e.select("id", F.round(to.tone_similarity(to.tone(F.col("edited")), to.tone(F.col("suggestion"))), 6).alias("tone"), F.round(to.naturalness(F.col("edited")), 6).alias("naturalness"), F.round(length, 6).alias("length"))
+    # the tone of a message is worked out once, though it is compared with the one before and the one after
+    toned = spoken_messages(spark, sf_dir, even=True).withColumn("own", to.tone(F.col("text"))).withColumn("natural", to.naturalness(F.col("text")))
+    w = Window.partitionBy("chat_id").orderBy("date", "id")
+    e = toned.select("id", "chat_id", F.length("text").alias("size"), "own", "natural", F.lag("own").over(w).alias("before"), F.lag("text").over(w).isNotNull().alias("replies")).where("replies").join(own, "chat_id", "left")
+    length = to.length_score(F.col("size"), F.col("mean"), F.col("dev"), F.col("n"))
+    return e.select("id", F.round(to.tone_similarity(F.col("own"), F.col("before")), 6).alias("tone"), F.round("natural", 6).alias("naturalness"), F.round(length, 6).alias("length"))
 
 
 _SETS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
@@ -300,7 +303,7 @@ x AS (SELECT *, CASE WHEN fo + inf > 0 THEN fo / (fo + inf) ELSE 0.5 END AS form
 SELECT chat_id, CASE WHEN n >= 10 THEN best.category ELSE 'unknown' END AS relationship, CASE WHEN n >= 10 THEN round(least(best.score / 0.6, 1), 2) ELSE 0 END::DOUBLE AS confidence, n FROM s""")
 def relationships(spark, sf_dir):
     """Chats by their words, their hours (one for each number) and the contact's name."""
-    m = spoken_messages(spark, sf_dir).withColumn("date", F.col("date") + F.make_interval(hours=(F.col("id") % 24).cast("int")))
+    m = spoken_messages(spark, sf_dir, even=True).withColumn("date", F.col("date") + F.make_interval(hours=(F.col("id") % 24).cast("int")))
     names = m.select("chat_id").distinct().withColumn("name", F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("chat_id") % len(_LABELS) + 1).cast("int")))
     return rel.relationships(m, names).drop("scores")
 

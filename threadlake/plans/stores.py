@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import dates, slang
 from threadlake.plans.registry import query
-from threadlake.session import shared_dir
+from threadlake.session import dealt, shared_dir
 from threadlake.sources import stores
 from threadlake.sources.tables import table
 
@@ -42,7 +42,7 @@ def _values(rows) -> str:
 def _said(spark, sf_dir, texts: list[str]):
     """events with one of the texts each, in turn."""
     pick = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % len(texts) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", pick.alias("text"))
+    return dealt(table(spark, sf_dir, "events"), "event_id").select("event_id", pick.alias("text"))
 
 
 @query("scl11_slang", f"SELECT event_id, expanded FROM events JOIN {_values(SPOKEN)} t(i, text, expanded) ON i = event_id % {len(SPOKEN)}")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlake.session import dealt
 from threadlake.sources.tables import table
 
 NAMES = ("Anna", "Ben", "Clara", "David", "Elena", "Frank", "Grace", "Henry", "Ines", "Jonas", "Kira", "Liam")
@@ -79,11 +80,12 @@ def _quoted(words: tuple[str, ...]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-def spoken_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, chat_id (the customer), date, is_from_me, text of every order."""
+def spoken_messages(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """id, chat_id (the customer), date, is_from_me, text of every order; even: dealt over all cores before there is a text."""
     pick = lambda words, i: "element_at(array(" + ", ".join('"' + w + '"' for w in words) + f"), cast({i} AS int) + 1)"
     text = _texts(pick, "day(o_orderdate)", "month(o_orderdate)", "year(o_orderdate)", "weekday(o_orderdate)")
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = dealt(o, "o_orderkey") if even else o
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("chat_id"), F.col("o_orderdate").cast("timestamp").alias("date"), (F.col("o_orderkey") % 3 == 0).alias("is_from_me"), F.expr(text).alias("text"))
 
 
