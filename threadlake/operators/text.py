@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.session import small
 
 #: Words that are no keywords of topics.
 TOPIC_STOP_WORDS = (
@@ -74,11 +75,23 @@ def topic_word_array(text: str | Column) -> Column:
 
 def tfidf_keywords(docs: DataFrame, cluster: str, key: str, top: int, words: Callable[[str], Column] = word_array) -> DataFrame:
     """cluster, word, weight: the top words of each cluster by share in the cluster times ln(N / df) (ties by word)."""
-    own = docs.select(cluster, key, F.explode(words("text")).alias("word"))
-    tf = own.groupBy(cluster, key, "word").agg(F.count("*").alias("tf"))
-    in_cluster = tf.groupBy(cluster, "word").agg(F.sum("tf").alias("tf"))
+    several = docs.groupBy(F.col(key).alias("several")).count().where("count > 1").select("several")
+    rest = docs
+    found = None
+    if not several.isEmpty():
+        # rows of one key are one document
+        own = docs.join(small(several), F.col(key).eqNullSafe(F.col("several"))).drop("several")
+        tf = own.select(cluster, key, F.explode(words("text")).alias("word")).groupBy(cluster, key, "word").agg(F.count("*").alias("tf"))
+        found = tf.groupBy(cluster, "word").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+        rest = docs.join(small(several), F.col(key).eqNullSafe(F.col("several")), "left_anti")
+    # each document counts its words and its distinct words, which add up before they are shuffled
+    one = lambda w, tf, df: F.struct(w.alias("word"), F.lit(tf).cast("long").alias("tf"), F.lit(df).cast("long").alias("df"))
+    both = F.concat(F.transform("w", lambda w: one(w, 1, 0)), F.transform(F.array_distinct("w"), lambda w: one(w, 0, 1)))
+    counts = rest.select(cluster, words("text").alias("w")).select(cluster, F.explode(both).alias("x")).select(cluster, "x.*").groupBy(cluster, "word").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    counts = counts if found is None else counts.unionByName(found).groupBy(cluster, "word").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    in_cluster = counts.select(cluster, "word", "tf")
     size = docs.groupBy(cluster).agg(F.count("*").alias("size"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    df = counts.groupBy("word").agg(F.sum("df").alias("df"))
     n = docs.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
     w = in_cluster.join(df, "word").join(size, cluster).withColumn("one", F.lit(1)).join(F.broadcast(n), "one")
     w = w.withColumn("weight", F.round(F.col("tf") / F.col("size") * F.log(F.col("n") / F.col("df")), 6))
