@@ -246,6 +246,32 @@ def test_model_beats_counts_on_held_out_text(spark):
         assert abs(r["score"] - got[1][i]["score"]) < 1e-6 * max(1, abs(r["score"]))
 
 
+def test_scales_come_from_all_training_documents(spark, monkeypatch):
+    """Taking away any part of the training documents moves the scales, also where first rounds read few of them."""
+    found = []
+    trained = maxent.trained
+    monkeypatch.setattr(maxent, "trained", lambda *args: found.append(trained(*args)) or found[-1])
+    monkeypatch.setattr(maxent, "FIRST_TOKENS", 1 << 14, raising=False)
+    rows = [(i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect())]
+    for left in (0, 1, 3, 4, 5, 6):
+        # training documents of one remainder only: their scales must differ from those of a model that saw none
+        own = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 == left]
+        assert len(own) > 10
+        maxent.lm_scores(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert all(np.abs(s - maxent.SCALE).max() > 0.05 for s in found)
+
+
+def test_log_shares_of_far_apart_rows():
+    """Rows whose targets lie far below the rest stay finite and right; others too."""
+    z = np.random.default_rng(1).normal(size=(50, 7)) * np.repeat([1.0, 200.0], 25)[:, None]
+    target = np.arange(50) % 7
+    want = z - z.max(axis=1, keepdims=True)
+    want = want - np.log(np.exp(want).sum(axis=1, keepdims=True))
+    p, total, logs = maxent.softmax(z.astype(np.float32), target)
+    assert np.allclose(logs, want[np.arange(50), target], rtol=1e-5, atol=1e-5)
+    assert np.allclose(p / total[:, None], np.exp(want), atol=1e-4)
+
+
 def test_language_of_held_out_rows(docs):
     got = langid.languages(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) >= 0.95
