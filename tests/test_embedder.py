@@ -50,3 +50,12 @@ def test_words_that_cancel_out(spark):
         assert got[i] == [float(sign) if k == at else 0.0 for k in range(64)]
     assert got[2] == [0.0] * 64
     assert [x for x in got[3] if x] == [float(known[a][1])]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_vectors_are_made_by_several_tasks(spark):
+    """Also where all messages lie in one file: each task writes its own."""
+    assert len(spark.read.parquet(f"{SF}/conversations.parquet").inputFiles()) == 1
+    m = vectorstores._messages(spark, SF)
+    assert len(m.inputFiles()) > 1
+    assert m.count() == spark.read.parquet(f"{SF}/conversations.parquet").count()

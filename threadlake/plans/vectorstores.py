@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threadlake.operators import facts as of
 from threadlake.operators import sequences as seq
 from threadlake.plans.registry import query
-from threadlake.session import shared_dir, stored
+from threadlake.session import dealt, shared_dir, stored
 from threadlake.sources import vectorstore as vs
 from threadlake.sources.tables import CV, chat_messages, table
 
@@ -22,8 +22,8 @@ def _store(spark) -> str:
 
 
 def _messages(spark, sf_dir):
-    """Messages with their vectors, which are worked out once and written, as several runs read them."""
-    return stored(of.embedded(chat_messages(spark, sf_dir), "hash"), "embedded")
+    """Messages with their vectors, which are worked out once, by all cores however the table lies in files, and written, as several runs read them."""
+    return stored(of.embedded(dealt(chat_messages(spark, sf_dir), "id"), "hash"), "embedded")
 
 
 @query("src08_typed_vectors", """
