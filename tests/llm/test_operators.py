@@ -261,6 +261,13 @@ def test_scales_come_from_all_training_documents(spark, monkeypatch):
     assert all(np.abs(s - maxent.SCALE).max() > 0.05 for s in found)
 
 
+def test_counts_of_halves_add_up_beyond_32_bits():
+    for kinds in ((np.uint32, np.uint32), (np.uint64, np.uint32), (np.int64, np.uint64)):
+        for n in (5, 2**32 - 1):
+            got = maxent.added(np.array([n, 0], kinds[0]), np.array([n, 3], kinds[1]))
+            assert got.dtype.kind in "iu" and got.tolist() == [2 * n, 3]
+
+
 def test_log_shares_of_far_apart_rows():
     """Rows whose targets lie far below the rest stay finite and right; others too."""
     z = np.random.default_rng(1).normal(size=(50, 7)) * np.repeat([1.0, 200.0], 25)[:, None]
