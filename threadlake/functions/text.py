@@ -73,17 +73,29 @@ def sentiment_label(score: Column) -> Column:
     return F.when(score >= 0.3, "positive").when(score <= -0.3, "negative").otherwise("neutral")
 
 
-def boosted_polarity(text: str, positive: list[str], negative: list[str], intensifiers: list[str], boost: float = 1.5) -> Column:
-    """Polarity of whitespace tokens: each listed token counts 1, boost right behind an intensifier; (p - n) / (p + n)."""
-    # as the one entry of an array each step is worked out once, not wherever it is used
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    toks = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+def boosted_sums(text: str, positive: list[str], negative: list[str], intensifiers: list[str], boost: float = 1.5) -> Column:
+    """struct(p, n) of whitespace tokens: each listed token counts 1, boost right behind an intensifier; null for a text without tokens.
+
+    White space and lower case are DuckDB's: a vertical tab is part of a word, and a capital dotted I becomes a plain i.
+    """
+    toks = F.filter(F.split(F.lower(F.replace(F.col(text), F.lit("\u0130"), F.lit("i"))), r"[\t\n\f\r ]+"), lambda x: x != "")
     weight = lambda b: F.when(b.isin(intensifiers), boost).otherwise(1.0)
     # listed tokens with their weights; all others are left out
     listed = lambda t: F.filter(F.transform(t, lambda x, i: F.when(x.isin([*positive, *negative]), F.struct(x.alias("t"), weight(F.when(i > 0, F.get(t, i - 1)).otherwise("")).alias("w")))), lambda x: x.isNotNull())
     total = lambda pairs, words: F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.when(x["t"].isin(words), x["w"]).otherwise(0.0))
-    sums = once(once(toks, listed), lambda pairs: F.struct(total(pairs, positive).alias("p"), total(pairs, negative).alias("n")))
-    return once(sums, lambda s: F.when(s["p"] + s["n"] > 0, (s["p"] - s["n"]) / (s["p"] + s["n"])).otherwise(0.0))
+    sums = lambda pairs: F.struct(total(pairs, positive).alias("p"), total(pairs, negative).alias("n"))
+    # as the one entry of an array each step is worked out once, not wherever it is used
+    return once(toks, lambda t: F.when(F.size(t) > 0, once(listed(t), sums)))
+
+
+def polarity(p: Column, n: Column) -> Column:
+    """(p - n) / (p + n); 0 without any listed token."""
+    return F.when(p + n > 0, (p - n) / (p + n)).otherwise(0.0)
+
+
+def boosted_polarity(text: str, positive: list[str], negative: list[str], intensifiers: list[str], boost: float = 1.5) -> Column:
+    """Polarity of a text's boosted_sums."""
+    return once(boosted_sums(text, positive, negative, intensifiers, boost), lambda s: polarity(s["p"], s["n"]))
 
 
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
