@@ -261,6 +261,49 @@ def test_scales_come_from_all_training_documents(spark, monkeypatch):
     assert all(np.abs(s - maxent.SCALE).max() > 0.05 for s in found)
 
 
+def test_every_update_of_scales_reads_all_training_documents(spark, monkeypatch):
+    """Each round asks for every training document, and where the rounds end hardly anything is left to gain from all of them."""
+    monkeypatch.setattr(maxent, "FIRST_TOKENS", 1 << 14, raising=False)
+    plain, asked, found, trained = maxent._chosen, spark.sparkContext.accumulator(0), [], maxent.trained
+
+    def chosen(batches, model, part):
+        for own in plain(batches, model, part):
+            asked.add(len(own[3]))
+            yield own
+
+    def watched(table, *args):
+        model, counts, part = args[-3:]
+        before = asked.value
+        scales = trained(table, *args)
+        # counts are added up in place later
+        found.append((table.toArrow().to_batches(), model, [tuple(c.copy() for c in own) for own in counts[::-1]], part, scales, asked.value - before))
+        return scales
+
+    monkeypatch.setattr(maxent, "trained", watched)
+    monkeypatch.setattr(maxent, "_chosen", chosen)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    maxent.lm_scores(docs)
+    monkeypatch.undo()
+    [(batches, model, others, part, scales, read)] = found
+    n = sum(part(r["doc_id"]) >= 0 for r in docs.select("doc_id").collect())
+    assert read % n == 0 and read >= 2 * n
+    size, over = maxent.KINDS * maxent.BANDS, maxent._plain_of_rows(model)
+    total = [0, 0]
+    for half, h, cell in maxent._tokens(maxent._chosen(batches, model, part)):
+        inside = cell >= maxent.SLOTS
+        for f, (keep, shares) in enumerate(((slice(None), model.plain[None, :]), (inside, over))):
+            cls, counts = cell[keep] // maxent.SLOTS, others[half][f]
+            rows = [maxent.rows_of(x[keep], model.bits, *((cls, model.classes) if f else ())) for x in h]
+            weights = maxent._weights(counts, shares).astype(float)
+            tokens = np.repeat(shares, len(cls), axis=0) if f == 0 else model.plain_slots[cls]
+            g, c, _ = maxent._moments([w[r] for w, r in zip(weights, rows)], [maxent.bands(k)[r] for k, r in zip(counts, rows)], tokens, scales[f], cls if f == 0 else cell[keep] % maxent.SLOTS)
+            total[f] = total[f] + np.concatenate([g, c])
+    for own, s in zip(total, scales):
+        grad, curve = own[:size] - maxent.RIDGE * (s.ravel() - maxent.SCALE), own[size:].reshape(size, size) + maxent.RIDGE * np.eye(size)
+        free = ~((s.ravel() <= 0) & (grad < 0) | (s.ravel() >= 1.5) & (grad > 0))
+        assert grad[free] @ np.linalg.solve(curve[np.ix_(free, free)], grad[free]) / 2 < 2e-5 * model.n
+
+
 def test_counts_of_halves_add_up_beyond_32_bits():
     for kinds in ((np.uint32, np.uint32), (np.uint64, np.uint32), (np.int64, np.uint64)):
         for n in (5, 2**32 - 1):
